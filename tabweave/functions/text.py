@@ -40,6 +40,13 @@ def tokenize(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(_c(c), F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
 
 
+def char_ngrams(c: Column | str, n: int = 3) -> Column:
+    """Character n-grams of ``' ' + lower(text) + ' '``; too short -> empty."""
+    p = F.concat(F.lit(" "), F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, n))
+    return F.when(F.length(p) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+
 # ----------------------------------------------------------------- nulls
 def null_tokens(c: Column | str, tokens: list[str] | None = None) -> Column:
     """Cell -> NULL when its trimmed text is a missing-value token."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core import broadcast_if_small, seeded_uint
-from ..functions.text import tokenize
+from ..functions.text import char_ngrams, tokenize
 from .blocked import (DEFAULT_BLOCK_ROWS, blocked_pairs_topk, dense_cosine_kernel,
                       sparse_dot_kernel)
 
@@ -28,20 +28,22 @@ VOCAB_BROADCAST_ROWS = 1_000_000
 
 
 # ------------------------------------------------------------------ TF-IDF
-def term_frequencies(corpus: DataFrame) -> DataFrame:
-    """``side, id, text`` -> ``side, id, tok, tf`` over the whole text."""
-    return (corpus.select("side", "id", F.explode(tokenize("text")).alias("tok"))
+def term_frequencies(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
+    """``side, id, text`` -> ``side, id, tok, tf`` over the whole text.
+    ``analyzer``: ``word`` (letter/digit runs) or ``char3`` (padded trigrams)."""
+    terms = tokenize("text") if analyzer == "word" else char_ngrams("text", 3)
+    return (corpus.select("side", "id", F.explode(terms).alias("tok"))
             .groupBy("side", "id", "tok").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def tfidf_vectors(corpus: DataFrame) -> DataFrame:
+def tfidf_vectors(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
     """L2-normalised TF-IDF vectors, idf = ln((1+N)/(1+df)) + 1 over the corpus.
 
     Output ``side, id, tok array<bigint>, w array<double>``; a text with no
     token gets empty arrays (a zero vector), not a missing row.
     """
     n_docs = corpus.count()
-    tf = term_frequencies(corpus)
+    tf = term_frequencies(corpus, analyzer)
     # document frequency: partial aggregation, a hot token is pre-counted map-side
     df_ = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     df_ = broadcast_if_small(df_, VOCAB_BROADCAST_ROWS)  # else shuffle join; AQE splits hot tokens
@@ -60,12 +62,12 @@ def tfidf_vectors(corpus: DataFrame) -> DataFrame:
 
 
 def text_knn(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str, t2_text: str,
-             k: int = 1, block_rows: int = SPARSE_BLOCK_ROWS) -> DataFrame:
+             k: int = 1, block_rows: int = SPARSE_BLOCK_ROWS, analyzer: str = "word") -> DataFrame:
     """TF-IDF cosine top-k of each T1 text among T2 texts (exact)."""
     corpus = (t1.select(F.lit(1).alias("side"), F.col(t1_id).cast("bigint").alias("id"), F.col(t1_text).alias("text"))
               .unionByName(t2.select(F.lit(2).alias("side"), F.col(t2_id).cast("bigint").alias("id"),
                                      F.col(t2_text).alias("text"))))
-    vec = tfidf_vectors(corpus).withColumn("_k", F.lit(0))
+    vec = tfidf_vectors(corpus, analyzer).withColumn("_k", F.lit(0))
     left = vec.filter("side = 1").drop("side")
     right = vec.filter("side = 2").drop("side")
     return blocked_pairs_topk(left, right, ["_k"], k, sparse_dot_kernel,

@@ -16,14 +16,21 @@ def ratio(m: str, r: float) -> str:
     return f"CAST(floor(({m})::DOUBLE * {float(r)}::DOUBLE) AS INTEGER)"
 
 
-def tfidf_top1(t1_sql: str, t2_sql: str) -> str:
+WORD_TOKENS = "unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'))"
+CHAR3_TOKENS = ("unnest(CASE WHEN length(' ' || lower(coalesce(text, '')) || ' ') >= 3 THEN "
+                "list_transform(range(1, length(' ' || lower(coalesce(text, '')) || ' ') - 1), "
+                "lambda i: substr(' ' || lower(coalesce(text, '')) || ' ', i, 3)) ELSE [] END)")
+
+
+def tfidf_top1(t1_sql: str, t2_sql: str, analyzer: str = "word") -> str:
     """CTE chain ending in ``best(t1_id, t2_id, sim)``: TF-IDF cosine 1-NN.
     ``t1_sql`` / ``t2_sql`` select ``id, text``."""
+    toks = WORD_TOKENS if analyzer == "word" else CHAR3_TOKENS
     return f"""
 corpus AS (SELECT 1 AS side, CAST(id AS BIGINT) AS id, text FROM ({t1_sql})
            UNION ALL SELECT 2, CAST(id AS BIGINT), text FROM ({t2_sql})),
 tok AS (SELECT side, id, t AS tok FROM (
-          SELECT side, id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+')) AS t
+          SELECT side, id, {toks} AS t
           FROM corpus) WHERE t <> ''),
 tf AS (SELECT side, id, tok, count(*) AS tf FROM tok GROUP BY side, id, tok),
 dfreq AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
