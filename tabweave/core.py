@@ -142,3 +142,32 @@ def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos",
 def group_sizes(df: DataFrame, by: list[str], out: str = "m") -> DataFrame:
     """Per-group row counts (partial aggregation: a hot group is pre-counted map-side)."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
+
+
+def running_sums(df: DataFrame, by: list[str], order: list[str], values: list[str],
+                 prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``values`` within ``by`` along ``order`` (a total
+    order), skew-safe like ``positions``: range partitions are summed locally
+    (a window over one bounded slice), and each slice adds the totals of the
+    slices before it in the same group."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, *order]
+    ordered = (
+        df.repartitionByRange(n, *[F.col(k).asc_nulls_last() for k in keys])
+        .sortWithinPartitions(*[F.col(k).asc_nulls_last() for k in keys])
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .checkpoint(eager=True)
+    )
+    local_w = Window.partitionBy("_pid", *by).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    local = ordered.withColumns({f"_l{i}": F.sum(v).over(local_w) for i, v in enumerate(values)})
+    slices = ordered.groupBy("_pid", *by).agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("_pid", *by, *[F.coalesce(F.sum(f"_t{i}").over(w), F.lit(0)).alias(f"_o{i}")
+                                          for i in range(len(values))])
+    cond = [local["_pid"] == slices["_pid"]] + [local[b].eqNullSafe(slices[b]) for b in by]
+    return (local.join(slices, cond, "inner")
+            .select(local["*"], *[(local[f"_l{i}"] + slices[f"_o{i}"]).alias(f"{prefix}{v}") for i, v in enumerate(values)])
+            .drop("_pid", "_mid", *[f"_l{i}" for i in range(len(values))]))
