@@ -96,6 +96,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than
+    the cluster has cores (a small file read as one split would otherwise run
+    CPU-heavy work on one core). Large inputs already have many splits and
+    pass through without a shuffle."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 # ------------------------------------------------------------ skew-safe ranking
 def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos",
               size_col: str | None = None, num_partitions: int | None = None) -> DataFrame:

@@ -34,15 +34,24 @@ def _block_counts(df: DataFrame, key: list[str], block_rows: int, name: str) ->
 
 def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int,
                        kernel, payload_schema: str, block_rows: int = DEFAULT_BLOCK_ROWS,
-                       exclude_same_id: bool = False) -> DataFrame:
+                       exclude_same_id: bool = False, bucket: str | None = None) -> DataFrame:
     """Top-k right rows per left row, scored by ``kernel`` block pair by block pair.
 
     ``left`` and ``right`` carry ``id`` (bigint), the ``key`` columns and the
-    payload columns the kernel reads. ``kernel(lp, rp, k, exclude_same_id)``
-    gets two pandas frames (right sorted by id) and returns a frame
-    ``t1_id, t2_id, sim``. Output: ``t1_id, t2_id, sim, rank`` (rank 1..k).
+    payload columns the kernel reads. ``kernel(lp, rp)`` gets two pandas
+    frames (right sorted by id) and returns the similarity matrix.
+    With ``bucket`` (a bigint column, e.g. an LSH signature) only pairs in the
+    same bucket are candidates: buckets are packed into super-buckets of about
+    ``block_rows`` rows (hash of the bucket), scored together and masked, so
+    thousands of tiny buckets do not each pay a Python call.
+    Output: ``t1_id, t2_id, sim, rank`` (rank 1..k).
     """
     left, right = _fresh(left), _fresh(right)  # new attribute ids: T1 and T2 may share a lineage
+    if bucket is not None:
+        n_super = max(1, -(-left.count() // block_rows))
+        left = left.withColumn("_sb", F.pmod(F.xxhash64(bucket), F.lit(n_super)))
+        right = right.withColumn("_sb", F.pmod(F.xxhash64(bucket), F.lit(n_super)))
+        key = [*key, "_sb"]
     nl = _block_counts(left, key, block_rows, "_nl")
     nr = _block_counts(right, key, block_rows, "_nr")
     counts = nl.join(nr, key, "inner")  # keys present on one side only have no pairs
@@ -60,8 +69,16 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
         if len(lp) == 0 or len(rp) == 0:
             return pd.DataFrame({"t1_id": pd.Series([], "int64"), "t2_id": pd.Series([], "int64"),
                                  "sim": pd.Series([], "float64")})
+        lp = lp.reset_index(drop=True)
         rp = rp.sort_values("id", kind="stable").reset_index(drop=True)
-        return kernel(lp.reset_index(drop=True), rp, k, exclude_same_id)
+        sims = kernel(lp, rp)
+        t1 = lp["id"].to_numpy(np.int64)
+        t2 = rp["id"].to_numpy(np.int64)
+        if exclude_same_id:
+            sims[t1[:, None] == t2[None, :]] = -np.inf
+        if bucket is not None:
+            sims[lp[bucket].to_numpy()[:, None] != rp[bucket].to_numpy()[None, :]] = -np.inf
+        return _topk_rows(sims, t1, t2, k)
 
     local = (lx.groupBy(*gk).cogroup(rx.groupBy(*gk))
              .applyInPandas(run, "t1_id bigint, t2_id bigint, sim double"))
@@ -70,6 +87,8 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
         best = local.groupBy("t1_id").agg(F.max(F.struct(F.col("sim"), (-F.col("t2_id")).alias("neg"))).alias("b"))
         return best.select("t1_id", (-F.col("b.neg")).alias("t2_id"), F.col("b.sim").alias("sim"),
                            F.lit(1).alias("rank"))
+    # duplicates (the same pair found in two buckets) collapse before ranking
+    local = local.groupBy("t1_id", "t2_id").agg(F.max("sim").alias("sim")) if bucket is not None else local
     w = Window.partitionBy("t1_id").orderBy(F.col("sim").desc(), F.col("t2_id").asc())
     return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
@@ -94,18 +113,11 @@ def _topk_rows(sims: np.ndarray, t1_ids: np.ndarray, t2_ids: np.ndarray, k: int)
 
 
 # ------------------------------------------------------------------- kernels
-def dense_cosine_kernel(lp: pd.DataFrame, rp: pd.DataFrame, k: int, exclude_same_id: bool) -> pd.DataFrame:
+def dense_cosine_kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> np.ndarray:
     """Cosine on L2-normalised dense vectors (``vec`` column), float64 accumulation."""
-    a = np.vstack([np.asarray(v, dtype=np.float64) for v in lp["vec"]])
-    b = np.vstack([np.asarray(v, dtype=np.float64) for v in rp["vec"]])
-    a = _l2(a)
-    b = _l2(b)
-    sims = a @ b.T
-    t1 = lp["id"].to_numpy(np.int64)
-    t2 = rp["id"].to_numpy(np.int64)
-    if exclude_same_id:
-        sims[t1[:, None] == t2[None, :]] = -np.inf
-    return _topk_rows(sims, t1, t2, k)
+    a = _l2(np.vstack([np.asarray(v, dtype=np.float64) for v in lp["vec"]]))
+    b = _l2(np.vstack([np.asarray(v, dtype=np.float64) for v in rp["vec"]]))
+    return a @ b.T
 
 
 def _l2(m: np.ndarray) -> np.ndarray:
@@ -113,19 +125,23 @@ def _l2(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)  # zero vectors stay zero
 
 
-def sparse_dot_kernel(lp: pd.DataFrame, rp: pd.DataFrame, k: int, exclude_same_id: bool) -> pd.DataFrame:
-    """Dot product of sparse vectors (``tok`` bigint[] ids, ``w`` double[] weights,
-    already L2-normalised). Tokens frequent on both sides go through a dense
+def sparse_dot_kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> np.ndarray:
+    """Cosine of sparse vectors (``tok`` bigint[] ids, ``w`` double[] weights,
+    ``nrm`` their L2 norm). Tokens frequent on both sides go through a dense
     matmul, the long tail through a sorted posting merge — exact either way."""
     n1, n2 = len(lp), len(rp)
     l_len = lp["tok"].map(len).to_numpy()
     r_len = rp["tok"].map(len).to_numpy()
+    l_doc = np.repeat(np.arange(n1), l_len)
+    r_doc = np.repeat(np.arange(n2), r_len)
     l_tok = np.concatenate([np.asarray(t, np.int64) for t in lp["tok"]]) if l_len.sum() else np.zeros(0, np.int64)
     l_w = np.concatenate([np.asarray(t, np.float64) for t in lp["w"]]) if l_len.sum() else np.zeros(0)
-    l_doc = np.repeat(np.arange(n1), l_len)
     r_tok = np.concatenate([np.asarray(t, np.int64) for t in rp["tok"]]) if r_len.sum() else np.zeros(0, np.int64)
     r_w = np.concatenate([np.asarray(t, np.float64) for t in rp["w"]]) if r_len.sum() else np.zeros(0)
-    r_doc = np.repeat(np.arange(n2), r_len)
+    if "nrm" in lp:
+        ln, rn = lp["nrm"].to_numpy(np.float64), rp["nrm"].to_numpy(np.float64)
+        l_w = l_w / np.where(ln > 0, ln, 1.0)[l_doc]
+        r_w = r_w / np.where(rn > 0, rn, 1.0)[r_doc]
     sims = np.zeros((n1, n2), dtype=np.float64)
     if len(l_tok) and len(r_tok):
         vocab, inv = np.unique(np.concatenate([l_tok, r_tok]), return_inverse=True)
@@ -159,8 +175,4 @@ def sparse_dot_kernel(lp: pd.DataFrame, rp: pd.DataFrame, k: int, exclude_same_i
             ridx = np.arange(cnt.sum()) + starts
             flat = ld[rep] * n2 + rd[ridx]
             sims += np.bincount(flat, weights=lw[rep] * rw[ridx], minlength=n1 * n2).reshape(n1, n2)
-    t1 = lp["id"].to_numpy(np.int64)
-    t2 = rp["id"].to_numpy(np.int64)
-    if exclude_same_id:
-        sims[t1[:, None] == t2[None, :]] = -np.inf
-    return _topk_rows(sims, t1, t2, k)
+    return sims

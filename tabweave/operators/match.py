@@ -18,47 +18,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import broadcast_if_small, seeded_uint
-from ..functions.text import char_ngrams, tokenize
+from ..core import seeded_uint, spread
+from ..functions.text import TOKEN_SPLIT, char_ngrams
 from .blocked import (DEFAULT_BLOCK_ROWS, blocked_pairs_topk, dense_cosine_kernel,
                       sparse_dot_kernel)
 
-SPARSE_BLOCK_ROWS = 2048
-VOCAB_BROADCAST_ROWS = 1_000_000
+SPARSE_BLOCK_ROWS = 1024
 
 
 # ------------------------------------------------------------------ TF-IDF
 def term_frequencies(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
     """``side, id, text`` -> ``side, id, tok, tf`` over the whole text.
     ``analyzer``: ``word`` (letter/digit runs) or ``char3`` (padded trigrams)."""
-    terms = tokenize("text") if analyzer == "word" else char_ngrams("text", 3)
-    return (corpus.select("side", "id", F.explode(terms).alias("tok"))
+    if analyzer == "word":
+        terms = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), TOKEN_SPLIT)
+    else:
+        terms = char_ngrams("text", 3)
+    return (corpus.select("side", "id", F.explode(terms).alias("tok")).filter(F.col("tok") != "")
             .groupBy("side", "id", "tok").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def tfidf_vectors(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
-    """L2-normalised TF-IDF vectors, idf = ln((1+N)/(1+df)) + 1 over the corpus.
+    """TF-IDF vectors, idf = ln((1+N)/(1+df)) + 1 over the corpus.
 
-    Output ``side, id, tok array<bigint>, w array<double>``; a text with no
-    token gets empty arrays (a zero vector), not a missing row.
+    Output ``side, id, tok array<bigint>`` (64-bit term hashes), ``w
+    array<double>`` (raw weights) and ``nrm`` (their L2 norm; the kernel
+    divides). A text with no token gets empty arrays (a zero vector).
     """
     n_docs = corpus.count()
-    tf = term_frequencies(corpus, analyzer)
-    # document frequency: partial aggregation, a hot token is pre-counted map-side
+    tf = term_frequencies(spread(corpus), analyzer)
+    # document frequency: partial aggregation, a hot token is pre-counted map-side.
+    # The join below is planned as a shuffle join; AQE turns it into a broadcast
+    # when the measured vocabulary is small and splits hot-token partitions otherwise.
     df_ = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    df_ = broadcast_if_small(df_, VOCAB_BROADCAST_ROWS)  # else shuffle join; AQE splits hot tokens
     w = (tf.join(df_, "tok")
          .withColumn("w", F.col("tf").cast("double")
                      * (F.ln((F.lit(n_docs) + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1)))
-    vec = (w.groupBy("side", "id")
-           .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("tok").alias("t"), F.col("w").alias("w")))).alias("e"),
-                F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm")))
-    vec = vec.select("side", "id", F.transform("e", lambda x: x["t"]).alias("tok"),
-                     F.transform("e", lambda x: x["w"] / F.col("nrm")).alias("w"))
+    # two lists filled by the same aggregate keep the same element order
+    vec = w.groupBy("side", "id").agg(F.collect_list(F.xxhash64("tok")).alias("tok"), F.collect_list("w").alias("w"),
+                                      F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
     return (corpus.select("side", "id").join(vec, ["side", "id"], "left")
             .select("side", "id",
                     F.coalesce("tok", F.array().cast("array<bigint>")).alias("tok"),
-                    F.coalesce("w", F.array().cast("array<double>")).alias("w")))
+                    F.coalesce("w", F.array().cast("array<double>")).alias("w"),
+                    F.coalesce("nrm", F.lit(0.0)).alias("nrm")))
 
 
 def text_knn(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str, t2_text: str,
@@ -92,7 +95,7 @@ def _hyperplanes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, bits * tables))
 
 
-def lsh_signatures(df: DataFrame, id_col: str, vec_col: str, dim: int, bits: int = 12, tables: int = 8,
+def lsh_signatures(df: DataFrame, id_col: str, vec_col: str, dim: int, bits: int = 6, tables: int = 12,
                    seed: int = 42) -> DataFrame:
     """``id, table, sig``: one signature per hash table (random hyperplanes)."""
     planes = _hyperplanes(dim, bits, tables, seed)
@@ -106,13 +109,13 @@ def lsh_signatures(df: DataFrame, id_col: str, vec_col: str, dim: int, bits: int
         b = (m @ planes > 0).reshape(len(m), tables, bits).astype(np.int64)
         return pd.Series(list((b * weights).sum(axis=2)))
 
-    return (df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
+    return (spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")))
             .withColumn("_s", sigs("vec"))
             .select("id", "vec", F.posexplode("_s").alias("table", "sig")))
 
 
 def lsh_knn(t1: DataFrame, t1_id: str, t1_vec: str, t2: DataFrame, t2_id: str, t2_vec: str, dim: int,
-            bits: int = 12, tables: int = 8, seed: int = 42, exclude_same_id: bool = False,
+            bits: int = 6, tables: int = 12, seed: int = 42, exclude_same_id: bool = False,
             block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Approximate 1-NN. Candidates share a signature in at least one table;
     every bucket is scored exactly by the blocked kernel (a hot bucket is cut
@@ -120,8 +123,10 @@ def lsh_knn(t1: DataFrame, t1_id: str, t1_vec: str, t2: DataFrame, t2_id: str, t
     no row — the recall is measured against ``vector_knn``."""
     left = lsh_signatures(t1, t1_id, t1_vec, dim, bits, tables, seed)
     right = lsh_signatures(t2, t2_id, t2_vec, dim, bits, tables, seed)
-    return blocked_pairs_topk(left, right, ["table", "sig"], 1, dense_cosine_kernel, "vec array<float>",
-                              block_rows, exclude_same_id)
+    left = left.withColumn("_bucket", F.col("table") * F.lit(1 << bits) + F.col("sig"))
+    right = right.withColumn("_bucket", F.col("table") * F.lit(1 << bits) + F.col("sig"))
+    return blocked_pairs_topk(left.drop("table", "sig"), right.drop("table", "sig"), [], 1, dense_cosine_kernel,
+                              "vec array<float>", block_rows, exclude_same_id, bucket="_bucket")
 
 
 # ------------------------------------------------------------------ rank / random
