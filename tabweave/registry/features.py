@@ -113,7 +113,7 @@ def j6_minmax_scale(spark, sf):
 SQL_J6 = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   round((l_extendedprice - min(l_extendedprice) OVER ()) / (max(l_extendedprice) OVER () - min(l_extendedprice) OVER ()), 6) AS l_extendedprice,
   round((l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ()), 6) AS l_quantity,
-  0.0 AS const FROM lineitem"""
+  0.0::DOUBLE AS const FROM lineitem"""
 
 
 def j7_standard_scale(spark, sf):

@@ -268,7 +268,7 @@ def i24_vector_math(spark, sf):
 
 SQL_I24 = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (SELECT vec_id, e, list_reverse(e) AS r, sqrt(list_dot_product(e, e)) AS ne FROM v)
-SELECT vec_id, round(CASE WHEN ne > 0 THEN 1.0 ELSE 0.0 END, 6) AS unit_norm,
+SELECT vec_id, CAST(round(CASE WHEN ne > 0 THEN 1.0 ELSE 0.0 END, 6) AS DOUBLE) AS unit_norm,
   round(CASE WHEN ne = 0 THEN 0.0 ELSE list_dot_product(e, r) / (ne * ne) END, 6) AS cos_rev,
   round(1 - CASE WHEN ne = 0 THEN 0.0 ELSE list_dot_product(e, r) / (ne * ne) END, 6) AS dist_rev FROM n"""
 

@@ -72,9 +72,9 @@ SELECT count(*) AS n_rows, count(t2_index) AS n_matched, count(DISTINCT t2_index
        round(min(cosine_similarity), 6) AS min_similarity, round(max(cosine_similarity), 6) AS max_similarity
 FROM mapping"""
 SQL_D3 = MAPPING_SQL + """
-SELECT count_if(cosine_similarity > 0.8) AS n_above_08,
-       count_if(cosine_similarity >= 0.5 AND cosine_similarity <= 0.8) AS n_05_to_08,
-       count_if(cosine_similarity < 0.5) AS n_below_05
+SELECT CAST(count_if(cosine_similarity > 0.8) AS BIGINT) AS n_above_08,
+       CAST(count_if(cosine_similarity >= 0.5 AND cosine_similarity <= 0.8) AS BIGINT) AS n_05_to_08,
+       CAST(count_if(cosine_similarity < 0.5) AS BIGINT) AS n_below_05
 FROM mapping WHERE t2_index IS NOT NULL"""
 SQL_C6 = f"""WITH {tfidf_top1(TEXT_T1, TEXT_T2)},
 thr AS (SELECT t1_id, CASE WHEN sim >= 0.3 THEN t2_id END AS t2_id, sim FROM best)

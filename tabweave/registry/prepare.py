@@ -46,7 +46,7 @@ def d1_column_profile(spark, sf):
 
 
 SQL_D1 = f"WITH m AS ({MESSY_SQL}) " + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count(*) AS n_rows, count_if("{c}" IS NULL) AS n_null, count(DISTINCT "{c}") AS n_distinct FROM m"""
+    f"""SELECT '{c}' AS "column", count(*) AS n_rows, CAST(count_if("{c}" IS NULL) AS BIGINT) AS n_null, count(DISTINCT "{c}") AS n_distinct FROM m"""
     for c in MESSY_COLS)
 
 

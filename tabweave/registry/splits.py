@@ -143,9 +143,10 @@ def d4_split_summary(spark, sf):
 
 SQL_D4 = f"""WITH s AS ({SQL_ORDERS_SPLIT}),
 j AS (SELECT CAST(o.o_orderpriority AS VARCHAR) AS label, s.split FROM orders o LEFT JOIN s USING (o_orderkey)),
-a AS (SELECT label, count(*) AS total, count_if(split = 'train') AS train, count_if(split = 'val') AS val,
-             count_if(split = 'test') AS test FROM j GROUP BY label
-      UNION ALL SELECT '__all__', count(*), count_if(split = 'train'), count_if(split = 'val'), count_if(split = 'test') FROM j)
+a AS (SELECT label, count(*) AS total, CAST(count_if(split = 'train') AS BIGINT) AS train,
+             CAST(count_if(split = 'val') AS BIGINT) AS val, CAST(count_if(split = 'test') AS BIGINT) AS test FROM j GROUP BY label
+      UNION ALL SELECT '__all__', count(*), CAST(count_if(split = 'train') AS BIGINT), CAST(count_if(split = 'val') AS BIGINT),
+             CAST(count_if(split = 'test') AS BIGINT) FROM j)
 SELECT label, total, train, val, test, round(train / total, 6) AS train_share, round(val / total, 6) AS val_share,
        round(test / total, 6) AS test_share FROM a"""
 
@@ -158,8 +159,8 @@ def h7_split_violations(spark, sf):
 SQL_H7 = f"""WITH s AS ({SQL_ORDERS_SPLIT}),
 p AS (SELECT o_orderkey, count(*) AS n, count(split) AS k, max(CAST(split = 'test' AS INTEGER)) AS t FROM s GROUP BY o_orderkey),
 j AS (SELECT o.o_orderkey AS a, 1 AS in_t, p.* FROM (SELECT o_orderkey FROM orders) o FULL JOIN p USING (o_orderkey))
-SELECT count_if(in_t IS NOT NULL AND coalesce(k, 0) = 0) AS missing, count_if(n > 1) AS overlapping,
-       count_if(in_t IS NULL) AS unknown_rows, CAST(coalesce(sum(t), 0) = 0 AS INTEGER) AS empty_test FROM j"""
+SELECT CAST(count_if(in_t IS NOT NULL AND coalesce(k, 0) = 0) AS BIGINT) AS missing,
+       CAST(count_if(n > 1) AS BIGINT) AS overlapping, CAST(count_if(in_t IS NULL) AS BIGINT) AS unknown_rows, CAST(coalesce(sum(t), 0) = 0 AS INTEGER) AS empty_test FROM j"""
 
 
 def h6_fit_set(spark, sf):
