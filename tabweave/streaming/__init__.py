@@ -1 +1,5 @@
-"""tabweave package."""
+"""Streaming.
+
+The reference workload is batch only (no source, watermark, trigger or state
+anywhere in it), so this package intentionally contains no operator.
+"""
