@@ -34,7 +34,8 @@ def _block_counts(df: DataFrame, key: list[str], block_rows: int, name: str) ->
 
 def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int,
                        kernel, payload_schema: str, block_rows: int = DEFAULT_BLOCK_ROWS,
-                       exclude_same_id: bool = False, bucket: str | None = None) -> DataFrame:
+                       exclude_same_id: bool = False, bucket: str | None = None,
+                       sizes: tuple[int, int] | None = None) -> DataFrame:
     """Top-k right rows per left row, scored by ``kernel`` block pair by block pair.
 
     ``left`` and ``right`` carry ``id`` (bigint), the ``key`` columns and the
@@ -44,6 +45,7 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
     same bucket are candidates: buckets are packed into super-buckets of about
     ``block_rows`` rows (hash of the bucket), scored together and masked, so
     thousands of tiny buckets do not each pay a Python call.
+    ``sizes`` (row counts of both sides) spares two count jobs when known.
     Output: ``t1_id, t2_id, sim, rank`` (rank 1..k).
     """
     left, right = _fresh(left), _fresh(right)  # new attribute ids: T1 and T2 may share a lineage
@@ -52,16 +54,23 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
         left = left.withColumn("_sb", F.pmod(F.xxhash64(bucket), F.lit(n_super)))
         right = right.withColumn("_sb", F.pmod(F.xxhash64(bucket), F.lit(n_super)))
         key = [*key, "_sb"]
-    nl = _block_counts(left, key, block_rows, "_nl")
-    nr = _block_counts(right, key, block_rows, "_nr")
-    counts = nl.join(nr, key, "inner")  # keys present on one side only have no pairs
-    lx = (left.join(_fresh(counts), key, "inner")
-          .withColumn("_lb", F.pmod(F.xxhash64("id"), F.col("_nl")).cast("int"))
-          .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_nr") - 1)))
+    if key:
+        nl = _block_counts(left, key, block_rows, "_nl")
+        nr = _block_counts(right, key, block_rows, "_nr")
+        counts = nl.join(nr, key, "inner")  # keys present on one side only have no pairs
+        left = left.join(_fresh(counts), key, "inner")
+        right = right.join(_fresh(counts), key, "inner")
+        n_l, n_r = F.col("_nl"), F.col("_nr")
+    else:
+        # one global key: block counts are plain numbers (no join on a constant key)
+        sizes = sizes or (left.count(), right.count())
+        n_l = F.lit(max(1, -(-sizes[0] // block_rows)))
+        n_r = F.lit(max(1, -(-sizes[1] // block_rows)))
+    lx = (left.withColumn("_lb", F.pmod(F.xxhash64("id"), n_l).cast("int"))
+          .withColumn("_rb", F.explode(F.sequence(F.lit(0), n_r - 1)))
           .drop("_nl", "_nr"))
-    rx = (right.join(_fresh(counts), key, "inner")
-          .withColumn("_rb", F.pmod(F.xxhash64("id"), F.col("_nr")).cast("int"))
-          .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1)))
+    rx = (right.withColumn("_rb", F.pmod(F.xxhash64("id"), n_r).cast("int"))
+          .withColumn("_lb", F.explode(F.sequence(F.lit(0), n_l - 1)))
           .drop("_nl", "_nr"))
     gk = [*key, "_lb", "_rb"]
 

@@ -70,11 +70,12 @@ def text_knn(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str,
     corpus = (t1.select(F.lit(1).alias("side"), F.col(t1_id).cast("bigint").alias("id"), F.col(t1_text).alias("text"))
               .unionByName(t2.select(F.lit(2).alias("side"), F.col(t2_id).cast("bigint").alias("id"),
                                      F.col(t2_text).alias("text"))))
-    vec = tfidf_vectors(corpus, analyzer).withColumn("_k", F.lit(0))
+    vec = tfidf_vectors(corpus, analyzer)
     left = vec.filter("side = 1").drop("side")
     right = vec.filter("side = 2").drop("side")
-    return blocked_pairs_topk(left, right, ["_k"], k, sparse_dot_kernel,
-                              "tok array<bigint>, w array<double>", block_rows)
+    # one vector per input row: the block counts come from the (cheap) input counts
+    return blocked_pairs_topk(left, right, [], k, sparse_dot_kernel, "tok array<bigint>, w array<double>",
+                              block_rows, sizes=(t1.count(), t2.count()))
 
 
 # ------------------------------------------------------------------ dense vectors
@@ -84,9 +85,9 @@ def vector_knn(t1: DataFrame, t1_id: str, t1_vec: str, t2: DataFrame, t2_id: str
 
     ``exclude_same_id`` drops the row itself when T1 and T2 are the same table.
     """
-    left = t1.select(F.col(t1_id).cast("bigint").alias("id"), F.col(t1_vec).alias("vec"), F.lit(0).alias("_k"))
-    right = t2.select(F.col(t2_id).cast("bigint").alias("id"), F.col(t2_vec).alias("vec"), F.lit(0).alias("_k"))
-    return blocked_pairs_topk(left, right, ["_k"], k, dense_cosine_kernel, "vec array<float>",
+    left = t1.select(F.col(t1_id).cast("bigint").alias("id"), F.col(t1_vec).alias("vec"))
+    right = t2.select(F.col(t2_id).cast("bigint").alias("id"), F.col(t2_vec).alias("vec"))
+    return blocked_pairs_topk(left, right, [], k, dense_cosine_kernel, "vec array<float>",
                               block_rows, exclude_same_id)
 
 
