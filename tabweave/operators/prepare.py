@@ -75,7 +75,7 @@ def clean_column_names(df: DataFrame) -> DataFrame:
 
 def clean_text_cells(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Newline -> space; ``®``, ``™`` and control characters removed (string columns)."""
-    cols = cols or [c for c, t in df.dtypes if t == "string"]
+    cols = cols if cols is not None else [c for c, t in df.dtypes if t == "string"]
     return df.withColumns({c: clean_text(q(c)) for c in cols})
 
 
@@ -200,12 +200,16 @@ def check_kind_overlap(spec: TableSpec, kinds: dict[str, list[str]], retag: bool
 def _apply(df: DataFrame, step: dict) -> DataFrame:
     op = step["op"]
     cols = step.get("cols")
+    if cols is not None:  # columns are checked loosely: a step skips columns an earlier step dropped
+        cols = [c for c in cols if c in df.columns]
+    if "col" in step and step["col"] not in df.columns:
+        return df
     if op == "clean_names":
         return clean_column_names(df)
     if op == "clean_text":
         return clean_text_cells(df, cols)
     if op == "na_tokens":
-        tgt = cols or [c for c, t in df.dtypes if t == "string"]
+        tgt = cols if cols is not None else [c for c, t in df.dtypes if t == "string"]
         return df.withColumns({c: T.null_tokens(q(c), step.get("tokens")) for c in tgt})
     if op == "drop":
         return drop_columns(df, step.get("names", ()), step.get("contains", ()), errors=step.get("errors", "ignore"))
@@ -224,7 +228,8 @@ def _apply(df: DataFrame, step: dict) -> DataFrame:
     if op == "percent":
         return df.withColumns({c: T.strip_percent(q(c)) for c in cols})
     if op == "category":
-        return as_category(df, cols or [c for c, t in df.dtypes if t != "string"], step.get("keep_null", False))
+        tgt = cols if cols is not None else [c for c, t in df.dtypes if t != "string"]
+        return as_category(df, tgt, step.get("keep_null", False))
     if op == "log":
         return df.withColumn(step["col"], T.log_target(q(step["col"]), str(step.get("base", "e")),
                                                        step.get("plus_one", False)))
