@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core import seeded_uint, spread
+from ..session import ensure_checkpoint_dir
 from ..functions.text import TOKEN_SPLIT, char_ngrams
 from .blocked import (DEFAULT_BLOCK_ROWS, blocked_pairs_topk, dense_cosine_kernel,
                       sparse_dot_kernel)
@@ -46,11 +47,14 @@ def tfidf_vectors(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
     divides). A text with no token gets empty arrays (a zero vector).
     """
     n_docs = corpus.count()
-    tf = term_frequencies(spread(corpus), analyzer)
+    tf = term_frequencies(spread(corpus), analyzer).checkpoint(eager=True)  # read by both join branches
     # document frequency: partial aggregation, a hot token is pre-counted map-side.
     # The join below is planned as a shuffle join; AQE turns it into a broadcast
     # when the measured vocabulary is small and splits hot-token partitions otherwise.
-    df_ = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    # df is summed from tf (tf >= 1, so least(tf, 1) = 1 per document): reading the
+    # tf value keeps the tf aggregate identical in both join branches, so its
+    # shuffle is reused and the texts are tokenised once
+    df_ = tf.groupBy("tok").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
     w = (tf.join(df_, "tok")
          .withColumn("w", F.col("tf").cast("double")
                      * (F.ln((F.lit(n_docs) + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1)))
@@ -67,10 +71,12 @@ def tfidf_vectors(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
 def text_knn(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str, t2_text: str,
              k: int = 1, block_rows: int = SPARSE_BLOCK_ROWS, analyzer: str = "word") -> DataFrame:
     """TF-IDF cosine top-k of each T1 text among T2 texts (exact)."""
+    ensure_checkpoint_dir(t1.sparkSession)
     corpus = (t1.select(F.lit(1).alias("side"), F.col(t1_id).cast("bigint").alias("id"), F.col(t1_text).alias("text"))
               .unionByName(t2.select(F.lit(2).alias("side"), F.col(t2_id).cast("bigint").alias("id"),
                                      F.col(t2_text).alias("text"))))
-    vec = tfidf_vectors(corpus, analyzer)
+    # both sides and the block counts read the vectors: compute them once
+    vec = tfidf_vectors(corpus, analyzer).checkpoint(eager=True)
     left = vec.filter("side = 1").drop("side")
     right = vec.filter("side = 2").drop("side")
     # one vector per input row: the block counts come from the (cheap) input counts
