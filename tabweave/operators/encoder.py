@@ -24,17 +24,20 @@ class HashingEncoder:
     def __init__(self, dim: int = 16):
         self.dim = dim
 
-    def expr(self, text: Column) -> Column:
+    def apply(self, df: DataFrame, text: Column, out: str) -> DataFrame:
+        """Add ``out``. Each stage is its own projection so the per-gram hash
+        work runs once per row (an inlined expression would recompute the
+        gram list for every output slot)."""
         d = self.dim
-        grams = char_ngrams(text, 3)
-        h = lambda g: F.md5(g)
-        pairs = F.transform(grams, lambda g: F.struct(
-            F.pmod(F.conv(F.substring(h(g), 1, 8), 16, 10).cast("bigint"), F.lit(d)).alias("b"),
-            F.when(F.conv(F.substring(h(g), 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("w")))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                          lambda i: F.aggregate(F.filter(pairs, lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["w"]))
-        nrm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(raw, lambda x: F.when(nrm > 0, x / nrm).otherwise(F.lit(0.0)))
+        df = df.withColumn("_hg", F.transform(char_ngrams(text, 3), lambda g: F.md5(g)))
+        df = df.withColumn("_hp", F.transform("_hg", lambda h: F.struct(
+            F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(d)).alias("b"),
+            F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("w"))))
+        df = df.withColumn("_hr", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.aggregate(
+            F.filter("_hp", lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["w"])))
+        df = df.withColumn("_hn", F.sqrt(F.aggregate("_hr", F.lit(0.0), lambda a, x: a + x * x)))
+        df = df.withColumn(out, F.transform("_hr", lambda x: F.when(F.col("_hn") > 0, x / F.col("_hn")).otherwise(F.lit(0.0))))
+        return df.drop("_hg", "_hp", "_hr", "_hn")
 
 
 class BatchEncoder:
@@ -45,6 +48,9 @@ class BatchEncoder:
     def __init__(self, loader, dim: int, name: str = "model"):
         self.loader, self.dim, self.name = loader, dim, name
 
+    def apply(self, df: DataFrame, text: Column, out: str) -> DataFrame:
+        return df.withColumn(out, self.expr(text))
+
     def expr(self, text: Column) -> Column:
         loader, name = self.loader, self.name
 
@@ -61,7 +67,7 @@ class BatchEncoder:
 
 def encode(df: DataFrame, text_col: str, encoder, out: str = "vec") -> DataFrame:
     """K1: add the vector of every row's text."""
-    return df.withColumn(out, encoder.expr(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return encoder.apply(df, F.coalesce(F.col(text_col).cast("string"), F.lit("")), out)
 
 
 def encode_distinct(df: DataFrame, text_col: str, encoder, out: str = "vec") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import spread
 from . import metrics as Q
 from .runs import best_by
 
@@ -38,6 +39,7 @@ def fit_eval(df: DataFrame, features: list[str], label: str, kind: str = "rf", p
     """Fit on ``split == 'train'``; accuracy and macro F1 on every split.
     Returns a metrics frame ``split, accuracy, macro_f1`` and the fitted model."""
     params = params or {}
+    df = spread(df)
     idx = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc")
     vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
     est = make_estimator(kind, params, seed).setFeaturesCol("_x").setLabelCol("_y")
@@ -97,13 +99,27 @@ def bagging(df: DataFrame, ids: list[str], features: list[str], label: str, kind
     keep = int(n * fraction)
     idx = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
     vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    base = vec.transform(idx.transform(df))
+    # every model reads the frame twice (fit, predict): materialise it once
+    base = spread(vec.transform(idx.transform(df))).checkpoint(eager=True)
     probs = None
+    # all draws in one ranking pass: draw b orders the training rows by md5(seed+b|id)
+    draws = train.select(*ids).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))))
+    draws = draws.withColumn("_o", F.md5(F.concat_ws("|", (F.col("_b") + seed).cast("string"),
+                                                     *[F.col(i).cast("string") for i in ids])))
+    draws = positions(draws, ["_b"], ["_o", *ids], out="_p").filter(F.col("_p") <= keep).drop("_o", "_p") \
+        .checkpoint(eager=True)
+    # one 0/1 weight column per draw: every fit reads the same training frame
+    # (a zero weight removes the row from the loss), no join per model
+    flags = draws.groupBy(*ids).agg(*[F.max((F.col("_b") == b).cast("double")).alias(f"_w{b}")
+                                      for b in range(n_models)])
+    fit_rows = base.filter(F.col("split") == "train").join(flags, ids, "left") \
+        .na.fill(0.0, [f"_w{b}" for b in range(n_models)]).checkpoint(eager=True)
     for b in range(n_models):
-        draw = positions(train.select(*ids).withColumn("_o", seeded_hash(seed + b, *ids)), [], ["_o", *ids], out="_p")
-        draw = draw.filter(F.col("_p") <= keep).select(*ids)
         est = make_estimator(kind, params or {}, seed + b).setFeaturesCol("_x").setLabelCol("_y")
-        model = est.fit(base.join(draw, ids))
+        if est.hasParam("weightCol"):
+            model = est.setWeightCol(f"_w{b}").fit(fit_rows)
+        else:
+            model = est.fit(fit_rows.filter(F.col(f"_w{b}") > 0))
         from pyspark.ml.functions import vector_to_array
         p = model.transform(base).select(*ids, vector_to_array("probability").alias("_pr"))
         probs = p if probs is None else probs.unionByName(p)
