@@ -1,5 +1,5 @@
-"""End-to-end plans without a single-SQL oracle (P2, P3, P8, P9, P11, K3) and
-learning baselines (N1, N3-N5, N7): rows-only checks plus unit tests."""
+"""End-to-end plans (P2, P3, P8, P9, P11, K3) and learning baselines (N1,
+N3-N5, N7). P9 and the model fits are rows-only checks plus unit tests."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from ..operators.runs import param_grid
 from ..plans.evaluation import build_features, entity_features, load_recipe, run_recipe
 from ..plans.join_fa import rank_ablation
 from ..plans.union_fa import union_fa
-from .prepare import messy
-from .sqlparts import seeded_uint, vector_topk
+from ..functions.text import NUMERIC_TEXT
+from .features import EDGES_SQL, _hash_sql, _norm_sql
+from .prepare import MESSY_SQL, messy
+from .sqlparts import seeded_uint, tfidf_top1, vector_topk
 
 VEC = "SELECT vec_id AS id, embedding AS e FROM embeddings"
 
@@ -29,6 +31,18 @@ def p2_union_fa(spark, sf):
     return union_fa(c, "c_custkey", s, "s_suppkey", exclude=["c_acctbal", "s_acctbal"], threshold=0.3)["mapping"]
 
 
+P2_T1 = ("SELECT c_custkey AS id, concat_ws(', ', 'c_name: ' || trim(c_name), 'c_nationkey: ' || CAST(c_nationkey AS VARCHAR), "
+         "CASE WHEN trim(c_mktsegment) <> '' THEN 'c_mktsegment: ' || trim(c_mktsegment) END) AS text FROM customer")
+P2_T2 = ("SELECT s_suppkey AS id, concat_ws(', ', 's_name: ' || trim(s_name), 's_nationkey: ' || CAST(s_nationkey AS VARCHAR)) "
+         "AS text FROM supplier")
+SQL_P2 = f"""WITH {tfidf_top1(P2_T1, P2_T2)},
+t AS ({P2_T1}), a AS ({P2_T2}),
+thr AS (SELECT t1_id, CASE WHEN sim >= 0.3 THEN t2_id END AS t2_id, sim FROM best)
+SELECT t.id AS task_index, coalesce(thr.t2_id, -1) AS aux_index, t.text AS task_text, a.text AS aux_text,
+  round(thr.sim, 6) AS cosine_similarity, round(1 - round(thr.sim, 6), 6) AS cosine_distance
+FROM t LEFT JOIN thr ON thr.t1_id = t.id LEFT JOIN a ON a.id = thr.t2_id"""
+
+
 def p3_rank_ablation(spark, sf):
     e = table(spark, sf, "embeddings")
     tabs = rank_ablation(e, "vec_id", "embedding", e, "vec_id", "embedding", [1, 2, 4, 8], seed=42,
@@ -53,6 +67,16 @@ def p8_recipe_standin(spark, sf):
     return out
 
 
+def _num(x):
+    return f"CASE WHEN regexp_matches({x}, '{NUMERIC_TEXT}') THEN TRY_CAST(trim({x}) AS DOUBLE) END"
+
+
+SQL_P8 = f"""WITH m AS ({MESSY_SQL})
+SELECT id, "Customer Name" AS Customer_Name, coalesce(CAST(half_null AS VARCHAR), 'nan') AS half_null, segment,
+  {_num("regexp_replace(price_text, '[$,€£¥]', '', 'g')")} AS price_text, {_num('nation_text')} AS nation_text
+FROM m WHERE segment IS NOT NULL"""
+
+
 def p9_feature_build(spark, sf):
     c = table(spark, sf, "customer").withColumn("Rich", F.when(F.col("c_acctbal") > 5000, "yes").otherwise("no"))
     spec = TableSpec.from_kinds(bin_cols=["rich"], num_cols=["c_acctbal", "c_nationkey"], cat_cols=["c_name"],
@@ -62,7 +86,15 @@ def p9_feature_build(spark, sf):
 
 def p11_entity_features(spark, sf):
     c = table(spark, sf, "customer")
-    return entity_features(c, "c_name", ["c_mktsegment", "c_nationkey"], dim=8)
+    out = entity_features(c, "c_name", ["c_mktsegment", "c_nationkey"], dim=8)
+    return out.select("entity", *[F.round(f"X{i}", 6).alias(f"X{i}") for i in range(8)])
+
+
+P11_SENT = ("'query: ' || concat_ws(' ', 'c mktsegment ' || lower(replace(regexp_replace(c_mktsegment, '[<>\n]', '', 'g'), '_', ' ')) || '.', "
+            "'c nationkey ' || CAST(c_nationkey AS VARCHAR) || '.')")
+SQL_P11 = f"""WITH s AS (SELECT lower(replace(regexp_replace(c_name, '[<>\n]', '', 'g'), '_', ' ')) AS entity, {P11_SENT} AS sent FROM customer),
+v AS (SELECT sent, {_norm_sql(_hash_sql('sent'))} AS vec FROM (SELECT DISTINCT sent FROM s))
+SELECT s.entity, {", ".join(f"v.vec[{i + 1}] AS X{i}" for i in range(8))} FROM s JOIN v USING (sent)"""
 
 
 def k3_graph_numeric_transform(spark, sf):
@@ -71,6 +103,15 @@ def k3_graph_numeric_transform(spark, sf):
     return G.star_edges(c, "c_custkey", ["c_name", "c_mktsegment"], ["c_acctbal", "c_nationkey"], HashingEncoder(8))
 
 
+K3_EDGES = EDGES_SQL.replace(
+    "'c_acctbal', CAST(c_acctbal AS DOUBLE) FROM customer",
+    "'c_acctbal', (c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer) FROM customer").replace(
+    "'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer",
+    "'c_nationkey', (c_nationkey - (SELECT avg(c_nationkey) FROM customer)) / (SELECT stddev_pop(c_nationkey) FROM customer) FROM customer")
+SQL_K3 = f"""WITH {K3_EDGES}
+SELECT * FROM edges UNION ALL SELECT c_custkey, '__self__', 'self', [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0], NULL FROM customer"""
+
+
 # ------------------------------------------------------------------ N1 / N3 / N4 / N5 / N7
 def _orders_ml(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"),
@@ -117,12 +158,12 @@ def n7_source_target(spark, sf):
 
 
 QUERIES = {
-    "p2_union_fa": (p2_union_fa, None),
+    "p2_union_fa": (p2_union_fa, SQL_P2),
     "p3_rank_ablation": (p3_rank_ablation, SQL_P3),
-    "p8_recipe_standin": (p8_recipe_standin, None),
+    "p8_recipe_standin": (p8_recipe_standin, SQL_P8),
     "p9_feature_build": (p9_feature_build, None),
-    "p11_entity_features": (p11_entity_features, None),
-    "k3_graph_numeric_transform": (k3_graph_numeric_transform, None),
+    "p11_entity_features": (p11_entity_features, SQL_P11),
+    "k3_graph_numeric_transform": (k3_graph_numeric_transform, SQL_K3),
     "n1_fit_eval": (n1_fit_eval, None),
     "n3_grid_search": (n3_grid_search, None),
     "n4_repeated_runs": (n4_repeated_runs, None),
