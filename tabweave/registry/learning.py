@@ -19,7 +19,7 @@ from ..plans.union_fa import union_fa
 from ..functions.text import NUMERIC_TEXT
 from .features import EDGES_SQL, _hash_sql, _norm_sql
 from .prepare import MESSY_SQL, messy
-from .sqlparts import seeded_uint, tfidf_top1, vector_topk
+from .sqlparts import ratio, seeded_md5, seeded_uint, tfidf_top1, vector_topk
 
 VEC = "SELECT vec_id AS id, embedding AS e FROM embeddings"
 
@@ -81,7 +81,25 @@ def p9_feature_build(spark, sf):
     c = table(spark, sf, "customer").withColumn("Rich", F.when(F.col("c_acctbal") > 5000, "yes").otherwise("no"))
     spec = TableSpec.from_kinds(bin_cols=["rich"], num_cols=["c_acctbal", "c_nationkey"], cat_cols=["c_name"],
                                 target="c_mktsegment")
-    return build_features(c, "c_custkey", spec)
+    out = build_features(c, "c_custkey", spec)
+    return out.select(*[F.round(x, 6).alias(x) if t == "double" else F.col(x) for x, t in out.dtypes])
+
+
+SQL_P9 = f"""WITH b AS (SELECT c_custkey, c_mktsegment AS label, {seeded_md5(42, 'c_custkey')} AS o FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY o, c_custkey) AS pos,
+             count(*) OVER (PARTITION BY label) AS m FROM b),
+t AS (SELECT *, pos > m - ceil(m::DOUBLE * 0.2::DOUBLE) AS is_test FROM r),
+tr AS (SELECT c_custkey, row_number() OVER (ORDER BY o, c_custkey) AS tp, count(*) OVER () AS nt FROM t WHERE NOT is_test),
+split AS (SELECT c_custkey, CASE WHEN tp > nt - (SELECT {ratio('count(*)', 0.1)} FROM customer) THEN 'val' ELSE 'train' END AS split FROM tr
+          UNION ALL SELECT c_custkey, 'test' FROM t WHERE is_test),
+c AS (SELECT customer.*, split.split FROM customer JOIN split USING (c_custkey)),
+mm AS (SELECT min(c_acctbal) AS a0, max(c_acctbal) AS a1, min(c_nationkey) AS n0, max(c_nationkey) AS n1 FROM c WHERE split = 'train'),
+lab AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT c_mktsegment AS v FROM c WHERE split = 'train'))
+SELECT c.c_custkey, CAST(c.c_acctbal > 5000 AS INTEGER) AS rich,
+  round((c.c_acctbal - mm.a0) / (mm.a1 - mm.a0), 6) AS c_acctbal,
+  round((c.c_nationkey - mm.n0) / (mm.n1 - mm.n0), 6) AS c_nationkey, c.c_name,
+  coalesce(lab.code, -1) AS c_mktsegment, c.split
+FROM c CROSS JOIN mm LEFT JOIN lab ON lab.v = c.c_mktsegment"""
 
 
 def p11_entity_features(spark, sf):
@@ -161,7 +179,7 @@ QUERIES = {
     "p2_union_fa": (p2_union_fa, SQL_P2),
     "p3_rank_ablation": (p3_rank_ablation, SQL_P3),
     "p8_recipe_standin": (p8_recipe_standin, SQL_P8),
-    "p9_feature_build": (p9_feature_build, None),
+    "p9_feature_build": (p9_feature_build, SQL_P9),
     "p11_entity_features": (p11_entity_features, SQL_P11),
     "k3_graph_numeric_transform": (k3_graph_numeric_transform, SQL_K3),
     "n1_fit_eval": (n1_fit_eval, None),
