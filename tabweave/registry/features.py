@@ -130,7 +130,27 @@ SQL_J7 = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 def j8_power_transform(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lam = J.power_fit(li, "l_extendedprice")
-    return J.power_apply(li, "l_extendedprice", lam).withColumn("lambda", F.lit(lam))
+    out = J.power_apply(li, "l_extendedprice", lam)
+    return out.withColumn("l_extendedprice", F.round("l_extendedprice", 6)).withColumn("lambda", F.lit(float(lam)))
+
+
+def _yj_sql(x: str, lam: str) -> str:
+    return (f"CASE WHEN {x} >= 0 THEN (CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (pow({x} + 1, {lam}) - 1) / {lam} END) "
+            f"ELSE (CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END) END")
+
+
+_GRID1 = ", ".join(f"({i}, {repr(x / 4)}::DOUBLE)" for i, x in enumerate(range(-8, 17)))
+SQL_J8 = f"""WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS x FROM lineitem),
+sl AS (SELECT sum(sign(x) * ln(1 + abs(x))) AS sl, count(x) AS n FROM li),
+g1 AS (SELECT * FROM (VALUES {_GRID1}) t(idx, lam)),
+ll1 AS (SELECT g1.idx, g1.lam, var_pop({_yj_sql('li.x', 'g1.lam')}) AS v FROM g1 CROSS JOIN li GROUP BY g1.idx, g1.lam),
+b1 AS (SELECT lam FROM ll1, sl ORDER BY -sl.n / 2 * ln(v) + (lam - 1) * sl.sl DESC, idx LIMIT 1),
+g2 AS (SELECT i + 10 AS idx, (SELECT lam FROM b1) + 0.25 * (i / 10.0) AS lam FROM range(-10, 11) t(i)),
+ll2 AS (SELECT g2.idx, g2.lam, var_pop({_yj_sql('li.x', 'g2.lam')}) AS v FROM g2 CROSS JOIN li GROUP BY g2.idx, g2.lam),
+b2 AS (SELECT lam FROM ll2, sl ORDER BY -sl.n / 2 * ln(v) + (lam - 1) * sl.sl DESC, idx LIMIT 1),
+y AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_yj_sql('x', '(SELECT lam FROM b2)')} AS y FROM li)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 6) AS l_extendedprice, (SELECT lam FROM b2) AS lambda FROM y"""
 
 
 def j9_pca(spark, sf):
@@ -250,7 +270,7 @@ QUERIES = {
     "j5_imputers": (j5_imputers, SQL_J5),
     "j6_minmax_scale": (j6_minmax_scale, SQL_J6),
     "j7_standard_scale": (j7_standard_scale, SQL_J7),
-    "j8_power_transform": (j8_power_transform, None),
+    "j8_power_transform": (j8_power_transform, SQL_J8),
     "j9_pca": (j9_pca, None),
     "j10_assemble": (j10_assemble, None),
     "k1_hash_encode": (k1_hash_encode, SQL_K1),
