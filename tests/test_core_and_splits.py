@@ -123,3 +123,36 @@ def test_align_columns_clash_raises(spark):
 def test_empty_append_budget():
     assert S.append_budget(10, 0.05, 100) == 0
     assert S.append_budget(1000, 0.3, 100) == 100
+
+
+def test_holdout_then_val_counts(spark):
+    df = _labels(spark, {"a": 50, "b": 30})
+    s = {r["split"]: r["count"] for r in X.stratified_holdout_then_val(df, "id", "label", seed=3)
+         .groupBy("split").count().collect()}
+    # test: ceil(50*.2)=10 + ceil(30*.2)=6; val: int(80*.1)=8 from the remaining train rows
+    assert s == {"test": 16, "val": 8, "train": 56}
+
+
+def test_repeated_kfold_sizes(spark):
+    df = _labels(spark, {"a": 11, "b": 7})
+    f = X.repeated_kfold(df, "id", k=3, repeats=2, seed=1, label="label").join(df, "id")
+    sizes = {(r["repeat"], r["label"], r["fold"]): r["count"] for r in f.groupBy("repeat", "label", "fold").count().collect()}
+    assert [sizes[(1, "a", i)] for i in (1, 2, 3)] == [4, 4, 3]  # ntile: remainder to the first folds
+    assert [sizes[(2, "b", i)] for i in (1, 2, 3)] == [3, 2, 2]
+    assert f.count() == 36
+
+
+def test_group_split_keeps_groups_together(spark):
+    df = spark.createDataFrame([(i, i % 10) for i in range(100)], "id int, g int")
+    s = X.group_split(df, "id", "g", num_train=4, seed=2).join(df, "id")
+    per_group = s.groupBy("g").agg(F.countDistinct("split").alias("n"), F.first("split").alias("s")).collect()
+    assert all(r["n"] == 1 for r in per_group)
+    assert sum(1 for r in per_group if r["s"] == "train") == 4
+
+
+def test_capped_sample_quota(spark):
+    df = _labels(spark, {"a": 300, "b": 100})
+    out = X.capped_stratified_sample(df, "id", ["label"], fraction=0.5, cap=200, seed=1)
+    c = {r["stratum"]: r["count"] for r in out.groupBy("stratum").count().collect()}
+    # n=400 > cap: size = 200/400*0.5 = 0.25 per stratum
+    assert c == {"a": 75, "b": 25}
