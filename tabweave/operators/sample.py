@@ -46,23 +46,30 @@ def balanced_draw(df: DataFrame, ids, label: str, n: int, seed: int = 42) -> Dat
     return positions(keyed, [label], ["_o", *ids], out="_pos").filter(F.col("_pos") <= half).select(*ids, label)
 
 
+def chunk_columns(columns: list[str], n_chunks: int, extra: int = 1, seed: int = 42) -> list[list[str]]:
+    """G5 column plan (driver-side, seeded): chunk i keeps its own contiguous
+    slice of ``columns`` plus ``extra`` random columns drawn from the others."""
+    per = -(-len(columns) // n_chunks)
+    rng = random.Random(seed)
+    plan = []
+    for i in range(n_chunks):
+        own = columns[i * per:(i + 1) * per]
+        others = [c for c in columns if c not in own]
+        picks = rng.sample(others, min(extra, len(others)))
+        plan.append([c for c in columns if c in own or c in picks])
+    return plan
+
+
 def row_chunks(df: DataFrame, ids, n_chunks: int, columns: list[str], extra: int = 1,
                seed: int = 42) -> DataFrame:
     """G5 (data cut): rows cut into ``n_chunks`` contiguous chunks of the id
-    order; chunk i keeps its own contiguous slice of ``columns`` plus ``extra``
-    seeded random columns from the others. Output is the union of chunks with
-    a ``chunk`` column (missing columns NULL)."""
+    order, each with its own column subset (``chunk_columns``). Output is the
+    union of the chunks with a ``chunk`` column (missing columns NULL)."""
     ids = _ids(ids)
     n = df.count()
     ranked = positions(df, [], ids, out="_pos")
-    per = -(-len(columns) // n_chunks)
-    rng = random.Random(seed)
     out = None
-    for i in range(n_chunks):
-        own = columns[i * per:(i + 1) * per]
-        others = [c for c in columns if c not in own]
-        picks = sorted(rng.sample(others, min(extra, len(others))), key=columns.index)
-        keep = [c for c in columns if c in own or c in picks]
+    for i, keep in enumerate(chunk_columns(columns, n_chunks, extra, seed)):
         lo = n * i // n_chunks
         hi = n * (i + 1) // n_chunks
         part = ranked.filter((F.col("_pos") > lo) & (F.col("_pos") <= hi)) \

@@ -211,7 +211,28 @@ SQL_G4 = f"""SELECT doc_id, quality FROM (
   FROM labels WHERE quality IN (0, 1)) WHERE pos <= 50"""
 
 
+G5_COLS = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+G5_TYPES = {"c_name": "VARCHAR", "c_nationkey": "INTEGER", "c_acctbal": "DOUBLE", "c_mktsegment": "VARCHAR"}
+
+
+def g5_row_chunks(spark, sf):
+    return S.row_chunks(table(spark, sf, "customer"), "c_custkey", 3, G5_COLS, extra=1, seed=42)
+
+
+def _g5_sql():
+    plan = S.chunk_columns(G5_COLS, 3, 1, 42)
+    parts = []
+    for i, keep in enumerate(plan):
+        cols = ", ".join(c if c in keep else f"CAST(NULL AS {G5_TYPES[c]}) AS {c}" for c in G5_COLS)
+        parts.append(f"SELECT c_custkey, {cols}, {i} AS chunk FROM r WHERE pos > (n * {i}) // 3 AND pos <= (n * {i + 1}) // 3")
+    return ("WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS pos, count(*) OVER () AS n FROM customer) "
+            + " UNION ALL ".join(parts))
+
+
+SQL_G5 = _g5_sql()
+
 QUERIES = {
+    "g5_row_chunks": (g5_row_chunks, SQL_G5),
     "e1_stratified_split_lineitem": (e1_stratified_split_lineitem, SQL_E1),
     "p6_mask_customer": (p6_mask_customer, SQL_P6),
     "e2_temporal_split_orders": (e2_temporal_split_orders, SQL_E2),
