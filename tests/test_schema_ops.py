@@ -102,3 +102,19 @@ def test_benchmark_recipes_parse():
     for n in names:
         rec = load_recipe(n)
         assert rec["target"] and all("op" in s for s in rec["steps"])
+
+
+def test_batch_encoder_plugs_into_knn(spark):
+    import numpy as np
+
+    from tabweave.operators import match as M
+    from tabweave.operators.encoder import BatchEncoder, encode
+
+    def loader():
+        return lambda texts: np.array([[len(t), t.count("a") + 1.0] for t in texts], dtype=np.float32)
+
+    df = spark.createDataFrame([(1, "aaa"), (2, "bb"), (3, "aab")], "id bigint, text string")
+    v = encode(df, "text", BatchEncoder(loader, 2, name="toy"))
+    assert dict(v.dtypes)["vec"] == "array<float>"
+    knn = {r["t1_id"]: r["t2_id"] for r in M.vector_knn(v, "id", "vec", v, "id", "vec", k=1, exclude_same_id=True).collect()}
+    assert set(knn) == {1, 2, 3}
