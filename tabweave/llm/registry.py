@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import table
-from . import decontam, exact_dedup, html_text, mixing, pii, secrets, simhash, token_count, toxicity
+from . import decontam, exact_dedup, html_text, mixing, pii, secrets, simhash, suffix_dedup, token_count, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("spans", "kept")
+
+
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = toxicity.fit(docs, table(spark, sf, "labels"))
@@ -62,6 +66,7 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_toxicity": (op2_toxicity, None),
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.ORACLE),
     "op4_secrets": (op4_secrets, None),

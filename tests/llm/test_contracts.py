@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tabweave.core import table
-from tabweave.llm import decontam, exact_dedup, html_text, mixing, pii, secrets, simhash, token_count, toxicity
+from tabweave.llm import decontam, exact_dedup, html_text, mixing, pii, secrets, simhash, suffix_dedup, token_count, toxicity
 from tabweave.llm.graph import components
 from tabweave.llm.registry import tokenizer_path
 
@@ -375,3 +375,55 @@ def test_mixing_edges(spark):
     assert got.filter("topic = 'empty' and probability <> 1").count() == 0
     assert mixing.mix_sample(df).columns == df.columns
     assert mixing.mix_weights(empty(spark)).count() == 0 and mixing.mix_sample(empty(spark)).count() == 0
+
+
+# ------------------------------------------------------------------ suffix-array dedup
+def repeats(df):
+    return ordered(df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+
+
+def test_repeated_windows_random():
+    import numpy as np
+
+    rng = random.Random(9)
+    for size in (3, 5, 20):
+        for _ in range(60):
+            texts = [bytes(rng.choice(b"ab\xff\x00") for _ in range(rng.randrange(size, 4 * size))) for _ in range(rng.randrange(1, 12))]
+            weights = np.array([rng.choice([1, 1, 2]) for _ in texts])
+            seen = {}
+            for t, w in zip(texts, weights):
+                for i in range(len(t) - size + 1):
+                    seen[t[i:i + size]] = seen.get(t[i:i + size], 0) + w
+            got = suffix_dedup.repeated_windows(texts, weights, size)
+            assert [g.tolist() for g in got] == [[seen[t[i:i + size]] > 1 for i in range(len(t) - size + 1)] for t in texts]
+
+
+def test_anchor_runs_cover_every_window_once():
+    rng = random.Random(4)
+    common = bytes(rng.choice(b"abc d") for _ in range(700))
+    texts = [b"", b"x" * 199, b"x" * 200, b"x" * 1500, common, bytes(rng.choice(b"abc d") for _ in range(90)) + common[30:500]]
+    found = [[] for _ in texts]
+    owner = {}
+    for a, c, k, first, n in suffix_dedup.Anchors(piece=512).of_texts(texts):
+        for x in zip(a.tolist(), c.tolist(), k.tolist(), first.tolist(), n.tolist()):
+            found[x[2]] += range(x[3], x[3] + x[4])
+            for i in range(x[3], x[3] + x[4]):
+                w = texts[x[2]][i:i + 200]
+                assert owner.setdefault(w, x[0]) == x[0]  # equal windows have equal anchors
+    assert [sorted(f) for f in found] == [list(range(max(0, len(t) - 199))) for t in texts]
+
+
+def test_remove_repeats(spark, small):
+    assert repeats(query(spark, "op1_suffix_dedup")) == ordered(brute.suffix_dedup(small))
+
+
+@pytest.mark.parametrize("hot, bucket", [(3_000, 1 << 20), (1, 1 << 20), (3_000, 2_000)])
+def test_remove_repeats_edges(spark, hot, bucket):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice(["the", "and", "é", "lorem", "x" * 9, "of"]) for _ in range(n))
+    line = prose(80)
+    rows = [(i, prose(rng.randrange(60)) + line[rng.randrange(40):len(line) - rng.randrange(40)] + prose(rng.randrange(60))) for i in range(60)]
+    rows += [(7, rows[7][1]), (7, rows[8][1]), (None, line), (None, None), (99, ""), (98, "ab" * 400), (97, line * 3), (96, prose(30_000))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"row": F.lit(1), "id": F.lit("x"), "kept": F.lit(0)})
+    assert repeats(suffix_dedup.remove_repeats(df.repartition(4), hot=hot, bucket=bucket)) == ordered(brute.suffix_dedup(rows))
+    assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
