@@ -5,7 +5,7 @@ Determinism rules used everywhere:
 * a seeded random order is ``md5(seed || '|' || row_id)`` then ``row_id``;
   the same hex comes out of Spark and DuckDB, so samples and splits have an
   exact SQL oracle;
-* ratio counts truncate a double product: ``cast(m * r as int)``.
+* ratio counts truncate a double product: ``cast(m * r as bigint)``.
 """
 
 from __future__ import annotations
@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 from .session import ensure_checkpoint_dir
 
-# Rows a side may have before we refuse to broadcast it (checked by count).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 # --------------------------------------------------------------------------- spec
 @dataclass(frozen=True)
 class TableSpec:
@@ -70,14 +66,14 @@ def seeded_hash(seed: int, *ids: str | Column) -> Column:
 
 
 def seeded_uint(seed: int, *ids: str | Column) -> Column:
-    """Uniform integer in [0, 2^32) from the first 8 hex digits of the seeded md5."""
-    return F.conv(F.substring(seeded_hash(seed, *ids), 1, 8), 16, 10).cast("bigint")
+    """Uniform integer in [0, 2^60) from the first 15 hex digits of the seeded md5."""
+    return F.conv(F.substring(seeded_hash(seed, *ids), 1, 15), 16, 10).cast("bigint")
 
 
 def ratio_count(m: Column | str, ratio: float) -> Column:
     """``int(m * ratio)`` with the double product truncated (m=90, 0.7 -> 62)."""
     m = F.col(m) if isinstance(m, str) else m
-    return (m.cast("double") * F.lit(float(ratio))).cast("int")
+    return (m.cast("double") * F.lit(float(ratio))).cast("bigint")
 
 
 def round6(c: Column | str) -> Column:
@@ -85,17 +81,7 @@ def round6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
-# ------------------------------------------------------------------ size checks
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (stops counting early)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check; otherwise leave it to AQE."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
-
+# ------------------------------------------------------------------ parallelism of small inputs
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when the input has fewer partitions than
     the cluster has cores (a small file read as one split would otherwise run

@@ -18,11 +18,10 @@ def _c(c: Column | str) -> Column:
 
 
 # Fixed values that must equal the reference's semantics.
-# pandas' default NA strings plus the per-table tokens used by the recipes.
+# pandas' default NA strings; a table's own tokens are given by its recipe.
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
-    "Unknown", "UNKNOWN", "?", "--", "unknown",
 ]
 # Values read as "true" by the binary indicator.
 TRUE_TOKENS = ["1", "yes", "true", "positive", "t", "y"]
@@ -193,8 +192,11 @@ def fill_from(c: Column | str, other: Column | str) -> Column:
 
 # ----------------------------------------------------------------- nested
 def names_from_literal_list(c: Column | str, field: str = "name") -> Column:
-    """Python-literal list of dicts -> ``'a, b, c'``; empty list -> NULL."""
-    js = F.regexp_replace(_c(c), "'", '"')
+    """Python-literal list of dicts -> ``'a, b, c'``; empty list -> NULL.
+
+    Quotes are swapped only where they open or close a literal (next to a brace,
+    bracket, colon or comma), so an apostrophe inside a name stays."""
+    js = F.regexp_replace(_c(c), r"(?<=[{\[,:]\s{0,4})'|'(?=\s*[}\],:])", '"')
     arr = F.from_json(js, f"array<struct<{field}:string>>")
     joined = F.array_join(F.transform(arr, lambda x: x[field]), ", ")
     return F.when(F.size(arr) > 0, joined)
@@ -220,9 +222,9 @@ def row_text(cols: list[str]) -> Column:
 
 
 def row_sentence(cols: list[str], query_prefix: bool = True) -> Column:
-    """``col value. col value.`` over non-null cells, names and values cleaned."""
+    """``col value. col value.`` over non-null cells; values are cleaned, names stay."""
     parts = [F.when(F.col(f"`{c}`").isNotNull(),
-                    F.concat(clean_entity(F.lit(c)), F.lit(" "), clean_entity(F.col(f"`{c}`").cast("string")), F.lit(".")))
+                    F.concat(F.lit(f"{c} "), clean_entity(F.col(f"`{c}`").cast("string")), F.lit(".")))
              for c in cols]
     s = F.concat_ws(" ", *parts)
     return F.concat(F.lit("query: "), s) if query_prefix else s
@@ -247,18 +249,23 @@ def replace_chain(c: Column | str, pairs: list[tuple[str, str]]) -> Column:
 
 
 def significance(p: Column | str) -> Column:
+    """Stars of a p-value: each level includes its lower and excludes its upper
+    bound. Exactly 0.05 (and a negative value) is in no level and stays as its text."""
     p = _c(p)
-    return (F.when(p.isNull(), F.lit(None)).when(p <= 0.001, "***").when(p <= 0.01, "**")
-            .when(p <= 0.05, "*").otherwise("NS"))
+    return (F.when(p > 0.05, "NS").when((p >= 0.01) & (p < 0.05), "*").when((p >= 0.001) & (p < 0.01), "**")
+            .when((p >= 0) & (p < 0.001), "***").otherwise(p.cast("string")))
 
 
 def significant(p: Column | str, alpha: float = 0.05) -> Column:
-    return (_c(p) <= F.lit(alpha)).cast("int")
+    """1 below ``alpha`` (and above 0), 0 above it; ``alpha`` itself, 0 and negatives stay."""
+    p = _c(p).cast("double")
+    return F.when(p > alpha, 0.0).when((p > 0) & (p < alpha), 1.0).otherwise(p)
 
 
 # ----------------------------------------------------------------- binary
-def binary_indicator(c: Column | str) -> Column:
-    return F.lower(F.trim(_c(c).cast("string"))).isin(TRUE_TOKENS).cast("int")
+def binary_indicator(c: Column | str, tokens: list[str] | None = None) -> Column:
+    """1 when the lower-cased text is a true token, else 0; NULL is 0, and nothing is trimmed."""
+    return F.coalesce(F.lower(_c(c).cast("string")).isin(tokens or TRUE_TOKENS), F.lit(False)).cast("int")
 
 
 def binarize(c: Column | str, threshold: float, inclusive: bool = False) -> Column:

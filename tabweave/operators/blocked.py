@@ -43,8 +43,8 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
     frames (right sorted by id) and returns the similarity matrix.
     With ``bucket`` (a bigint column, e.g. an LSH signature) only pairs in the
     same bucket are candidates: buckets are packed into super-buckets of about
-    ``block_rows`` rows (hash of the bucket), scored together and masked, so
-    thousands of tiny buckets do not each pay a Python call.
+    ``block_rows`` rows (hash of the bucket), so thousands of tiny buckets do not
+    each pay a Python call; inside one, each bucket's slices are scored apart.
     ``sizes`` (row counts of both sides) spares two count jobs when known.
     Output: ``t1_id, t2_id, sim, rank`` (rank 1..k).
     """
@@ -76,8 +76,8 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
 
     def run(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"t1_id": pd.Series([], "int64"), "t2_id": pd.Series([], "int64"),
-                                 "sim": pd.Series([], "float64")})
+            return pd.DataFrame({"t1_id": pd.Series(dtype="int64"), "t2_id": pd.Series(dtype="int64"),
+                                 "sim": pd.Series(dtype="float64")})
         lp = lp.reset_index(drop=True)
         rp = rp.sort_values("id", kind="stable").reset_index(drop=True)
         sims = kernel(lp, rp)
@@ -85,12 +85,15 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
         t2 = rp["id"].to_numpy(np.int64)
         if exclude_same_id:
             sims[t1[:, None] == t2[None, :]] = -np.inf
-        if bucket is not None:
-            sims[lp[bucket].to_numpy()[:, None] != rp[bucket].to_numpy()[None, :]] = -np.inf
         return _topk_rows(sims, t1, t2, k)
 
+    def run_buckets(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        right = dict(list(rp.groupby(bucket)))
+        found = [run(part, right[b]) for b, part in lp.groupby(bucket) if b in right]
+        return pd.concat([run(lp[:0], rp[:0]), *found])
+
     local = (lx.groupBy(*gk).cogroup(rx.groupBy(*gk))
-             .applyInPandas(run, "t1_id bigint, t2_id bigint, sim double"))
+             .applyInPandas(run if bucket is None else run_buckets, "t1_id bigint, t2_id bigint, sim double"))
     if k == 1:
         # Partial aggregation: max of (sim, -t2_id) picks the best, smaller id on ties.
         best = local.groupBy("t1_id").agg(F.max(F.struct(F.col("sim"), (-F.col("t2_id")).alias("neg"))).alias("b"))

@@ -41,26 +41,32 @@ class HashingEncoder:
 
 
 class BatchEncoder:
-    """``loader()`` returns ``f(texts) -> float32[n, dim]``; called once per worker."""
+    """``loader()`` returns ``f(texts) -> float32[n, dim]``; called once per worker.
+    ``batch_size``: texts per call; ``max_length``: longest text in white-space words,
+    as an encoder's own limit (None leaves texts whole)."""
 
     _cache: dict = {}
 
-    def __init__(self, loader, dim: int, name: str = "model"):
+    def __init__(self, loader, dim: int, name: str = "model", batch_size: int = 32, max_length: int | None = None):
         self.loader, self.dim, self.name = loader, dim, name
+        self.batch_size, self.max_length = batch_size, max_length
 
     def apply(self, df: DataFrame, text: Column, out: str) -> DataFrame:
         return df.withColumn(out, self.expr(text))
 
     def expr(self, text: Column) -> Column:
-        loader, name = self.loader, self.name
+        loader, name, size, longest = self.loader, self.name, self.batch_size, self.max_length
 
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def enc(s: pd.Series) -> pd.Series:
             fn = BatchEncoder._cache.get(name)
             if fn is None:
                 fn = BatchEncoder._cache[name] = loader()
-            m = np.asarray(fn(s.fillna("").astype(str).tolist()), dtype=np.float32)
-            return pd.Series(list(m))
+            texts = s.fillna("").astype(str).tolist()
+            if longest is not None:
+                texts = [" ".join(t.split()[:longest]) for t in texts]
+            parts = [np.asarray(fn(texts[i:i + size]), dtype=np.float32) for i in range(0, len(texts), size)]
+            return pd.Series(list(np.concatenate(parts))) if parts else pd.Series([], dtype=object)
 
         return enc(text)
 

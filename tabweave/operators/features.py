@@ -7,12 +7,14 @@ the training rows (``fit_on='train'`` is the default in the plans).
 
 from __future__ import annotations
 
+import itertools
+
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import broadcast_if_small, positions
+from ..core import positions
 
 
 def q(c: str) -> Column:
@@ -30,7 +32,7 @@ def label_encode_fit(df: DataFrame, col: str) -> DataFrame:
 def label_encode_apply(df: DataFrame, col: str, params: DataFrame, out: str | None = None,
                        unknown: int | None = None) -> DataFrame:
     """Replace ``col`` by its code (``out`` keeps both); unseen -> ``unknown`` (J2: -1)."""
-    p = broadcast_if_small(params.select(F.col("value").alias("_v"), F.col("code").alias("_code")))
+    p = params.select(F.col("value").alias("_v"), F.col("code").alias("_code"))
     j = df.join(p, q(col) == F.col("_v"), "left").drop("_v")
     code = F.col("_code") if unknown is None else F.coalesce(F.col("_code"), F.lit(unknown))
     return j.withColumn(out or col, code).drop("_code")
@@ -44,13 +46,25 @@ def ordinal_encode(train: DataFrame, df: DataFrame, cols: list[str]) -> DataFram
 
 
 # ------------------------------------------------------------------ J3
-def one_hot_fit(train: DataFrame, col: str, max_categories: int = 10_000) -> list[str]:
-    """J3 categories (NULL -> ``'missing'``), sorted; the list is size-checked."""
-    cats = (train.select(F.coalesce(q(col).cast("string"), F.lit("missing")).alias("v")).distinct()
-            .limit(max_categories + 1).collect())
-    if len(cats) > max_categories:
-        raise ValueError(f"{col}: more than {max_categories} categories; use ordinal or target encoding")
-    return sorted(r["v"] for r in cats)
+def one_hot_fit(train: DataFrame, col: str) -> list[str]:
+    """J3 categories (NULL -> ``'missing'``), sorted. Each becomes a column of
+    ``one_hot_apply``; for a column with too many to be columns use ``one_hot_vector``."""
+    cats = train.select(F.coalesce(q(col).cast("string"), F.lit("missing")).alias("v")).distinct()
+    return sorted(r["v"] for r in cats.collect())
+
+
+def one_hot_vector(train: DataFrame, df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """J3 for any number of categories: one sparse vector per row, from the J1 codes
+    (which stay a DataFrame); unseen values are all zeros."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    named = lambda d: d.withColumn("_cat", F.coalesce(q(col).cast("string"), F.lit("missing")))
+    codes = label_encode_fit(named(train), "_cat")
+    n = codes.count()
+    coded = label_encode_apply(named(df), "_cat", codes, out="_slot", unknown=n).withColumn("_slot", F.col("_slot").cast("double"))
+    sizes = df.sparkSession.range(n).select(F.col("id").cast("double").alias("_slot"))
+    model = OneHotEncoder(inputCol="_slot", outputCol=out or f"{col}_vec", dropLast=False, handleInvalid="keep").fit(sizes)
+    return model.transform(coded).drop("_cat", "_slot")
 
 
 def one_hot_apply(df: DataFrame, col: str, categories: list[str]) -> DataFrame:
@@ -190,20 +204,21 @@ def assemble(df: DataFrame, spec_cols: dict[str, list[str]], out: str = "feature
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def pca(df: DataFrame, col: str = "features", width_limit: int = 100, variance: float | None = None,
-        cap: int = 301, out: str = "pca"):
-    """``min(100, width)`` components when the width exceeds 100, or the
-    fewest components reaching ``variance`` explained (capped at ``cap``)."""
-    from pyspark.ml.feature import PCA
+def pca(df: DataFrame, col: str = "features", k: int | None = None, variance: float | None = None,
+        out: str = "pca"):
+    """The first ``k`` principal components, or the fewest that reach the share
+    ``variance``. One fit; a shorter result is a slice of it. (The benchmark's own
+    choices: k = 100 for wider inputs, else the width; variance with k = 301 at most.)"""
+    from pyspark.ml.feature import PCA, VectorSlicer
+
+    if k is None and variance is None:
+        raise ValueError("pca needs k or variance")
     width = len(df.select(col).first()[0])
+    model = PCA(k=min(width, k or width), inputCol=col, outputCol=out).fit(df)
+    made = model.transform(df)
     if variance is None:
-        k = min(width_limit, width) if width > width_limit else width
-        return PCA(k=k, inputCol=col, outputCol=out).fit(df).transform(df)
-    full = PCA(k=min(width, cap), inputCol=col, outputCol=out).fit(df)
-    acc, k = 0.0, 0
-    for v in full.explainedVariance.toArray():
-        acc += v
-        k += 1
-        if acc >= variance:
-            break
-    return PCA(k=k, inputCol=col, outputCol=out).fit(df).transform(df)
+        return made
+    shares = list(itertools.accumulate(model.explainedVariance.toArray()))
+    enough = next((i + 1 for i, s in enumerate(shares) if s >= variance), len(shares))
+    cut = VectorSlicer(inputCol="_all", outputCol=out, indices=list(range(enough)))
+    return cut.transform(made.withColumnRenamed(out, "_all")).drop("_all")

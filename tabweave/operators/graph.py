@@ -10,6 +10,7 @@ once per distinct string (K2) and joined in.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,31 +31,52 @@ def vocabulary(df: DataFrame, text_cols: list[str], num_cols: list[str]) -> Data
     return positions(terms, [], ["term"], out="_p").select("term", (F.col("_p") - 1).alias("idx"))
 
 
+def _rounded(v, digits: int):
+    """Element-wise rounding; a negative zero becomes zero."""
+    def one(x):
+        r = F.round(x, digits)
+        return F.when(r == 0, F.lit(0.0)).otherwise(r)
+    return F.transform(v, one)
+
+
 def star_edges(df: DataFrame, row_id: str, text_cols: list[str], num_cols: list[str], encoder=None,
                digits: int = 6) -> DataFrame:
-    """M1: leaves of every row's star graph plus one self-loop per row (edge of ones)."""
+    """M1: leaves of every row's star graph, and one self-loop per leaf (edge of
+    ones); the centre has none.
+
+    Vectors of the column names are literals (a few columns); vectors of text
+    values are encoded once per distinct value and joined on the value."""
     encoder = encoder or HashingEncoder(8)
-    d = encoder.dim
-    vocab = encode(vocabulary(df, text_cols, num_cols), "term", encoder, "v").select("term", "v")
-    leaves = None
-    for c in text_cols:
-        part = df.select(F.col(row_id).alias("row_id"), F.lit(c).alias("column"), F.lit("text").alias("kind"),
-                         F.lower(F.col(c).cast("string")).alias("term"), F.lit(1.0).alias("scale"))
-        leaves = part if leaves is None else leaves.unionByName(part)
+    spark = df.sparkSession
+    names = spark.createDataFrame([(c,) for c in [*text_cols, *num_cols]], "term string")
+    of_name = {r["term"]: r["v"] for r in encode(names, "term", encoder, "v").select("term", "v").collect()}
+    name_vector = {c: F.array(*[F.lit(float(x)) for x in v]) for c, v in of_name.items()}
+
+    def leaf(c: str, kind: str, term, x):
+        return df.select(F.col(row_id).alias("row_id"), F.lit(c).alias("column"), F.lit(kind).alias("kind"),
+                         name_vector[c].alias("edge"), term.alias("term"), x.alias("x"))
+
+    none = F.lit(None).cast("array<double>")
+    texts = [leaf(c, "text", F.lower(F.col(f"`{c}`").cast("string")), none).filter("term is not null") for c in text_cols]
+    parts = []
     for c in num_cols:
-        part = df.select(F.col(row_id).alias("row_id"), F.lit(c).alias("column"), F.lit("num").alias("kind"),
-                         F.lit(c).alias("term"), F.col(c).cast("double").alias("scale"))
-        leaves = part if leaves is None else leaves.unionByName(part)
-    leaves = leaves.filter(F.col("term").isNotNull() & F.col("scale").isNotNull())
-    xv = vocab.select(F.col("term"), F.col("v").alias("xv"))
-    ev = vocab.select(F.col("term").alias("column"), F.col("v").alias("edge"))
-    j = leaves.join(xv, "term").join(ev, "column")
-    rnd = lambda a: F.transform(a, lambda x: F.round(x, digits))
-    out = j.select("row_id", "column", "kind", rnd("edge").alias("edge"),
-                   rnd(F.transform("xv", lambda x: x * F.col("scale"))).alias("x"))
-    selfloop = df.select(F.col(row_id).alias("row_id"), F.lit("__self__").alias("column"), F.lit("self").alias("kind"),
-                         F.array_repeat(F.lit(1.0), d).alias("edge"), F.lit(None).cast("array<double>").alias("x"))
-    return out.unionByName(selfloop)
+        value = F.col(f"`{c}`").cast("double")
+        x = F.array(*[F.lit(float(v)) * value for v in of_name[c]])
+        parts.append(leaf(c, "num", F.lit(None).cast("string"), F.when(value.isNotNull(), x)).filter("x is not null"))
+    if texts:
+        text = texts[0]
+        for t in texts[1:]:
+            text = text.unionByName(t)
+        values = encode(text.select("term").distinct(), "term", encoder, "xv").select("term", "xv")
+        parts.append(text.drop("x").join(values, "term").withColumnRenamed("xv", "x"))
+    leaves = parts[0].drop("term")
+    for p in parts[1:]:
+        leaves = leaves.unionByName(p.drop("term"))
+    leaves = leaves.select("row_id", "column", "kind", _rounded(F.col("edge"), digits).alias("edge"),
+                           _rounded(F.col("x"), digits).alias("x"))
+    ones = F.array_repeat(F.lit(1.0), encoder.dim)
+    return leaves.unionByName(leaves.select("row_id", "column", F.lit("self").alias("kind"), ones.alias("edge"),
+                                            none.alias("x")))
 
 
 def centre_vectors(edges: DataFrame, digits: int = 6) -> DataFrame:
@@ -64,31 +86,32 @@ def centre_vectors(edges: DataFrame, digits: int = 6) -> DataFrame:
         "_p", F.zip_with("edge", "x", lambda a, b: a * b))
     g = leaves.groupBy("row_id").agg(F.collect_list("_p").alias("_l"), F.count(F.lit(1)).alias("_n"))
     first = F.col("_l")[0]
-    summed = F.aggregate(F.slice("_l", 2, 1 << 20), first, lambda acc, a: F.zip_with(acc, a, lambda x, y: x + y))
-    return g.select("row_id", F.transform(summed, lambda x: F.round(x / F.col("_n"), digits)).alias("centre"))
+    summed = F.aggregate(F.slice(F.col("_l"), F.lit(2), F.size("_l")), first, lambda acc, a: F.zip_with(acc, a, lambda x, y: x + y))
+    return g.select("row_id", _rounded(F.transform(summed, lambda x: x / F.col("_n")), digits).alias("centre"))
+
+
+def view_columns(cols: list[str], n: int, overlap_ratio: float) -> list[list[str]]:
+    """M4 plan: ``n`` consecutive groups whose sizes differ by at most one, the
+    larger first; each borrows ``ceil(first size * ratio)`` columns of its neighbour:
+    the beginning of the next group, for the last group the end of the one before."""
+    bound = [i * (len(cols) // n) + min(i, len(cols) % n) for i in range(n + 1)]
+    group = [cols[bound[i]:bound[i + 1]] for i in range(n)]
+    borrow = math.ceil(len(group[0]) * overlap_ratio)
+
+    def borrowed(i: int) -> list[str]:
+        if n == 1 or not borrow:
+            return []
+        return group[i + 1][:borrow] if i + 1 < n else group[i - 1][-borrow:]
+
+    return [group[i] + borrowed(i) for i in range(n)]
 
 
 def column_views(df: DataFrame, cols: list[str], n: int, overlap_ratio: float, keep: list[str] = ()) -> DataFrame:
-    """M4: ``n`` contiguous column groups (numpy ``array_split`` sizes); each
-    view adds ``ceil(len(group0) * ratio)`` columns from the next group (the
-    last view: from the previous one). Long output with a ``view`` id."""
-    k, r = divmod(len(cols), n)
-    groups, start = [], 0
-    for i in range(n):
-        size = k + (1 if i < r else 0)
-        groups.append(cols[start:start + size])
-        start += size
-    overlap = int(math.ceil(len(groups[0]) * overlap_ratio))
-    out = None
-    for i, g in enumerate(groups):
-        extra = []
-        if overlap > 0 and i < n - 1:
-            extra = groups[i + 1][:overlap]
-        elif overlap > 0 and i == n - 1 and n > 1:
-            extra = groups[i - 1][-overlap:]
-        view = df.select(*keep, *[F.col(c) for c in g + extra], F.lit(i).alias("view"))
-        out = view if out is None else out.unionByName(view, allowMissingColumns=True)
-    return out
+    """M4: the views of ``view_columns`` as one frame with a ``view`` number; columns
+    that a view lacks are NULL."""
+    views = [df.select(*keep, *picked, F.lit(i).alias("view"))
+             for i, picked in enumerate(view_columns(cols, n, overlap_ratio))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), views)
 
 
 def corrupted_view(df: DataFrame, row_id: str, cols: list[str], seed: int = 42) -> DataFrame:

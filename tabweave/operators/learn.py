@@ -2,7 +2,7 @@
 
 Each fit is data-parallel inside Spark ML; the grid / repeat / bagging loops
 run on the driver over a handful of configurations (the loop handles
-parameters, never rows). The run log is a DataFrame appended per config.
+parameters, never rows). The run log is a table appended per config.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import spread
+from ..core import positions, spread
 from . import metrics as Q
 from .runs import best_by
 
@@ -34,40 +35,81 @@ def make_estimator(kind: str, params: dict, seed: int):
     raise ValueError(f"unknown estimator {kind!r}")
 
 
-def fit_eval(df: DataFrame, features: list[str], label: str, kind: str = "rf", params: dict | None = None,
-             seed: int = 0, split: str = "split") -> tuple[DataFrame, object]:
-    """Fit on ``split == 'train'``; accuracy and macro F1 on every split.
-    Returns a metrics frame ``split, accuracy, macro_f1`` and the fitted model."""
-    params = params or {}
+REGRESSORS = ("ridge",)
+
+
+def predictions(df: DataFrame, features: list[str], label: str, kind: str, params: dict | None = None, seed: int = 0,
+                split: str = "split", task: str | None = None) -> tuple[DataFrame, object]:
+    """Fit on ``split == 'train'`` and predict every row: ``split, y, pred`` and, of
+    classifiers that give one, ``probability`` (array). Regression keeps the numeric target."""
+    task = task or ("regression" if kind in REGRESSORS else "classification")
     df = spread(df)
-    idx = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc")
-    vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    est = make_estimator(kind, params, seed).setFeaturesCol("_x").setLabelCol("_y")
-    model = Pipeline(stages=[idx, vec, est]).fit(df.filter(F.col(split) == "train"))
-    pred = model.transform(df).select(split, F.col("_y").alias("y"), F.col("prediction").alias("pred"))
-    acc = Q.accuracy(pred, by=[split])
-    f1 = Q.macro_f1(pred, by=[split])
-    return acc.join(f1, split), model
+    stages = [VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")]
+    if task == "regression":
+        df = df.withColumn("_y", F.col(label).cast("double"))
+    else:
+        stages.insert(0, StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc"))
+    est = make_estimator(kind, params or {}, seed).setFeaturesCol("_x").setLabelCol("_y")
+    model = Pipeline(stages=[*stages, est]).fit(df.filter(F.col(split) == "train"))
+    made = model.transform(df)
+    extra = [vector_to_array("probability").alias("probability")] if "probability" in made.columns else []
+    return made.select(F.col(split).alias("split"), F.col("_y").alias("y"), F.col("prediction").alias("pred"), *extra), model
+
+
+def evaluate(pred: DataFrame, task: str) -> DataFrame:
+    """Metrics per split. Regression: D13. Classification: accuracy, macro F1,
+    weighted precision / recall / F1, and one-vs-rest AUC (NULL without probabilities)."""
+    if task == "regression":
+        return Q.regression_metrics(pred, by=["split"])
+    out = Q.accuracy(pred, by=["split"]).join(Q.macro_f1(pred, by=["split"]), "split").join(
+        Q.weighted_prf(pred, by=["split"]), "split")
+    if "probability" not in pred.columns:
+        return out.withColumn("auc", F.lit(None).cast("double"))
+    one = pred.select("split", "y", F.posexplode("probability").alias("class", "score"))
+    per = Q.roc_auc(one.withColumn("y", (F.col("y") == F.col("class")).cast("int")), by=["split", "class"])
+    return out.join(per.groupBy("split").agg(F.avg("auc").alias("auc")), "split", "left")
+
+
+def fit_eval(df: DataFrame, features: list[str], label: str, kind: str = "rf", params: dict | None = None,
+             seed: int = 0, split: str = "split", task: str | None = None) -> tuple[DataFrame, object]:
+    """Fit on the training rows and evaluate every split by task. Returns a metrics
+    frame with one row per split, and the fitted model."""
+    task = task or ("regression" if kind in REGRESSORS else "classification")
+    pred, model = predictions(df, features, label, kind, params, seed, split, task)
+    pred = pred.checkpoint(eager=True)  # each metric reads it
+    return evaluate(pred, task), model
 
 
 def grid_search(df: DataFrame, features: list[str], label: str, kind: str, grid: DataFrame,
-                log: DataFrame | None = None, seed: int = 0) -> DataFrame:
+                log: DataFrame | None = None, seed: int = 0, log_path: str | None = None) -> DataFrame:
     """One N1 fit per config of ``grid`` (``config_idx`` + parameter columns),
-    skipping configs already in ``log`` (C17); returns the full log with one
-    row per config: ``config_idx, <params>, val_acc, val_f1, test_acc, test_f1``."""
+    skipping configs already logged (C17); returns the full log with one row per
+    config: ``config_idx, <params>, val_acc, val_f1, test_acc, test_f1``.
+
+    With ``log_path`` (a shared folder) each finished config is appended there as
+    Parquet at once, and what is there already is not run again: a search that was
+    cut off goes on where it stopped."""
     spark = df.sparkSession
+    pcols = [c for c in grid.columns if c != "config_idx"]
+    types = dict(grid.dtypes)
+    schema = ", ".join(["config_idx bigint"] + [f"`{c}` {types[c]}" for c in pcols] +
+                       ["val_acc double", "test_acc double", "val_f1 double", "test_f1 double"])
+    if log_path:
+        spark.createDataFrame([], schema).write.mode("append").parquet(log_path)  # so that there is one to read
+        done = spark.read.schema(schema).parquet(log_path)
+        log = done if log is None else log.unionByName(done).dropDuplicates(["config_idx"])
     todo = grid if log is None else grid.join(log.select("config_idx"), "config_idx", "left_anti")
     rows = []
-    pcols = [c for c in grid.columns if c != "config_idx"]
     for r in todo.orderBy("config_idx").collect():  # configs are few; rows never leave Spark
         m, _ = fit_eval(df, features, label, kind, {c: r[c] for c in pcols}, seed)
         got = {x["split"]: x for x in m.collect()}
         rows.append((r["config_idx"], *[r[c] for c in pcols],
                      *[float(got[s]["accuracy"]) if s in got else None for s in ("val", "test")],
                      *[float(got[s]["macro_f1"]) if s in got else None for s in ("val", "test")]))
-    types = dict(grid.dtypes)
-    schema = ", ".join(["config_idx bigint"] + [f"`{c}` {types[c]}" for c in pcols] +
-                       ["val_acc double", "test_acc double", "val_f1 double", "test_f1 double"])
+        if log_path:
+            spark.createDataFrame(rows[-1:], schema).write.mode("append").parquet(log_path)
+    if log_path:
+        return spark.read.schema(schema).parquet(log_path)
     new = spark.createDataFrame(rows, schema)
     return new if log is None else log.unionByName(new)
 
@@ -91,42 +133,41 @@ def repeated_runs(df: DataFrame, features: list[str], label: str, kind: str, par
 def bagging(df: DataFrame, ids: list[str], features: list[str], label: str, kind: str = "lr",
             params: dict | None = None, n_models: int = 15, fraction: float = 0.8, seed: int = 0) -> DataFrame:
     """``n_models`` fits, each on an exact seeded ``fraction`` of the training
-    rows; class probabilities averaged per row (D20 with equal weights).
-    Returns ``ids..., split, y, pred``."""
-    from ..core import ratio_count, seeded_hash, positions
+    rows; class probabilities averaged per row (D20 with equal weights; ties go to
+    the smaller class). Returns ``ids..., split, y, pred``.
+
+    All draws are ranked in one pass and become 0/1 weight columns of one training
+    frame (a zero weight takes a row out of the loss). The fitted models are chained
+    on one frame: each row is read once and its probabilities are averaged in place."""
     train = df.filter(F.col("split") == "train")
-    n = train.count()
-    keep = int(n * fraction)
+    keep = int(train.count() * fraction)
     idx = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
     vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    # every model reads the frame twice (fit, predict): materialise it once
     base = spread(vec.transform(idx.transform(df))).checkpoint(eager=True)
-    probs = None
-    # all draws in one ranking pass: draw b orders the training rows by md5(seed+b|id)
     draws = train.select(*ids).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))))
     draws = draws.withColumn("_o", F.md5(F.concat_ws("|", (F.col("_b") + seed).cast("string"),
                                                      *[F.col(i).cast("string") for i in ids])))
-    draws = positions(draws, ["_b"], ["_o", *ids], out="_p").filter(F.col("_p") <= keep).drop("_o", "_p") \
-        .checkpoint(eager=True)
-    # one 0/1 weight column per draw: every fit reads the same training frame
-    # (a zero weight removes the row from the loss), no join per model
-    flags = draws.groupBy(*ids).agg(*[F.max((F.col("_b") == b).cast("double")).alias(f"_w{b}")
-                                      for b in range(n_models)])
+    draws = positions(draws, ["_b"], ["_o", *ids], out="_p").filter(F.col("_p") <= keep)
+    flags = draws.groupBy(*ids).agg(*[F.max((F.col("_b") == b).cast("double")).alias(f"_w{b}") for b in range(n_models)])
     fit_rows = base.filter(F.col("split") == "train").join(flags, ids, "left") \
         .na.fill(0.0, [f"_w{b}" for b in range(n_models)]).checkpoint(eager=True)
+    scored = base
     for b in range(n_models):
         est = make_estimator(kind, params or {}, seed + b).setFeaturesCol("_x").setLabelCol("_y")
+        est = est.setPredictionCol(f"_pred{b}").setProbabilityCol(f"_prob{b}").setRawPredictionCol(f"_raw{b}")
         if est.hasParam("weightCol"):
             model = est.setWeightCol(f"_w{b}").fit(fit_rows)
         else:
             model = est.fit(fit_rows.filter(F.col(f"_w{b}") > 0))
-        from pyspark.ml.functions import vector_to_array
-        p = model.transform(base).select(*ids, vector_to_array("probability").alias("_pr"))
-        probs = p if probs is None else probs.unionByName(p)
-    ex = probs.select(*ids, F.posexplode("_pr").alias("class", "prob"))
-    avg = ex.groupBy(*ids, "class").agg(F.avg("prob").alias("prob"))
-    best = Q.argmax_label(avg.withColumnRenamed("prob", "score"), row=ids[0], cls="class", score="score")
-    return base.select(*ids, "split", F.col("_y").alias("y")).join(best.select(ids[0], F.col("pred").cast("double")), ids[0])
+        scored = model.transform(scored).drop(f"_pred{b}", f"_raw{b}")
+    each = scored.select(*ids, "split", F.col("_y").alias("y"),
+                         *[vector_to_array(f"_prob{b}").alias(f"_p{b}") for b in range(n_models)])
+    total = F.col("_p0")
+    for b in range(1, n_models):
+        total = F.zip_with(total, f"_p{b}", lambda x, y: x + y)
+    each = each.withColumn("_sum", total)
+    best = (F.array_position("_sum", F.array_max("_sum")) - 1).cast("double")
+    return each.select(*ids, "split", "y", best.alias("pred"))
 
 
 def source_target_fit(target: DataFrame, source: DataFrame, features: list[str], label: str, kind: str = "rf",

@@ -117,11 +117,11 @@ def average_precision(df: DataFrame, y: str = "y", score: str = "score", by: lis
 
 
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] = ()) -> DataFrame:
-    """MSE, RMSE, R^2 = 1 - SSE/SST (one pass: SST from sums of y and y^2)."""
+    """MSE, RMSE, R^2 = 1 - SSE/SST (one pass; SST from the population variance,
+    which Spark merges without cancellation)."""
     e = F.col(y) - F.col(pred)
-    g = df.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.sum(e * e).alias("_sse"), F.count(F.lit(1)).alias("_n"),
-                            F.sum(F.col(y)).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_ss"))
-    sst = F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_n")
+    g = df.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.sum(e * e).alias("_sse"), (F.var_pop(y) * F.count(y)).alias("_sst"))
+    sst = F.col("_sst")
     return g.select(*by, "mse", F.sqrt("mse").alias("rmse"), (1 - F.try_divide(F.col("_sse"), sst)).alias("r2"))
 
 
@@ -133,24 +133,39 @@ def generalisation_gap(df: DataFrame, y: str = "y", pred: str = "pred", split: s
     return g.withColumn("gap", F.col("train_acc") - F.col("test_acc"))
 
 
-def bootstrap_accuracy_ci(df: DataFrame, ids: list[str], y: str = "y", pred: str = "pred", n_boot: int = 10,
-                          seed: int = 123, alpha: float = 0.95) -> DataFrame:
+def bootstrap_ci(df: DataFrame, ids: list[str], metric: str = "acc", y: str = "y", pred: str = "pred", n_boot: int = 10,
+                 seed: int = 123, alpha: float = 0.95) -> DataFrame:
     """``n_boot`` resamples of n rows with replacement (slot of draw j in
-    resample b = md5 of ``seed|b|j`` mod n), accuracy per resample, percentiles
-    (1-alpha)/2 and 1-(1-alpha)/2 clamped to [0, 1]; midpoint and half width."""
+    resample b = md5 of ``seed|b|j`` mod n), the metric of each resample, percentiles
+    (1-alpha)/2 and 1-(1-alpha)/2 clamped to [0, 1]; midpoint and half width.
+    ``metric``: ``acc`` (pred is a label), ``auc`` (pred is a score), ``mse``."""
     n = df.count()
-    pos = positions(df.select(*ids, (F.col(y) == F.col(pred)).cast("double").alias("_ok")), [], ids, out="_slot")
-    pos = pos.withColumn("_slot", F.col("_slot") - 1)
-    draws = pos.select(F.col("_slot").alias("_j")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    rows = positions(df.select(*ids, F.col(y).alias("y"), F.col(pred).alias("pred")), [], ids, out="_slot")
+    rows = rows.withColumn("_slot", F.col("_slot") - 1)
+    draws = rows.select(F.col("_slot").alias("_j")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     draws = draws.withColumn("_slot", F.pmod(seeded_uint(seed, F.col("b"), F.col("_j")), F.lit(n)))
-    per = draws.join(pos.select("_slot", "_ok"), "_slot").groupBy("b").agg(F.avg("_ok").alias("acc"))
-    lo_p, hi_p = (1 - alpha) / 2, alpha + (1 - alpha) / 2
-    ci = per.agg(F.greatest(F.lit(0.0), F.percentile("acc", lo_p)).alias("lower"),
-                 F.least(F.lit(1.0), F.percentile("acc", hi_p)).alias("upper"))
+    drawn = draws.join(rows.select("_slot", "y", "pred"), "_slot")
+    if metric == "acc":
+        per = accuracy(drawn, by=["b"]).withColumnRenamed("accuracy", "value")
+    elif metric == "auc":
+        per = roc_auc(drawn, "y", "pred", ["b"]).withColumnRenamed("auc", "value")
+    elif metric == "mse":
+        per = regression_metrics(drawn, by=["b"]).withColumnRenamed("mse", "value")
+    else:
+        raise ValueError(f"metric is acc, auc or mse, not {metric!r}")
+    low, high = (1 - alpha) / 2, alpha + (1 - alpha) / 2
+    ci = per.agg(F.greatest(F.lit(0.0), F.percentile("value", low)).alias("lower"),
+                 F.least(F.lit(1.0), F.percentile("value", high)).alias("upper"))
     return ci.select("lower", "upper", ((F.col("upper") + F.col("lower")) / 2).alias("mid"),
                      ((F.col("upper") - F.col("lower")) / 2).alias("half_width"))
 
 
+def bootstrap_accuracy_ci(df: DataFrame, ids: list[str], y: str = "y", pred: str = "pred", n_boot: int = 10,
+                          seed: int = 123, alpha: float = 0.95) -> DataFrame:
+    """D17 for accuracy."""
+    return bootstrap_ci(df, ids, "acc", y, pred, n_boot, seed, alpha)
+
+
 def argmax_label(scores: DataFrame, row: str = "row", cls: str = "class", score: str = "score") -> DataFrame:
     """Class with the highest score per row; ties -> smaller class."""
     best = scores.groupBy(row).agg(F.max(F.struct(F.col(score), (-F.col(cls)).alias("_neg"))).alias("_b"))

@@ -85,14 +85,11 @@ def clean_text(c: Column) -> Column:
 
 def resolve_text_columns(columns: list[str], include: list[str] | None = None,
                          exclude: list[str] | None = None) -> list[str]:
-    """``include`` wins (all must exist); else all columns minus ``exclude``."""
-    if include:
-        missing = [c for c in include if c not in columns]
-        if missing:
-            raise ValueError(f"columns not found: {missing}; available: {columns}")
-        return list(include)
-    ex = set(exclude or [])
-    return [c for c in columns if c not in ex]
+    """``include`` wins, else all columns minus ``exclude``; every listed name must exist."""
+    absent = sorted({*(include or ()), *(exclude or ())}.difference(columns))
+    if absent:
+        raise ValueError(f"columns not found: {absent}; available: {columns}")
+    return list(include) if include else [c for c in columns if c not in set(exclude or ())]
 
 
 def drop_columns(df: DataFrame, names=(), contains=(), positions=(), errors: str = "raise") -> DataFrame:
@@ -142,10 +139,8 @@ def coerce_numeric(df: DataFrame, cols: list[str] | None = None, exclude: tuple[
 
 
 def as_category(df: DataFrame, cols: list[str], keep_null: bool = False) -> DataFrame:
-    """To string; a missing value becomes the category ``'nan'`` unless ``keep_null``.
-
-    Whole-valued doubles print without the Java ``E`` notation for magnitudes
-    below 1e7 (``1.0`` stays ``1.0``)."""
+    """To string (Spark's rendering); a missing value becomes the category
+    ``'nan'`` unless ``keep_null``."""
     def cat(c):
         s = q(c).cast("string")
         return s if keep_null else F.coalesce(s, F.lit("nan"))
@@ -197,71 +192,106 @@ def check_kind_overlap(spec: TableSpec, kinds: dict[str, list[str]], retag: bool
 
 
 # ------------------------------------------------------------------ recipe runner
-def _apply(df: DataFrame, step: dict) -> DataFrame:
+def _each(make):
+    """A step that rewrites its columns: ``make(column, step)``."""
+    return lambda df, cols, step: df.withColumns({c: make(q(c), step) for c in cols})
+
+
+def _texts(df: DataFrame) -> list[str]:
+    return [c for c, t in df.dtypes if t == "string"]
+
+
+def _encode_label(df: DataFrame, cols: list[str], step: dict) -> DataFrame:
+    from .features import label_encode_apply, label_encode_fit
+
+    for c in cols:
+        df = label_encode_apply(df, c, label_encode_fit(df, c))
+    return df
+
+
+def _distinct(df: DataFrame, cols: list[str], step: dict) -> DataFrame:
+    from .augment import distinct_keep_first
+
+    return distinct_keep_first(df, cols, step["row_id"])
+
+
+# Steps that work on listed columns (``cols``, or ``col`` for one).
+COLUMN_STEPS = {
+    "clean_text": _each(lambda c, s: clean_text(c)),
+    "na_tokens": _each(lambda c, s: T.null_tokens(c, s.get("tokens"))),
+    "null_blank": _each(lambda c, s: T.null_if_blank(c)),
+    "null_value": _each(lambda c, s: T.null_if_value(c, s["value"])),
+    "numeric": _each(lambda c, s: T.to_number(c)),
+    "currency": _each(lambda c, s: T.strip_currency(c)),
+    "percent": _each(lambda c, s: T.strip_percent(c)),
+    "suffix_number": _each(lambda c, s: T.strip_suffix(c, s["suffix"])),
+    "drop_first_char": _each(lambda c, s: T.drop_first_char(c)),
+    "drop_last_char": _each(lambda c, s: T.drop_last_char(c)),
+    "minutes": _each(lambda c, s: T.duration_minutes(c)),
+    "rescale": _each(lambda c, s: T.rescale(c, s["factor"])),
+    "lower": _each(lambda c, s: F.lower(c.cast("string"))),
+    "text": _each(lambda c, s: c.cast("string") if s.get("keep_null") else F.coalesce(c.cast("string"), F.lit("nan"))),
+    "split_part": _each(lambda c, s: T.split_part(c, s["sep"], s.get("index", 0))),
+    "regex": _each(lambda c, s: T.regex_extract(c, s["pattern"], s.get("group", 1))),
+    "regex_count": _each(lambda c, s: T.regex_count(c, s["pattern"], s.get("zero_as_null", True))),
+    "first_chars": _each(lambda c, s: T.prefix(c, s["n"])),
+    "last_chars": _each(lambda c, s: T.suffix(c, s["n"])),
+    "year": _each(lambda c, s: T.year_text(c)),
+    "trim_chars": _each(lambda c, s: T.trim_chars(c, s["chars"])),
+    "space_after": _each(lambda c, s: T.space_after(c, s.get("sep", ","))),
+    "date": _each(lambda c, s: T.reformat_date(c, s["patterns"], s.get("out", "yyyy-MM-dd HH:mm:ss"), s.get("strict", False))),
+    "map": _each(lambda c, s: T.map_values(c, s["map"], s.get("keep", False))),
+    "fill_from": _each(lambda c, s: T.fill_from(c, q(s["other"]))),
+    "names": _each(lambda c, s: T.names_from_literal_list(c, s.get("field", "name"))),
+    "json_field": _each(lambda c, s: T.json_field(c, s["path"])),
+    "log": _each(lambda c, s: T.log_target(c, str(s.get("base", "e")), s.get("plus_one", False), s.get("scale"))),
+    "binary": _each(lambda c, s: T.binary_indicator(c, s.get("tokens"))),
+    "binarize": _each(lambda c, s: T.binarize(c, s["threshold"], s.get("inclusive", False))),
+    "binarize_contains": _each(lambda c, s: T.binarize_contains(c, s["needle"])),
+    "dropna": lambda df, cols, s: drop_null_rows(df, cols),
+    "select": lambda df, cols, s: keep_columns(df, cols),
+    "distinct": _distinct,
+    "label_encode": _encode_label,
+}
+# Steps that work on the table.
+TABLE_STEPS = {
+    "clean_names": lambda df, s: clean_column_names(df),
+    "drop": lambda df, s: drop_columns(df, s.get("names", ()), s.get("contains", ()), s.get("positions", ()),
+                                       "ignore" if s.get("ignore") else "raise"),
+    "rename": lambda df, s: rename_columns(df, s["map"]),
+    "drop_high_null": lambda df, s: drop_high_null(df, s.get("p", 0.5), tuple(s.get("keep", ()))),
+    "drop_single_unique": lambda df, s: drop_single_unique(df, s.get("at_most", False), tuple(s.get("keep", ()))),
+    "concat": lambda df, s: df.withColumn(s["out"], T.concat_strict(*[q(c) for c in s["of"]], sep=s.get("sep", " "))),
+    "filter": lambda df, s: keep_rows(df, F.expr(s["expr"])),
+    "exclude": lambda df, s: drop_rows(df, F.expr(s["expr"])),
+}
+EVERY_TEXT = ("clean_text", "na_tokens", "null_blank")  # without a list: all string columns
+
+
+def run_step(df: DataFrame, step: dict) -> DataFrame:
+    """One recipe step. A listed column that the table lacks raises, unless the
+    step says ``"ignore": true`` (then it works on those that are there)."""
     op = step["op"]
-    cols = step.get("cols")
-    if cols is not None:  # columns are checked loosely: a step skips columns an earlier step dropped
-        cols = [c for c in cols if c in df.columns]
-    if "col" in step and step["col"] not in df.columns:
-        return df
-    if op == "clean_names":
-        return clean_column_names(df)
-    if op == "clean_text":
-        return clean_text_cells(df, cols)
-    if op == "na_tokens":
-        tgt = cols if cols is not None else [c for c, t in df.dtypes if t == "string"]
-        return df.withColumns({c: T.null_tokens(q(c), step.get("tokens")) for c in tgt})
-    if op == "drop":
-        return drop_columns(df, step.get("names", ()), step.get("contains", ()), errors=step.get("errors", "ignore"))
-    if op == "rename":
-        return rename_columns(df, step["map"])
-    if op == "drop_high_null":
-        return drop_high_null(df, step.get("p", 0.5), tuple(step.get("keep", ())))
-    if op == "drop_single_unique":
-        return drop_single_unique(df, keep=tuple(step.get("keep", ())))
-    if op == "dropna":
-        return drop_null_rows(df, cols)
-    if op == "numeric":
-        return coerce_numeric(df, cols)
-    if op == "currency":
-        return df.withColumns({c: T.strip_currency(q(c)) for c in cols})
-    if op == "percent":
-        return df.withColumns({c: T.strip_percent(q(c)) for c in cols})
-    if op == "category":
-        tgt = cols if cols is not None else [c for c, t in df.dtypes if t != "string"]
-        return as_category(df, tgt, step.get("keep_null", False))
-    if op == "log":
-        return df.withColumn(step["col"], T.log_target(q(step["col"]), str(step.get("base", "e")),
-                                                       step.get("plus_one", False)))
-    if op == "binarize":
-        return df.withColumn(step["col"], T.binarize(q(step["col"]), step["threshold"], step.get("inclusive", False)))
-    if op == "split_part":
-        return df.withColumn(step["col"], T.split_part(q(step["col"]), step["sep"], step.get("index", 0)))
-    if op == "map":
-        return df.withColumn(step["col"], T.map_values(q(step["col"]), step["map"], step.get("keep", False)))
-    if op == "date":
-        return df.withColumn(step["col"], T.reformat_date(q(step["col"]), step["patterns"],
-                                                          step.get("out", "yyyy-MM-dd HH:mm:ss"),
-                                                          step.get("strict", False)))
-    if op == "filter":
-        return keep_rows(df, F.expr(step["expr"]))
-    if op == "exclude":
-        return drop_rows(df, F.expr(step["expr"]))
-    if op == "distinct":
-        from .augment import distinct_keep_first
-        return distinct_keep_first(df, cols, step["row_id"])
-    if op == "label_encode":
-        from .features import label_encode_fit, label_encode_apply
-        return label_encode_apply(df, step["col"], label_encode_fit(df, step["col"]))
-    if op == "select":
-        return keep_columns(df, cols)
-    raise ValueError(f"unknown recipe op {op!r}")
+    if op in TABLE_STEPS:
+        return TABLE_STEPS[op](df, step)
+    if op not in COLUMN_STEPS:
+        raise ValueError(f"unknown recipe op {op!r}")
+    listed = [step["col"]] if "col" in step else step.get("cols")
+    if listed is None:
+        if op not in EVERY_TEXT:
+            raise ValueError(f"recipe op {op!r} needs cols")
+        listed = _texts(df)
+    absent = [c for c in listed if c not in df.columns]
+    if absent and not step.get("ignore"):
+        raise ValueError(f"recipe op {op!r}: no columns {absent}")
+    present = [c for c in listed if c in df.columns]
+    return COLUMN_STEPS[op](df, present, step) if present else df
 
 
 def prepare(df: DataFrame, steps: list[dict]) -> DataFrame:
     """Run a recipe: an ordered list of ``{"op": ..., ...}`` steps."""
     for s in steps:
-        df = _apply(df, s)
+        df = run_step(df, s)
     return df
 
 

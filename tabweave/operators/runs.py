@@ -24,6 +24,7 @@ TABLE_TAGS = {
     "nctaxi": ["nctaxi_newyork_taxi", "nctaxi_chicago_taxi", "nctaxi_da", "nctaxi_fa"],
     "dsmusic": ["dsmusic_discogs", "dsmusic_spotify", "dsmusic_da", "dsmusic_fa"],
     "agbooks": ["agbooks_amazon", "agbooks_goodreads", "agbooks_da", "agbooks_fa"],
+    "nnstocks": ["nnstocks_nnlist", "nnstocks_nnwiki", "nnstocks_da", "nnstocks_fa"],
 }
 
 
@@ -35,7 +36,7 @@ def catalog_frame(spark: SparkSession) -> DataFrame:
 def dataset_tags(df: DataFrame, dataset: str, idx: str, strict: bool = False) -> DataFrame:
     """Tag of (dataset, table index); unknown -> ``<dataset>_table<i>``.
     ``strict`` raises when a known dataset is asked for an index it lacks."""
-    cat = F.broadcast(catalog_frame(df.sparkSession))  # fixed 20-row table
+    cat = F.broadcast(catalog_frame(df.sparkSession))  # fixed 24-row table
     j = df.join(cat, (df[dataset] == cat["dataset"]) & (df[idx] == cat["table_idx"]), "left")
     if strict:
         known = list(TABLE_TAGS)

@@ -115,6 +115,22 @@ def repeated_kfold(df: DataFrame, ids: list[str] | str, k: int, repeats: int, se
     return ranked.select("repeat", *ids, _ntile(F.col("_pos"), F.col("_m"), k).alias("fold"))
 
 
+def repeated_shuffle_split(df: DataFrame, ids: list[str] | str, repeats: int, test_ratio: float, seed: int = 42,
+                           label: str | None = None) -> DataFrame:
+    """For each repeat r (seed ``seed + r``) the first ``ceil(m * test_ratio)`` rows of
+    the seeded order are the test part, within the class when ``label`` is given.
+    Output ``repeat, ids..., part`` (``test`` or ``train``)."""
+    ids = _ids(ids)
+    rep = df.select(*ids, *([F.col(label).alias("_label")] if label else []))
+    rep = rep.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    rep = rep.withColumn("_o", F.md5(F.concat_ws("|", (F.col("repeat") + F.lit(seed)).cast("string"),
+                                                 *[F.col(i).cast("string") for i in ids])))
+    by = ["repeat"] + (["_label"] if label else [])
+    ranked = positions(rep, by, ["_o", *ids], out="_pos", size_col="_m")
+    n_test = F.ceil(F.col("_m").cast("double") * F.lit(float(test_ratio)))
+    return ranked.select("repeat", *ids, F.when(F.col("_pos") <= n_test, "test").otherwise("train").alias("part"))
+
+
 def nested_subsets(df: DataFrame, ids: list[str] | str, label: str, fractions=(0.25, 0.5, 0.75),
                    seed: int = 42, check: bool = False) -> DataFrame:
     """Class-balanced nested subsets: prefixes of one per-class seeded
@@ -122,7 +138,7 @@ def nested_subsets(df: DataFrame, ids: list[str] | str, label: str, fractions=(0
     ``row ids, pct``; with ``check`` nesting and class counts are verified."""
     ids = _ids(ids)
     if df.filter(F.col(label).isNull()).limit(1).count():
-        raise ValueError(f"{label} contains missing values")
+        raise ValueError(f"nested subsets need a label in every row; {label!r} has NULLs")
     base = df.select(*ids, F.col(label).alias("_label"), seeded_hash(seed, *ids).alias("_o"))
     ranked = positions(base, ["_label"], ["_o", *ids], out="_pos", size_col="_m")
     parts = [ranked.filter(F.col("_pos") <= ratio_count("_m", f)).select(*ids, F.lit(int(round(f * 100))).alias("pct"))
@@ -136,14 +152,15 @@ def nested_subsets(df: DataFrame, ids: list[str] | str, label: str, fractions=(0
             pa = out.filter(F.col("pct") == int(round(a * 100))).select(*ids)
             pb = out.filter(F.col("pct") == int(round(b * 100))).select(*ids)
             if pa.join(pb, ids, "left_anti").limit(1).count():
-                raise RuntimeError("Generated subsets are not nested")
+                raise RuntimeError(f"rows of the {a:.0%} subset are missing from the {b:.0%} subset")
     return out
 
 
 def capped_stratified_sample(df: DataFrame, ids: list[str] | str, strata: list[str], fraction: float,
                              cap: int = 10_000, seed: int = 42) -> DataFrame:
     """Keep ``int(m_s * size)`` rows per stratum, size = ``cap/n*fraction``
-    when n > cap, else ``fraction`` (seeded order within each stratum)."""
+    when n > cap, else ``fraction`` (seeded order within each stratum). ``cap`` is the
+    documented bound on the rows that a model is fitted on (N7); it has no other use."""
     ids = _ids(ids)
     n = df.count()
     size = (cap / n * fraction) if n > cap else fraction

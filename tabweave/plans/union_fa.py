@@ -15,8 +15,12 @@ from ..operators.prepare import resolve_text_columns
 
 def union_fa(task: DataFrame, task_id: str, aux: DataFrame, aux_id: str, include_task=None, include_aux=None,
              exclude=(), threshold: float | None = None, prefix: str = "aux_") -> dict:
-    t_cols = resolve_text_columns(task.columns, include_task, [task_id, *exclude])
-    a_cols = resolve_text_columns(aux.columns, include_aux, [aux_id, *exclude])
+    # one list excludes columns of either table; a name that neither has raises
+    unknown = sorted(set(exclude).difference(task.columns, aux.columns))
+    if unknown:
+        raise ValueError(f"columns to exclude in neither table: {unknown}")
+    t_cols = resolve_text_columns(task.columns, include_task, [task_id, *[c for c in exclude if c in task.columns]])
+    a_cols = resolve_text_columns(aux.columns, include_aux, [aux_id, *[c for c in exclude if c in aux.columns]])
     t = task.withColumn("_text", row_text(t_cols))
     a = aux.withColumn("_text", row_text(a_cols))
     m = M.apply_threshold(M.text_knn(t, task_id, "_text", a, aux_id, "_text", k=1), threshold)

@@ -9,19 +9,13 @@ from __future__ import annotations
 from importlib import import_module
 
 AREAS = ["matching", "prepare", "functions", "splits", "augment", "metrics", "runs", "features",
-         "graph", "sources", "learning"]
+         "sources", "learning"]
 
 
 def all_queries() -> dict:
     out = {}
     for area in AREAS:
-        try:
-            mod = import_module(f"{__name__}.{area}")
-        except ModuleNotFoundError as e:
-            if e.name == f"{__name__}.{area}":
-                continue
-            raise
-        for k, v in mod.QUERIES.items():
+        for k, v in import_module(f"{__name__}.{area}").QUERIES.items():
             if k in out:
                 raise KeyError(f"duplicate query name {k}")
             out[k] = v

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..core import table
 from ..operators import augment as A
+from ..operators import match as M
 from ..operators import split as X
-from ..plans.join_fa import join_fa_text
-from ..plans.union_da import join_da_from_matched, union_da
+from ..plans.join_fa import join_fa, join_fa_text
+from ..plans.union_da import join_da, union_da
 from .sqlparts import ratio, seeded_md5, tfidf_top1
 
 
@@ -169,34 +170,44 @@ SELECT d.doc_id, d.lang, best.t2_id AS item_id FROM documents d JOIN best ON bes
 
 
 # ------------------------------------------------------------------ P5
+def _p5_task(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    task = d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return task, X.stratified_split(task, "doc_id", "quality", seed=42)
+
+
 def p5_join_da(spark, sf):
     """Matched benchmark rows get the quality label of their document and are
     appended to the labelled document table (documents ⟕ labels)."""
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    lab = table(spark, sf, "labels").select("doc_id", "quality")
-    task = d.join(lab, "doc_id", "left")
-    split = X.stratified_split(task, "doc_id", "quality", seed=42)
-    matched = join_fa_text(spark, sf)["matched"]
-    return join_da_from_matched(task, "doc_id", "quality", split, matched, "t1_index", "item_id",
-                                ratio=0.3, seed=42)["combined"]
+    task, split = _p5_task(spark, sf)
+    return join_da(task, "doc_id", "quality", split, "item_id", matched=join_fa_text(spark, sf)["matched"], seed=42)["combined"]
+
+
+def p5_join_da_enriched(spark, sf):
+    """The same from the enriched table: its task columns go, its label stays."""
+    task, split = _p5_task(spark, sf)
+    items = table(spark, sf, "benchmark")
+    fa = join_fa(task, "doc_id", "text", items, "item_id", "text", M.text_knn(task, "doc_id", "text", items, "item_id", "text"))
+    return join_da(task, "doc_id", "quality", split, "item_id", enriched=fa["enriched"], seed=42)["combined"]
 
 
-SQL_P5 = f"""WITH {tfidf_top1('SELECT doc_id AS id, text FROM documents', 'SELECT item_id AS id, text FROM benchmark')},
+P5_SQL = f"""WITH {tfidf_top1('SELECT doc_id AS id, text FROM documents', 'SELECT item_id AS id, text FROM benchmark')},
 task AS (SELECT d.doc_id, d.text, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)),
 split AS (SELECT doc_id, CASE WHEN pos <= {ratio('m', 0.7)} THEN 'train'
             WHEN pos <= {ratio('m', 0.7)} + {ratio('m', 0.1)} THEN 'val' ELSE 'test' END AS split
           FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY {seeded_md5(42, 'doc_id')}, doc_id) AS pos,
                        count(*) OVER (PARTITION BY quality) AS m FROM task WHERE quality IS NOT NULL)),
-rows0 AS (SELECT b.item_id, b.text, t.quality FROM best JOIN benchmark b ON b.item_id = best.t2_id
+rows1 AS (SELECT DISTINCT b.item_id, b.text, t.quality FROM best JOIN benchmark b ON b.item_id = best.t2_id
           JOIN task t ON t.doc_id = best.t1_id WHERE t.quality IS NOT NULL),
-rows1 AS (SELECT r.* FROM rows0 r JOIN (SELECT text, quality, min(item_id) AS first FROM rows0 GROUP BY text, quality) f
-          ON f.text = r.text AND f.quality = r.quality AND r.item_id = f.first),
 budget AS (SELECT least({ratio("(SELECT count(*) FROM split WHERE split = 'train')", 0.3)}, (SELECT count(*) FROM rows1)) AS n),
 picked AS (SELECT * FROM (SELECT *, row_number() OVER (
              ORDER BY md5(concat_ws('|', '42', CAST(item_id AS VARCHAR), CAST(quality AS VARCHAR))), item_id, quality) AS pos
            FROM rows1) WHERE pos <= (SELECT n FROM budget))
-SELECT t.doc_id, t.text, t.lang, t.quality, CAST(NULL AS BIGINT) AS item_id, s.split FROM task t LEFT JOIN split s USING (doc_id)
+"""
+SQL_P5 = P5_SQL + """SELECT t.doc_id, t.text, t.lang, t.quality, CAST(NULL AS BIGINT) AS item_id, s.split FROM task t LEFT JOIN split s USING (doc_id)
 UNION ALL SELECT NULL, text, NULL, quality, item_id, 'train' FROM picked"""
+SQL_P5_ENRICHED = P5_SQL + """SELECT t.doc_id, t.text, t.lang, t.quality, CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS VARCHAR) AS t2_text, s.split
+FROM task t LEFT JOIN split s USING (doc_id) UNION ALL SELECT NULL, NULL, NULL, quality, item_id, text, 'train' FROM picked"""
 
 
 QUERIES = {
@@ -212,4 +223,5 @@ QUERIES = {
     "c13_dictionary_lookup": (c13_dictionary_lookup, SQL_C13),
     "c16_zip_join": (c16_zip_join, SQL_C16),
     "p5_join_da": (p5_join_da, SQL_P5),
+    "p5_join_da_enriched": (p5_join_da_enriched, SQL_P5_ENRICHED),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..core import table
@@ -159,9 +160,33 @@ def j9_pca(spark, sf):
     return J.pca(v, "features", variance=0.9).select("l_orderkey", "pca")
 
 
+def j9_pca_share(spark, sf):
+    """The fewest components with 90 % of the variance: their number, as rows see it."""
+    return j9_pca(spark, sf).groupBy(F.size(vector_to_array("pca")).alias("components")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# one column has nearly all variance, so its share is a bound on that of the first component
+SQL_J9 = """SELECT CASE WHEN greatest(var_pop(l_extendedprice), var_pop(l_quantity), var_pop(l_discount), var_pop(l_tax))
+  >= 0.9 * (var_pop(l_extendedprice) + var_pop(l_quantity) + var_pop(l_discount) + var_pop(l_tax)) THEN 1 END AS components, count(*) AS n_rows FROM lineitem"""
+
+
 def j10_assemble(spark, sf):
-    c = table(spark, sf, "customer")
-    return J.assemble(c, {"num": ["c_acctbal", "c_nationkey"], "bin": []}).select("c_custkey", "features")
+    c = table(spark, sf, "customer").withColumn("rich", (F.col("c_acctbal") > 5000).cast("int"))
+    got = J.assemble(c, {"num": ["c_acctbal", "c_nationkey"], "bin": ["rich"]})
+    return got.select("c_custkey", vector_to_array("features").alias("features"))
+
+
+SQL_J10 = """SELECT c_custkey, [CAST(c_acctbal > 5000 AS DOUBLE), CAST(c_acctbal AS DOUBLE), CAST(c_nationkey AS DOUBLE)] AS features FROM customer"""
+
+
+def j3_one_hot_vector(spark, sf):
+    c = _cust_split(spark, sf)
+    got = J.one_hot_vector(c.filter("split = 'train'"), c.select("c_custkey", "c_mktsegment"), "c_mktsegment", out="v")
+    return got.select("c_custkey", vector_to_array("v").alias("v"))
+
+
+SQL_J3B = f"""WITH s AS ({CUST_SPLIT_SQL}), t AS (SELECT DISTINCT c_mktsegment AS m FROM customer JOIN s USING (c_custkey) WHERE split = 'train')
+SELECT c_custkey, (SELECT list(CAST(t.m = customer.c_mktsegment AS DOUBLE) ORDER BY t.m) FROM t) AS v FROM customer"""
 
 
 # ------------------------------------------------------------------ K1 / K2 (hashing encoder, 8 dims)
@@ -227,11 +252,12 @@ leaves AS (SELECT c_custkey AS row_id, 'c_name' AS "column", 'text' AS kind, low
   UNION ALL SELECT c_custkey, 'c_mktsegment', 'text', lower(c_mktsegment), 1.0 FROM customer
   UNION ALL SELECT c_custkey, 'c_acctbal', 'num', 'c_acctbal', CAST(c_acctbal AS DOUBLE) FROM customer
   UNION ALL SELECT c_custkey, 'c_nationkey', 'num', 'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer),
-edges AS (SELECT l.row_id, l."column", l.kind, list_transform(e.v, lambda x: round(x, 6)) AS edge, list_transform(xv.v, lambda x: round(x * l.scale, 6)) AS x
+edges AS (SELECT l.row_id, l."column", l.kind, list_transform(e.v, lambda x: CASE WHEN round(x, 6) = 0 THEN 0.0 ELSE round(x, 6) END) AS edge,
+    list_transform(xv.v, lambda x: CASE WHEN round(x * l.scale, 6) = 0 THEN 0.0 ELSE round(x * l.scale, 6) END) AS x
   FROM leaves l JOIN vocab xv ON xv.term = l.term JOIN vocab e ON e.term = l."column"
   WHERE l.term IS NOT NULL AND l.scale IS NOT NULL)"""
 SQL_M1 = f"""WITH {EDGES_SQL}
-SELECT * FROM edges UNION ALL SELECT c_custkey, '__self__', 'self', [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0], NULL FROM customer"""
+SELECT * FROM edges UNION ALL SELECT row_id, "column", 'self', [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0], NULL FROM edges"""
 
 
 def m2_centre_vectors(spark, sf):
@@ -240,7 +266,7 @@ def m2_centre_vectors(spark, sf):
 
 SQL_M2 = f"""WITH {EDGES_SQL},
 u AS (SELECT row_id, i, avg(edge[i] * x[i]) AS v, count(*) AS n FROM edges, range(1, 9) t(i) GROUP BY row_id, i)
-SELECT row_id, list(round(v, 6) ORDER BY i) AS centre FROM u GROUP BY row_id"""
+SELECT row_id, list(CASE WHEN round(v, 6) = 0 THEN 0.0 ELSE round(v, 6) END ORDER BY i) AS centre FROM u GROUP BY row_id"""
 
 
 def m4_column_views(spark, sf):
@@ -272,7 +298,9 @@ QUERIES = {
     "j7_standard_scale": (j7_standard_scale, SQL_J7),
     "j8_power_transform": (j8_power_transform, SQL_J8),
     "j9_pca": (j9_pca, None),
-    "j10_assemble": (j10_assemble, None),
+    "j9_pca_share": (j9_pca_share, SQL_J9),
+    "j10_assemble": (j10_assemble, SQL_J10),
+    "j3_one_hot_vector": (j3_one_hot_vector, SQL_J3B),
     "k1_hash_encode": (k1_hash_encode, SQL_K1),
     "k2_encode_distinct": (k2_encode_distinct, SQL_K2),
     "m1_star_edges": (m1_star_edges, SQL_M1),

@@ -232,9 +232,9 @@ def i19_row_sentence(spark, sf):
     return c.select("c_custkey", T.row_sentence(["c_name", "c_mktsegment", "c_nationkey"]).alias("sentence"))
 
 
-SQL_I19 = """SELECT c_custkey, 'query: ' || concat_ws(' ', 'c name ' || lower(c_name) || '.',
-  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'c mktsegment ' || lower(c_mktsegment) || '.' END,
-  'c nationkey ' || CAST(c_nationkey AS VARCHAR) || '.') AS sentence FROM customer"""
+SQL_I19 = """SELECT c_custkey, 'query: ' || concat_ws(' ', 'c_name ' || lower(c_name) || '.',
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'c_mktsegment ' || lower(c_mktsegment) || '.' END,
+  'c_nationkey ' || CAST(c_nationkey AS VARCHAR) || '.') AS sentence FROM customer"""
 
 
 def i20_encoder_text(spark, sf):
@@ -249,13 +249,14 @@ SQL_I20 = """SELECT c_custkey, concat_ws(' ', 'c_mktsegment ' || c_mktsegment, '
 # ------------------------------------------------------------------ I23 / I24
 def i23_significance(spark, sf):
     d = table(spark, sf, "documents")
-    p = (F.col("n_chars") % 1000) / 10000.0
+    p = F.round((F.col("doc_id") % 60) / 1000.0, 4)  # 0.001, 0.01 and 0.05 are among them
     return d.select("doc_id", T.significance(p).alias("stars"), T.significant(p, 0.05).alias("sig"))
 
 
-SQL_I23 = """WITH t AS (SELECT doc_id, (n_chars % 1000) / 10000.0 AS p FROM documents)
-SELECT doc_id, CASE WHEN p <= 0.001 THEN '***' WHEN p <= 0.01 THEN '**' WHEN p <= 0.05 THEN '*' ELSE 'NS' END AS stars,
-  CAST(p <= 0.05 AS INTEGER) AS sig FROM t"""
+SQL_I23 = """WITH t AS (SELECT doc_id, round((doc_id % 60) / 1000.0, 4) AS p FROM documents)
+SELECT doc_id, CASE WHEN p > 0.05 THEN 'NS' WHEN p >= 0 AND p < 0.001 THEN '***' WHEN p >= 0.001 AND p < 0.01 THEN '**'
+    WHEN p >= 0.01 AND p < 0.05 THEN '*' ELSE CAST(p AS VARCHAR) END AS stars,
+  CAST(CASE WHEN p > 0.05 THEN 0 WHEN p > 0 AND p < 0.05 THEN 1 ELSE p END AS DOUBLE) AS sig FROM t"""
 
 
 def i24_vector_math(spark, sf):

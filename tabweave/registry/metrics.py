@@ -32,11 +32,16 @@ BIN_SQL = """SELECT d.doc_id, d.n_chars, d.source, l.quality AS y, round(d.n_cha
   CAST(round(d.n_chars / (d.n_chars + 2000.0), 6) > 0.5 AS INTEGER) AS pred FROM documents d JOIN labels l USING (doc_id)"""
 
 
-def _votes(spark, sf, k=8):
+def _neighbours(spark, sf, k=8):
     e = table(spark, sf, "embeddings")
-    knn = M.vector_knn(e, "vec_id", "embedding", e, "vec_id", "embedding", k=k, exclude_same_id=True)
-    lab = e.select(F.col("vec_id").alias("t2_id"), F.col("label").alias("class"))
-    return (knn.join(lab, "t2_id").groupBy(F.col("t1_id").alias("row"), "class")
+    return M.vector_knn(e, "vec_id", "embedding", e, "vec_id", "embedding", k=k, exclude_same_id=True)
+
+
+def _votes(spark, sf, k=8, knn=None):
+    """Shares of the labels among the ``k`` nearest; ``knn`` may be a deeper list."""
+    lab = table(spark, sf, "embeddings").select(F.col("vec_id").alias("t2_id"), F.col("label").alias("class"))
+    near = (knn if knn is not None else _neighbours(spark, sf, k)).filter(F.col("rank") <= k)
+    return (near.join(lab, "t2_id").groupBy(F.col("t1_id").alias("row"), "class")
             .agg((F.count(F.lit(1)) / float(k)).alias("score")))
 
 
@@ -208,7 +213,7 @@ def d17_bootstrap_ci(spark, sf):
 SQL_D17 = f"""WITH b AS ({BIN_SQL}),
 p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS slot, CAST(y = pred AS DOUBLE) AS ok FROM b),
 n AS (SELECT count(*) AS n FROM b),
-d AS (SELECT t.b, ('0x' || substr(md5(concat_ws('|', '123', CAST(t.b AS VARCHAR), CAST(p.slot AS VARCHAR))), 1, 8))::BIGINT
+d AS (SELECT t.b, ('0x' || substr(md5(concat_ws('|', '123', CAST(t.b AS VARCHAR), CAST(p.slot AS VARCHAR))), 1, 15))::BIGINT
                % (SELECT n FROM n) AS slot FROM p CROSS JOIN range(1, 11) t(b)),
 per AS (SELECT d.b, avg(p.ok) AS acc FROM d JOIN p USING (slot) GROUP BY d.b),
 ci AS (SELECT greatest(0.0, quantile_cont(acc, 0.025)) AS lower, least(1.0, quantile_cont(acc, 0.975)) AS upper FROM per)
@@ -216,10 +221,35 @@ SELECT round(lower, 6) AS lower, round(upper, 6) AS upper, round((upper + lower)
        round((upper - lower) / 2, 6) AS half_width FROM ci"""
 
 
+def d17_bootstrap_auc_ci(spark, sf):
+    return _r6(Q.bootstrap_ci(_binary(spark, sf), ["doc_id"], "auc", "y", "score", n_boot=10, seed=123))
+
+
+def d17_bootstrap_mse_ci(spark, sf):
+    return _r6(Q.bootstrap_ci(_binary(spark, sf), ["doc_id"], "mse", "y", "score", n_boot=10, seed=123))
+
+
+def _d17_sql(per: str) -> str:
+    return f"""WITH b AS ({BIN_SQL}),
+p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS slot, y, score FROM b),
+d AS (SELECT t.b, ('0x' || substr(md5(concat_ws('|', '123', CAST(t.b AS VARCHAR), CAST(p.slot AS VARCHAR))), 1, 15))::BIGINT
+               % (SELECT count(*) FROM b) AS slot FROM p CROSS JOIN range(1, 11) t(b)),
+r AS (SELECT d.b, p.y, p.score FROM d JOIN p USING (slot)),
+per AS ({per}),
+ci AS (SELECT greatest(0.0, quantile_cont(v, 0.025)) AS lower, least(1.0, quantile_cont(v, 0.975)) AS upper FROM per)
+SELECT round(lower, 6) AS lower, round(upper, 6) AS upper, round((upper + lower) / 2, 6) AS mid, round((upper - lower) / 2, 6) AS half_width FROM ci"""
+
+
+SQL_D17_AUC = _d17_sql("""SELECT b, sum(CASE WHEN y = 1 THEN avg_rank END) / sum(y) / (count(*) - sum(y)) - (sum(y) + 1) / 2.0 / (count(*) - sum(y)) AS v
+  FROM (SELECT b, y, rank() OVER (PARTITION BY b ORDER BY score) + (count(*) OVER (PARTITION BY b, score) - 1) / 2.0 AS avg_rank FROM r) GROUP BY b""")
+SQL_D17_MSE = _d17_sql("SELECT b, avg((y - score) * (y - score)) AS v FROM r GROUP BY b")
+
+
 # ------------------------------------------------------------------ D20 - D22, E13
 def d20_ensemble(spark, sf):
-    v8 = _votes(spark, sf, 8).withColumn("model", F.lit("knn8")).withColumn("w", F.lit(0.7))
-    v2 = _votes(spark, sf, 2).withColumn("model", F.lit("knn2")).withColumn("w", F.lit(0.3))
+    knn = _neighbours(spark, sf, 8).checkpoint(eager=True)  # the list of eight holds the list of two
+    v8 = _votes(spark, sf, 8, knn).withColumn("model", F.lit("knn8")).withColumn("w", F.lit(0.7))
+    v2 = _votes(spark, sf, 2, knn).withColumn("model", F.lit("knn2")).withColumn("w", F.lit(0.3))
     return _r6(Q.ensemble(v8.unionByName(v2)))
 
 
@@ -282,6 +312,8 @@ QUERIES = {
     "d13_regression_metrics": (d13_regression_metrics, SQL_D13),
     "d14_generalisation_gap": (d14_generalisation_gap, SQL_D14),
     "d17_bootstrap_ci": (d17_bootstrap_ci, SQL_D17),
+    "d17_bootstrap_auc_ci": (d17_bootstrap_auc_ci, SQL_D17_AUC),
+    "d17_bootstrap_mse_ci": (d17_bootstrap_mse_ci, SQL_D17_MSE),
     "d20_ensemble": (d20_ensemble, SQL_D20),
     "d21_domain_weights": (d21_domain_weights, SQL_D21),
     "d22_fill_predictions": (d22_fill_predictions, SQL_D22),

@@ -149,12 +149,12 @@ FROM m"""
 def b12_binary_indicator(spark, sf):
     e = table(spark, sf, "events")
     txt = (F.when(F.col("event_type") == "click", "Yes").when(F.col("event_type") == "view", "true")
-           .when(F.col("event_type") == "purchase", " T ").when(F.col("event_type") == "signup", "1").otherwise("no"))
+           .when(F.col("event_type") == "purchase", " T ").when(F.col("event_type") == "signup", None).otherwise("T"))
     return e.select("event_id", T.binary_indicator(txt).alias("flag"))
 
 
-SQL_B12 = """SELECT event_id, CAST(lower(trim(CASE event_type WHEN 'click' THEN 'Yes' WHEN 'view' THEN 'true'
-  WHEN 'purchase' THEN ' T ' WHEN 'signup' THEN '1' ELSE 'no' END)) IN ('1','yes','true','positive','t','y') AS INTEGER) AS flag FROM events"""
+SQL_B12 = """SELECT event_id, CASE WHEN lower(CASE event_type WHEN 'click' THEN 'Yes' WHEN 'view' THEN 'true'
+  WHEN 'purchase' THEN ' T ' WHEN 'signup' THEN NULL ELSE 'T' END) IN ('1','yes','true','positive','t','y') THEN 1 ELSE 0 END AS flag FROM events"""
 
 
 def b13_binarize_target(spark, sf):

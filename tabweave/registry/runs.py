@@ -213,7 +213,11 @@ def a9_catalog_tags(spark, sf):
     return R.dataset_tags(k, "dataset", "table_idx")
 
 
-_TAG_ROWS = ", ".join(f"('{d}', {i}, '{t}')" for d, tags in R.TABLE_TAGS.items() for i, t in enumerate(tags))
+_TAG_ROWS = """('mstraffic', 0, 'mstraffic_maryland'), ('mstraffic', 1, 'mstraffic_seattle'), ('mstraffic', 2, 'mstraffic_da'), ('mstraffic', 3, 'mstraffic_fa'),
+  ('ncbuilding', 0, 'ncbuilding_newyork'), ('ncbuilding', 1, 'ncbuilding_chicago'), ('ncbuilding', 2, 'ncbuilding_da'), ('ncbuilding', 3, 'ncbuilding_fa'),
+  ('dsmusic', 0, 'dsmusic_discogs'), ('dsmusic', 1, 'dsmusic_spotify'), ('dsmusic', 2, 'dsmusic_da'), ('dsmusic', 3, 'dsmusic_fa'),
+  ('agbooks', 0, 'agbooks_amazon'), ('agbooks', 1, 'agbooks_goodreads'), ('agbooks', 2, 'agbooks_da'), ('agbooks', 3, 'agbooks_fa'),
+  ('nnstocks', 0, 'nnstocks_nnlist'), ('nnstocks', 1, 'nnstocks_nnwiki'), ('nnstocks', 2, 'nnstocks_da'), ('nnstocks', 3, 'nnstocks_fa')"""
 SQL_A9 = f"""WITH k AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'mstraffic' WHEN 'view' THEN 'ncbuilding'
   WHEN 'purchase' THEN 'dsmusic' WHEN 'signup' THEN 'agbooks' ELSE 'nnstocks' END AS dataset,
   CAST(user_id % 5 AS INTEGER) AS table_idx FROM events),

@@ -211,25 +211,41 @@ SQL_G4 = f"""SELECT doc_id, quality FROM (
   FROM labels WHERE quality IN (0, 1)) WHERE pos <= 50"""
 
 
-G5_COLS = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-G5_TYPES = {"c_name": "VARCHAR", "c_nationkey": "INTEGER", "c_acctbal": "DOUBLE", "c_mktsegment": "VARCHAR"}
+G5_COLS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 def g5_row_chunks(spark, sf):
-    return S.row_chunks(table(spark, sf, "customer"), "c_custkey", 3, G5_COLS, extra=1, seed=42)
+    """Training rows: orders whose key is no multiple of 7 (an odd number of them)."""
+    train = table(spark, sf, "orders").filter("o_orderkey % 7 <> 0")
+    return S.row_chunks(train, "o_orderkey", 2, G5_COLS, seed=42)
 
 
-def _g5_sql():
-    plan = S.chunk_columns(G5_COLS, 3, 1, 42)
-    parts = []
-    for i, keep in enumerate(plan):
-        cols = ", ".join(c if c in keep else f"CAST(NULL AS {G5_TYPES[c]}) AS {c}" for c in G5_COLS)
-        parts.append(f"SELECT c_custkey, {cols}, {i} AS chunk FROM r WHERE pos > (n * {i}) // 3 AND pos <= (n * {i + 1}) // 3")
-    return ("WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS pos, count(*) OVER () AS n FROM customer) "
-            + " UNION ALL ".join(parts))
+# Five columns by md5('42|<column>'): two slices of two, one column left for the first
+# chunk; each chunk draws one more by md5('42|<chunk>|<column>').
+SQL_G5 = """WITH c AS (SELECT * FROM (VALUES ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) t(col)),
+dealt AS (SELECT col, (row_number() OVER (ORDER BY md5('42|' || col)) - 1) // 2 AS slice FROM c),
+drawn AS (SELECT chunk, col FROM (SELECT k.chunk, d.col, row_number() OVER (PARTITION BY k.chunk ORDER BY md5('42|' || k.chunk || '|' || d.col)) AS rn
+            FROM dealt d CROSS JOIN (VALUES (0), (1)) k(chunk) WHERE d.slice <> k.chunk) WHERE rn = 1),
+has AS (SELECT slice AS chunk, col FROM dealt WHERE slice < 2 UNION SELECT chunk, col FROM drawn UNION SELECT 0, col FROM dealt WHERE slice = 2),
+r AS (SELECT *, CAST(ntile(2) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS chunk FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT o_orderkey,
+  CASE WHEN (chunk, 'o_custkey') IN (SELECT (chunk, col) FROM has) THEN o_custkey END AS o_custkey,
+  CASE WHEN (chunk, 'o_orderstatus') IN (SELECT (chunk, col) FROM has) THEN o_orderstatus END AS o_orderstatus,
+  CASE WHEN (chunk, 'o_totalprice') IN (SELECT (chunk, col) FROM has) THEN o_totalprice END AS o_totalprice,
+  CASE WHEN (chunk, 'o_orderdate') IN (SELECT (chunk, col) FROM has) THEN o_orderdate END AS o_orderdate,
+  CASE WHEN (chunk, 'o_orderpriority') IN (SELECT (chunk, col) FROM has) THEN o_orderpriority END AS o_orderpriority,
+  chunk FROM r"""
 
 
-SQL_G5 = _g5_sql()
+def e6_shuffle_splits_orders(spark, sf):
+    return X.repeated_shuffle_split(table(spark, sf, "orders"), "o_orderkey", 2, 0.2, seed=42, label="o_orderstatus")
+
+
+SQL_E6B = """WITH b AS (SELECT CAST(t.repeat AS INTEGER) AS repeat, o_orderkey, o_orderstatus AS label,
+                  md5(concat_ws('|', CAST(t.repeat + 42 AS VARCHAR), CAST(o_orderkey AS VARCHAR))) AS o
+           FROM orders CROSS JOIN range(1, 3) t(repeat)),
+r AS (SELECT *, row_number() OVER (PARTITION BY repeat, label ORDER BY o, o_orderkey) AS pos, count(*) OVER (PARTITION BY repeat, label) AS m FROM b)
+SELECT repeat, o_orderkey, CASE WHEN pos <= ceil(m::DOUBLE * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM r"""
 
 QUERIES = {
     "g5_row_chunks": (g5_row_chunks, SQL_G5),
@@ -240,6 +256,7 @@ QUERIES = {
     "e4_holdout_then_val_orders": (e4_holdout_then_val_orders, SQL_E4),
     "e5_group_split_events": (e5_group_split_events, SQL_E5),
     "e6_repeated_kfold_orders": (e6_repeated_kfold_orders, SQL_E6),
+    "e6_shuffle_splits_orders": (e6_shuffle_splits_orders, SQL_E6B),
     "e7_nested_subsets_orders": (e7_nested_subsets_orders, SQL_E7),
     "p7_nested_ablation_customer": (p7_nested_ablation_customer, SQL_P7),
     "e8_capped_sample_orders": (e8_capped_sample_orders, SQL_E8),

@@ -8,12 +8,12 @@ def seeded_md5(seed: int, col: str) -> str:
 
 
 def seeded_uint(seed: int, col: str) -> str:
-    return f"('0x' || substr({seeded_md5(seed, col)}, 1, 8))::BIGINT"
+    return f"('0x' || substr({seeded_md5(seed, col)}, 1, 15))::BIGINT"
 
 
 def ratio(m: str, r: float) -> str:
     """int(m * r) with the double product truncated."""
-    return f"CAST(floor(({m})::DOUBLE * {float(r)}::DOUBLE) AS INTEGER)"
+    return f"CAST(floor(({m})::DOUBLE * {float(r)}::DOUBLE) AS BIGINT)"
 
 
 WORD_TOKENS = "unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'))"

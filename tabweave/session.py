@@ -7,7 +7,9 @@ none (local tests, the bench), never on a cluster that names one.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,9 +40,10 @@ def local_session(cores: int | str = "*", app: str = "tabweave", **conf: str) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, setting a private one only when unset.
 
-    `spark.checkpoint.dir` (shared storage on a cluster) wins; a folder already
-    given to the SparkContext comes next; a fresh temp folder is the local
-    fallback for tests and single-machine runs.
+    A folder already given to the SparkContext wins, then `spark.checkpoint.dir`
+    (shared storage on a cluster). A fresh temp folder, removed when the process
+    ends, is the fallback of a `local` master; any other master must name one,
+    since its executors do not see the driver's disk.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -50,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
         return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError(f"set spark.checkpoint.dir to a shared folder (master {sc.master})")
     local = tempfile.mkdtemp(prefix="tabweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return local

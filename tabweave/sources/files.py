@@ -30,12 +30,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 # ------------------------------------------------------------------ A1 / A2 / A4 / A5
 def read_csv(spark: SparkSession, path: str, text_col: str | None = None, encoding: str = "UTF-8",
-             sep: str = ",", required: list[str] = (), na_tokens: list[str] | None = None) -> DataFrame:
+             sep: str = ",", required: list[str] = (), na_tokens: list[str] | None = None,
+             multi_line: bool = True) -> DataFrame:
     """A1/A4: header CSV with quoted multi-line cells; all columns strings.
+    A file with line breaks inside cells is one task; pass ``multi_line=False`` for
+    files without them, which Spark then splits.
     A missing ``text_col``/``required`` column raises with the column list;
     ``text_col`` NULL becomes ``''``. ``na_tokens`` (A5) turn listed cell
     texts into NULL (Spark's own ``nullValue`` accepts a single token)."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
           .option("encoding", encoding).option("sep", sep).option("inferSchema", False).csv(path))
     first = df.columns[0] if df.columns else None
     if first is not None and first.startswith("﻿"):
@@ -51,12 +54,11 @@ def read_csv(spark: SparkSession, path: str, text_col: str | None = None, encodi
     return df
 
 
-def detect_encoding(spark: SparkSession, path: str, sample_lines: int = 10_000) -> str:
-    """A2: UTF-8 when a sample of lines is valid UTF-8, else ISO-8859-1
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """A2: UTF-8 when every line is valid UTF-8, else ISO-8859-1
     (latin-1 decodes any byte, so later fall-backs could never trigger)."""
-    sample = spark.read.text(path).limit(sample_lines)
-    bad = sample.filter(~F.is_valid_utf8(F.col("value").cast("binary"))).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    bad = spark.read.text(path).filter(~F.is_valid_utf8(F.col("value").cast("binary")))
+    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
 def read_csv_auto(spark: SparkSession, path: str, **kw) -> tuple[DataFrame, str]:
@@ -113,8 +115,9 @@ def read_split(spark: SparkSession, path: str, ids: list[str]) -> tuple[DataFram
             raise ValueError(f"split table must contain {c!r}")
     counts = {r["split"]: r["n"] for r in df.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     unknown = [s for s in counts if s is not None and s not in SPLIT_NAMES]
-    if unknown:
-        raise ValueError(f"unknown split names {unknown}")
+    absent = [s for s in SPLIT_NAMES if s not in counts]
+    if unknown or absent:
+        raise ValueError(f"split names: unknown {unknown}, absent {absent}")
     total = sum(counts.values())
     return df, {s: (counts.get(s, 0), counts.get(s, 0) / total if total else 0.0) for s in SPLIT_NAMES}
 
@@ -137,9 +140,15 @@ def write_results(runs: DataFrame, path: str, keys: list[str], run_key: str, met
 
 def read_results(spark: SparkSession, paths: list[str] | str, first_only: bool = False) -> DataFrame:
     """A10/H5: nested result JSON (one or many paths, e.g. shards) -> flat run
-    log; ``first_only`` keeps each file's first run (``individual_runs[0]``)."""
+    log; ``first_only`` keeps each file's first run (``individual_runs[0]``). Files
+    with a ``total_runtime`` in their summary lend it to runs without a runtime."""
     raw = spark.read.json(paths if isinstance(paths, list) else [paths])
     cfg = [F.col(f"config.{c}").alias(c) for c in raw.select("config.*").columns]
+    fields = raw.select(F.explode("individual_runs").alias("r")).select("r.*").columns
+    if "runtime" in fields and "total_runtime" in raw.columns:
+        given = F.col("total_runtime").cast("double")
+        raw = raw.withColumn("individual_runs", F.transform(
+            "individual_runs", lambda r: r.withField("runtime", F.coalesce(r["runtime"], given))))
     if first_only:
         return raw.select(*cfg, F.col("individual_runs")[0].alias("r")).select("*", "r.*").drop("r")
     return raw.select(*cfg, F.posexplode("individual_runs").alias("run_idx", "r")).select("*", "r.*").drop("r")

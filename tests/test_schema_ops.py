@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabweave.core import TableSpec
+from tabweave.functions import text as X
 from tabweave.operators import augment as A
 from tabweave.operators import features as J
 from tabweave.operators import graph as G
@@ -98,10 +99,11 @@ def test_benchmark_recipes_parse():
 
     from tabweave.plans.evaluation import RECIPE_DIR, load_recipe
     names = [f[:-5] for f in os.listdir(RECIPE_DIR) if f.endswith(".json")]
-    assert len(names) >= 10
+    assert len(names) == 13
     for n in names:
         rec = load_recipe(n)
-        assert rec["target"] and all("op" in s for s in rec["steps"])
+        assert all(s["op"] in {**P.COLUMN_STEPS, **P.TABLE_STEPS} for s in rec["steps"])
+        assert rec["target"] or n in ("nnstocks_wiki", "agbooks_goodreads")
 
 
 def test_batch_encoder_plugs_into_knn(spark):
@@ -118,3 +120,116 @@ def test_batch_encoder_plugs_into_knn(spark):
     assert dict(v.dtypes)["vec"] == "array<float>"
     knn = {r["t1_id"]: r["t2_id"] for r in M.vector_knn(v, "id", "vec", v, "id", "vec", k=1, exclude_same_id=True).collect()}
     assert set(knn) == {1, 2, 3}
+
+
+# ------------------------------------------------------------------ rules with a deciding case
+def test_encoding_is_read_from_every_line(spark, tmp_path):
+    from tabweave.sources.files import detect_encoding, read_csv_auto
+
+    path = tmp_path / "t.csv"
+    path.write_bytes(b"a\n" + b"plain\n" * 20_000 + "caf\xe9\n".encode("latin-1"))
+    assert detect_encoding(spark, str(path)) == "ISO-8859-1"
+    back, _ = read_csv_auto(spark, str(path))
+    assert back.filter("a = 'café'").count() == 1
+
+
+def test_ratio_counts_and_draws_are_64_bit(spark):
+    from tabweave.core import ratio_count, seeded_uint
+
+    assert spark.range(1).select(ratio_count(F.lit(4_000_000_000), 0.7)).first()[0] == 2_800_000_000
+    top = spark.range(2_000).select(seeded_uint(1, "id").alias("u")).agg(F.max("u"), F.min("u")).first()
+    assert 1 << 59 < top[0] < 1 << 60 and top[1] > 1 << 32
+
+
+def test_one_hot_has_no_cap(spark):
+    df = spark.range(10_001).select(F.col("id"), F.concat(F.lit("c"), F.col("id")).alias("c"))
+    got = J.one_hot_vector(df, df.union(df.limit(1).select(F.lit(-1), F.lit("new"))), "c", out="v")
+    assert got.count() == 10_002 and got.first()["v"].size in (10_001, 10_002)
+
+
+def test_binary_indicator_and_significance(spark):
+    df = spark.createDataFrame([(None,), ("T",), (" T ",), ("YES",), ("0",)], "a string")
+    assert [r[0] for r in df.select(X.binary_indicator("a")).collect()] == [0, 1, 0, 1, 0]
+    ps = [0.0, 0.0009, 0.001, 0.01, 0.05, 0.06, None]
+    df = spark.createDataFrame([(p,) for p in ps], "p double")
+    assert [r[0] for r in df.select(X.significance("p")).collect()] == ["***", "***", "**", "*", "0.05", "NS", None]
+    assert [r[0] for r in df.select(X.significant("p")).collect()] == [0.0, 1.0, 1.0, 1.0, 0.05, 0.0, None]
+
+
+def test_names_with_an_apostrophe(spark):
+    df = spark.createDataFrame([("[{'name': 'Bob's Bar'}, {'name': 'x'}]",), ("[]",)], "a string")
+    assert [r[0] for r in df.select(X.names_from_literal_list("a")).collect()] == ["Bob's Bar, x", None]
+
+
+def test_what_must_raise(spark, tmp_path):
+    from tabweave.plans.union_da import labelled_aux
+    from tabweave.sources.files import read_split
+
+    with pytest.raises(ValueError):
+        P.resolve_text_columns(["a"], exclude=["nope"])
+    with pytest.raises(ValueError):
+        A.label_set(spark.createDataFrame([(" ",), (None,)], "l string"), "l")
+    spark.createDataFrame([(1, "train"), (2, "test")], "id int, split string").write.parquet(str(tmp_path / "s"))
+    with pytest.raises(ValueError):
+        read_split(spark, str(tmp_path / "s"), ["id"])
+    with pytest.raises(ValueError):
+        labelled_aux(spark.range(1).withColumn("y", F.lit(1)), "id", "y")
+    with pytest.raises(ValueError):
+        P.prepare(spark.range(1), [{"op": "numeric", "cols": ["nope"]}])
+    assert P.prepare(spark.range(1), [{"op": "numeric", "cols": ["nope"], "ignore": True}]).columns == ["id"]
+
+
+def test_chunk_columns_deal():
+    from tabweave.operators.sample import chunk_columns
+
+    cols = [f"c{i}" for i in range(11)]
+    plan = chunk_columns(cols, 3, seed=1)
+    assert len(plan) == 3 and set().union(*plan) == set(cols)
+    assert all(4 <= len(p) <= 5 for p in plan)  # three of its own, one drawn, at most one left over
+
+
+def test_view_columns():
+    assert G.view_columns(list("abcde"), 2, 0.4) == [["a", "b", "c", "d", "e"], ["d", "e", "b", "c"]]
+    assert G.view_columns(list("ab"), 1, 0.5) == [["a", "b"]]
+
+
+def test_star_graph_self_loops(spark):
+    df = spark.createDataFrame([(1, "x", -2.0), (2, None, 0.0)], "id int, t string, n double")
+    got = G.star_edges(df, "id", ["t"], ["n"]).groupBy("row_id", "kind").count().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {(1, "text"): 1, (1, "num"): 1, (1, "self"): 2, (2, "num"): 1, (2, "self"): 1}
+
+
+RECIPE_ROWS = {
+    "maryland": ({"Crash Date/Time": "01/02/2020 03:04:05 PM", "Number of Lanes": "2", "Weather": None, "Collision Type": "a",
+                  "Report Number": "r1", "Local Case Number": "c", "Location": "l"},
+                 {"Crash_Date/Time": "2020-01-02 15:04:05", "Number_of_Lanes": 2.0, "Weather": "nan", "Collision_Type": 0}),
+    "seattle": ({"COLLISIONTYPE": "z", "INCDATE": "bad", "PERSONCOUNT": "3", "STATUS": "Unknown", "REPORTLINK": "u"},
+                {"COLLISIONTYPE": 0, "INCDATE": None, "PERSONCOUNT": 3.0, "STATUS": "Unknown"}),
+    "newyork": ({"StatuteCodes": "s", "BBL": "1e3", "ApprovedDate": "2021-05-06", "Class": "A"}, {"StatuteCodes": 0, "BBL": 1000.0, "ApprovedDate": "2021-05-06", "Class": "A"}),
+    "chicago": ({"VIOLATION DESCRIPTION": "d", "SSA": None, "LATITUDE": "x"}, {"VIOLATION_DESCRIPTION": 0, "SSA": "nan", "LATITUDE": None}),
+    "nnstocks_stocks": ({"sector": "s", "lastsale": "$1,234.5", "pctchange": "-2.5%", "industry": "i", "name": "n"}, {"sector": 0, "lastsale": 1234.5, "pctchange": -2.5, "name": "n"}),
+    "nnstocks_wiki": ({"wiki_title": "w", "revenue": None, "website": "u"}, {"wiki_title": "w", "revenue": "nan"}),
+    "discogs": ({"genres": "g", "release_year": "1999", "region": "eu"}, {"genres": 0, "release_year": 1999.0, "region": "eu"}),
+    "sp": ({"track_genre": "g", "explicit": "True", "tempo": "120.5", "Unnamed: 0": "7"}, {"track_genre": 0, "explicit": 1, "tempo": 120.5, "Unnamed:_0": 7.0}),
+    "nctaxi_newyork_taxi": ({"dolocationid": "5", "fare_amount": "n/a", "payment_type": "1"}, {"dolocationid": 0, "fare_amount": None, "payment_type": "1"}),
+    "nctaxi_chicago_taxi": ({"dropoff_community_area": "8", "fare": "7.5", "company": None}, {"dropoff_community_area": 0, "fare": 7.5, "company": "nan"}),
+    "agbooks_amazon": ({"categories": "c", "average_rating": "4.5", "store": None}, {"categories": 0, "average_rating": 4.5, "store": "nan"}),
+    "agbooks_goodreads": ({"title": "t", "num_pages": "", "format": "pb"}, {"title": "t", "num_pages": None, "format": "pb"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RECIPE_ROWS))
+def test_recipe(spark, name):
+    """One row that decides, three that keep its columns from being screened out."""
+    from tabweave.plans.evaluation import load_recipe, run_recipe
+
+    row, want = RECIPE_ROWS[name]
+    recipe = load_recipe(name)
+    filler = lambda n: {c: (f"0{n}/03/2020 01:00:00 AM" if c == "Crash Date/Time" else f"~{n}{c}") for c in row}
+    target = recipe["target"]
+    rows = [row, filler(4), filler(5), {c: (None if target and c.replace(" ", "_") == target else v) for c, v in filler(6).items()}]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"`{c}` string" for c in row))
+    got, spec = run_recipe(df, recipe)
+    assert got.count() == (3 if target else 4) and spec.target == target
+    first = [r.asDict() for r in got.collect()]
+    assert any({c: r.get(c) for c in want} == want for r in first), first
