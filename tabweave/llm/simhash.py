@@ -191,6 +191,7 @@ def trie_links(points: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF, st
     front = points.groupBy().agg(F.count(F.lit(1)).alias("na")).select(
         F.lit(0).cast("bigint").alias("pa"), F.lit(0).cast("bigint").alias("pb"), F.lit(0).alias("err"),
         "na", F.col("na").alias("nb"))
+    front = pinned(front)  # a join on the constant root would be planned as a nested loop
     depth = 0
     while True:
         small = (F.col("na") <= leaf) & (F.col("nb") <= leaf) if depth < 64 else F.lit(True)
@@ -200,7 +201,7 @@ def trie_links(points: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF, st
             break
         deeper = min(64, depth + step)
         kids = points.groupBy(_prefix("fp", deeper).alias("kid")).agg(F.count(F.lit(1)).alias("n"))
-        kids = kids.withColumn("parent", F.shiftrightunsigned("kid", deeper - depth) if depth else F.lit(0).cast("bigint"))
+        kids = kids.withColumn("parent", F.shiftrightunsigned("kid", deeper - depth))
         left = kids.select(F.col("parent").alias("pa"), F.col("kid").alias("ka"), F.col("n").alias("na"))
         right = kids.select(F.col("parent").alias("pb"), F.col("kid").alias("kb"), F.col("n").alias("nb"))
         front = (front.select("pa", "pb", "err").join(left, "pa").join(right, "pb")
