@@ -330,10 +330,11 @@ def repeated_places(rows: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> Da
     """(row, ranges): the windows of each row that occur elsewhere, as ranges of starts."""
     cut = runs(rows)
     twice = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    shared = _stored(cut.join(twice, "anchor"))
+    # stored, so that the join shuffles both sides afresh and can split a hot anchor
+    shared = _stored(cut.join(_stored(twice), "anchor"))
     kinds = shared.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("one"))
     kinds = _stored(kinds.select("anchor", "run", "n", "one.row", "one.place"))
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    several = _stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     whole = F.array(F.array(F.lit(0), (F.col("place") % 256).cast("int")))
     settled = kinds.filter("n > 1").select("anchor", "run", whole.alias("ranges"))  # equal runs repeat as a whole
     wanted = kinds.join(several, "anchor").select("row", "place", "anchor", "run", "n", (F.col("kinds") > hot).alias("hot"))
