@@ -2,8 +2,8 @@
 
 Documents fall into cells (source, language, topic). Starting from the tokens of
 each cell, the weights are raked: scaled to the target share of each source,
-then of each language, then of each topic, again and again until all three
-margins hold. A cell's ratio of raked weight to tokens, divided by the largest
+then of each language, then of each topic, ``SWEEPS`` times; the
+three margins then hold closely. A cell's ratio of raked weight to tokens, divided by the largest
 ratio, is the probability with which each of its documents is kept: the
 expected tokens of a sample have the target margins, and no document is
 repeated. A document's draw is a hash of seed and id, so a sample can be
@@ -33,9 +33,8 @@ from .common import free_name, pinned
 DIMS = ("source", "lang", "topic")
 NONE = "(none)"
 POWER = 0.8  # default targets: token shares to this power, scaled to 1
-TOLERANCE = 1e-8  # largest relative change of a cell in the last sweep
-MAX_SWEEPS = 60
-SWEEPS = 3  # sweeps between two looks at the change
+SWEEPS = 30  # over all three margins; each brings them closer by a factor
+AT_ONCE = 5  # sweeps between two checkpoints
 SEED = 7
 BROADCAST_CELLS = 100_000
 BYTES_PER_TOKEN = 4
@@ -63,9 +62,8 @@ def default_targets(cells: DataFrame, power: float = POWER) -> dict[str, DataFra
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE,
-         max_sweeps: int = MAX_SWEEPS) -> DataFrame:
-    """``cells`` (the dimensions, tokens) with ``mass``, whose margins have the target shares."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+    """``cells`` (the dimensions, tokens) with ``mass``, whose margins approach the target shares."""
     goal = {}
     for dim, share in targets.items():  # only categories that have tokens can be met
         have = cells.filter("tokens > 0").groupBy(dim).agg(F.sum("tokens").alias("t"))
@@ -76,18 +74,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     for dim, want in goal.items():
         now = now.join(want.withColumnRenamed("goal", f"goal_{dim}"), dim)
     now = pinned(now)
-    for _ in range(0, max_sweeps, SWEEPS):
-        was = now
-        for sweep in range(SWEEPS):
-            was = was.withColumn("was", F.col("mass"))
-            for dim in goal:  # a window over the cells of a category, not over its documents
-                have = F.sum("mass").over(Window.partitionBy(dim))
-                was = was.withColumn("mass", F.when(have > 0, F.col("mass") * F.col(f"goal_{dim}") / have).otherwise(0.0))
-        was = pinned(was)
-        moved = was.agg(F.max(F.abs(F.col("mass") - F.col("was")) / F.greatest("was", F.lit(1e-300)))).first()[0]
-        now = was.drop("was")
-        if moved is None or moved <= tolerance:
-            break
+    for sweep in range(1, sweeps + 1):
+        for dim in goal:  # a window over the cells of a category, not over its documents
+            have = F.sum("mass").over(Window.partitionBy(dim))
+            now = now.withColumn("mass", F.when(have > 0, F.col("mass") * F.col(f"goal_{dim}") / have).otherwise(0.0))
+        if sweep % AT_ONCE == 0 or sweep == sweeps:
+            now = pinned(now)
     return now.select(*cells.columns, "mass")
 
 
@@ -141,28 +133,27 @@ def mix_sample(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     return kept.select([F.col("carried")[c].alias(c) for c in docs.columns])
 
 
-def _oracle(sweeps: int = 12) -> str:
-    """The same in SQL, its sweeps unrolled."""
-    parts = ["""d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+def _sweep(rows: str) -> str:
+    for dim in DIMS:
+        rows = (f"SELECT it, source, lang, topic, tokens, g_source, g_lang, g_topic, "
+                f"mass * g_{dim} / sum(mass) OVER (PARTITION BY {dim}) AS mass FROM ({rows})")
+    return rows
+
+
+ORACLE = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
   CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN contains(text, 'License') THEN 'legal'
        WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '***') OR contains(text, '$$$') THEN 'noise'
        WHEN strlen(text) > 8000 THEN 'long' ELSE 'prose' END AS topic,
-  CAST(ceil(coalesce(strlen(text), 0) / 4.0) AS BIGINT) AS tokens FROM documents)""",
-             "m0 AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens, CAST(sum(tokens) AS DOUBLE) AS mass FROM d GROUP BY ALL HAVING sum(tokens) > 0)"]
-    for dim in ("source", "lang", "topic"):
-        parts.append(f"g_{dim} AS (SELECT {dim}, pow(sum(tokens), 0.8) / sum(pow(sum(tokens), 0.8)) OVER () * sum(sum(tokens)) OVER () AS goal FROM m0 GROUP BY {dim})")
-    n = 0
-    for _ in range(sweeps):
-        for dim in ("source", "lang", "topic"):
-            parts.append(f"m{n + 1} AS MATERIALIZED (SELECT m.source, m.lang, m.topic, m.tokens, m.mass * g.goal / sum(m.mass) OVER (PARTITION BY m.{dim}) AS mass FROM m{n} m JOIN g_{dim} g ON m.{dim} = g.{dim})")
-            n += 1
-    parts.append(f"r AS (SELECT source, lang, topic, mass / tokens AS weight, (mass / tokens) / max(mass / tokens) OVER () AS probability FROM m{n})")
-    parts.append("""j AS (SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens AS n_tokens, coalesce(r.weight, 1.0) AS weight,
-  coalesce(r.probability, 1.0) AS probability,
+  CAST(ceil(coalesce(strlen(text), 0) / 4.0) AS BIGINT) AS tokens FROM documents),
+c AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0),
+gs AS (SELECT source, pow(sum(tokens), 0.8) / sum(pow(sum(tokens), 0.8)) OVER () * sum(sum(tokens)) OVER () AS g_source FROM c GROUP BY source),
+gl AS (SELECT lang, pow(sum(tokens), 0.8) / sum(pow(sum(tokens), 0.8)) OVER () * sum(sum(tokens)) OVER () AS g_lang FROM c GROUP BY lang),
+gt AS (SELECT topic, pow(sum(tokens), 0.8) / sum(pow(sum(tokens), 0.8)) OVER () * sum(sum(tokens)) OVER () AS g_topic FROM c GROUP BY topic),
+m AS (SELECT 0 AS it, source, lang, topic, tokens, g_source, g_lang, g_topic, tokens AS mass
+      FROM c JOIN gs USING (source) JOIN gl USING (lang) JOIN gt USING (topic)
+      UNION ALL SELECT it + 1, source, lang, topic, tokens, g_source, g_lang, g_topic, mass FROM ({_sweep(f"SELECT * FROM m WHERE it < {SWEEPS}")})),
+r AS (SELECT source, lang, topic, mass / tokens AS weight, (mass / tokens) / max(mass / tokens) OVER () AS probability FROM m WHERE it = {SWEEPS}),
+j AS (SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens AS n_tokens, coalesce(r.weight, 1.0) AS weight, coalesce(r.probability, 1.0) AS probability,
   CAST(('0x' || substr(md5('7|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
-  FROM d LEFT JOIN r USING (source, lang, topic))""")
-    return "WITH " + ",\n".join(parts) + """
+  FROM d LEFT JOIN r USING (source, lang, topic))
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, u < probability AS kept FROM j"""
-
-
-ORACLE = _oracle()

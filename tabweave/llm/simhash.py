@@ -204,8 +204,8 @@ def trie_links(points: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF, st
         kids = kids.withColumn("parent", F.shiftrightunsigned("kid", deeper - depth))
         left = kids.select(F.col("parent").alias("pa"), F.col("kid").alias("ka"), F.col("n").alias("na"))
         right = kids.select(F.col("parent").alias("pb"), F.col("kid").alias("kb"), F.col("n").alias("nb"))
-        front = (front.select("pa", "pb", "err").join(left, "pa").join(right, "pb")
-                 .withColumn("err", F.col("err") + F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))))
+        front = (front.select("pa", "pb").join(left, "pa").join(right, "pb")
+                 .withColumn("err", F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))))  # over the whole paths
                  .filter((F.col("err") <= max_bits) & ((F.col("pa") < F.col("pb")) | (F.col("ka") <= F.col("kb"))))
                  .select(F.col("ka").alias("pa"), F.col("kb").alias("pb"), "err", "na", "nb"))
         front, depth = pinned(front), deeper

@@ -31,16 +31,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name, utf8
 from .decontam import words_of
 
 BITS = 20
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 SKIPS = (1, 2, 3)  # distance between the words of a pair; 1 is the plain bigram
 PER_CLASS = 6_000
 EPOCHS = 6
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
 THRESHOLD = 0.3
 _PAIR = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0x165667B19E3779F9}  # one odd multiplier per distance
 
@@ -209,7 +210,7 @@ def score(docs: DataFrame, model: Weights, text_col: str = "text", out: str = "s
     packed = docs.sparkSession.sparkContext.broadcast(model)
     thin = free_name("_text", docs)
     rows = docs.withColumn(thin, F.col(text_col).cast("string"))
-    schema = docs.schema.add(out, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = score_batches(packed.value)()
