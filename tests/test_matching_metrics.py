@@ -158,3 +158,64 @@ def test_bootstrap_ci_bounds(spark):
     df = spark.createDataFrame([(i, i % 2, (i // 3) % 2) for i in range(60)], "id int, y int, pred int")
     ci = Q.bootstrap_accuracy_ci(df, ["id"]).first()
     assert 0.0 <= ci["lower"] <= ci["mid"] <= ci["upper"] <= 1.0
+
+
+def test_every_row_gets_a_match_and_buckets_are_scored_apart(spark):
+    rng = np.random.default_rng(1)
+    t1 = _vecs(spark, [(i, rng.standard_normal(8).tolist()) for i in range(40)])
+    t2 = _vecs(spark, [(i, rng.standard_normal(8).tolist()) for i in range(5)])  # most buckets are empty
+    got = M.lsh_knn(t1, "id", "vec", t2, "id", "vec", dim=8, bits=8, tables=2, probes=0)
+    assert got.select("t1_id").distinct().count() == got.count() == 40
+    exact = {r["t1_id"]: r["sim"] for r in M.vector_knn(t1, "id", "vec", t2, "id", "vec").collect()}
+    assert all(r["sim"] <= exact[r["t1_id"]] + 1e-9 for r in got.collect())
+
+
+def test_regression_keeps_its_target(spark):
+    from tabweave.operators import learn as L
+
+    df = spark.range(300).select(F.col("id").cast("double").alias("x"), (F.col("id") * 3.0 + 1).alias("y"),
+                                 F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"))
+    m = {r["split"]: r for r in L.fit_eval(df, ["x"], "y", "ridge", {"regParam": 0.0})[0].collect()}
+    assert m["test"]["r2"] > 0.999 and m["train"]["rmse"] < 0.1
+
+
+def test_bagging_with_composite_ids(spark):
+    from tabweave.operators import learn as L
+
+    df = spark.range(60).select((F.col("id") % 6).alias("a"), F.floor(F.col("id") / 6).alias("b"), F.col("id").cast("double").alias("x"),
+                                F.when(F.col("id") < 30, "lo").otherwise("hi").alias("y"),
+                                F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"))
+    got = L.bagging(df, ["a", "b"], ["x"], "y", "lr", {"maxIter": 20}, n_models=3)
+    assert got.count() == got.select("a", "b").distinct().count() == 60
+    assert got.filter("y = pred").count() >= 57
+
+
+def test_grid_search_resumes(spark, tmp_path, monkeypatch):
+    from tabweave.operators import learn as L
+    from tabweave.operators.runs import param_grid
+
+    df = spark.range(90).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("y"),
+                                F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("id") % 3 + 1).cast("int")).alias("split"))
+    grid = param_grid(spark, {"regParam": [0.0, 0.1, 0.2]})
+    path, runs, fit = str(tmp_path / "log"), [], L.fit_eval
+
+    def cut_off(*a, **k):
+        if len(runs) == 2:
+            raise RuntimeError("lost")
+        runs.append(a)
+        return fit(*a, **k)
+
+    monkeypatch.setattr(L, "fit_eval", cut_off)
+    with pytest.raises(RuntimeError):
+        L.grid_search(df, ["x"], "y", "lr", grid, log_path=path)
+    runs.clear()
+    log = L.grid_search(df, ["x"], "y", "lr", grid, log_path=path)
+    assert len(runs) == 1 and sorted(r["config_idx"] for r in log.collect()) == [0, 1, 2]
+
+
+def test_bootstrap_metrics(spark):
+    df = spark.createDataFrame([(i, i % 2, (i % 2) * 0.8 + 0.1) for i in range(40)], "id int, y int, pred double")
+    assert Q.bootstrap_ci(df, ["id"], "auc").first()["lower"] == 1.0
+    assert abs(Q.bootstrap_ci(df, ["id"], "mse").first()["mid"] - 0.01) < 1e-9
+    with pytest.raises(ValueError):
+        Q.bootstrap_ci(df, ["id"], "f1")
