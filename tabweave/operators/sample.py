@@ -9,7 +9,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import positions, seeded_hash
+from ..core import positions, seeded_hash, seeded_uint
 from .split import _ntile
 
 
@@ -53,7 +53,7 @@ def seeded_shuffle(df: DataFrame, ids, seed: int = 42, out: str = "shuffle_pos")
     """A seeded permutation kept as a 1-based position column (ids and keys are
     ranked; the rows join their position)."""
     ids = _ids(ids)
-    ranked = positions(df.select(*ids, seeded_hash(seed, *ids).alias("_o")), [], ["_o", *ids], out=out).drop("_o")
+    ranked = positions(df.select(*ids, seeded_uint(seed, *ids).alias("_o")), [], ["_o", *ids], out=out).drop("_o")
     return df.join(ranked, ids)
 
 
@@ -61,7 +61,7 @@ def balanced_draw(df: DataFrame, ids, label: str, n: int, seed: int = 42) -> Dat
     """``n/2`` rows of class 1 and ``n/2`` of class 0 (seeded order)."""
     ids = _ids(ids)
     half = n // 2
-    keyed = df.filter(F.col(label).isin(0, 1)).select(*ids, label, seeded_hash(seed, *ids).alias("_o"))
+    keyed = df.filter(F.col(label).isin(0, 1)).select(*ids, label, seeded_uint(seed, *ids).alias("_o"))
     return positions(keyed, [label], ["_o", *ids], out="_pos").filter(F.col("_pos") <= half).select(*ids, label)
 
 

@@ -1,7 +1,7 @@
 """Train/val/test splits, nested subsets and folds.
 
 Every split is a ``(row_id..., split)`` table computed from a seeded order
-(``md5(seed|row_id)``) or a time order, with counts truncated as
+(the first 60 bits of ``md5(seed|row_id)``, a bigint, then the id) or a time order, with counts truncated as
 ``int(m * ratio)``. Ranks within a class use ``core.positions`` — range
 partitioned, so a class holding a third of all rows is still spread over
 many tasks.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import positions, ratio_count, seeded_hash
+from ..core import positions, ratio_count, seeded_uint
 
 SPLITS = ("train", "val", "test")
 
@@ -37,7 +37,7 @@ def stratified_split(df: DataFrame, ids: list[str] | str, label: str, seed: int
     ids = _ids(ids)
     temporal = time_col is not None and time_col in df.columns
     base = df.select(*ids, F.col(label).alias("_label"),
-                     (F.col(time_col) if temporal else seeded_hash(seed, *ids)).alias("_o"))
+                     (F.col(time_col) if temporal else seeded_uint(seed, *ids)).alias("_o"))
     labelled = base.filter(F.col("_label").isNotNull())
     ranked = positions(labelled, ["_label"], ["_o", *ids], out="_pos", size_col="_m")
     out = ranked.select(*ids, _three_way(F.col("_pos"), F.col("_m"), train_ratio, val_ratio).alias("split"))
@@ -50,7 +50,7 @@ def random_split(df: DataFrame, ids: list[str] | str, seed: int = 42, train_rati
     """Unstratified; train = first ``int(n*0.8)``, val up to ``int(n*0.9)``."""
     ids = _ids(ids)
     n = df.count()
-    ranked = positions(df.select(*ids, seeded_hash(seed, *ids).alias("_o")), [], ["_o", *ids], out="_pos")
+    ranked = positions(df.select(*ids, seeded_uint(seed, *ids).alias("_o")), [], ["_o", *ids], out="_pos")
     t_end, v_end = int(n * train_ratio), int(n * val_end_ratio)
     return ranked.select(*ids, F.when(F.col("_pos") <= t_end, "train")
                          .when(F.col("_pos") <= v_end, "val").otherwise("test").alias("split"))
@@ -64,7 +64,7 @@ def stratified_holdout_then_val(df: DataFrame, ids: list[str] | str, label: str,
     ids = _ids(ids)
     n = df.count()
     n_val = int(n * val_ratio)
-    base = df.select(*ids, F.col(label).alias("_label"), seeded_hash(seed, *ids).alias("_o"))
+    base = df.select(*ids, F.col(label).alias("_label"), seeded_uint(seed, *ids).alias("_o"))
     ranked = positions(base, ["_label"], ["_o", *ids], out="_pos", size_col="_m")
     n_test = F.ceil(F.col("_m").cast("double") * F.lit(float(test_ratio)))
     ranked = ranked.withColumn("_test", F.col("_pos") > F.col("_m") - n_test)
@@ -85,7 +85,7 @@ def group_split(df: DataFrame, ids: list[str] | str, group: str | None, num_trai
         g = df.select(*ids, F.concat_ws("|", *[F.col(i).cast("string") for i in ids]).alias("_g"))
     else:
         g = df.select(*ids, F.col(group).cast("string").alias("_g"))
-    groups = g.select("_g").distinct().withColumn("_o", seeded_hash(seed, F.col("_g")))
+    groups = g.select("_g").distinct().withColumn("_o", seeded_uint(seed, F.col("_g")))
     ranked = positions(groups, [], ["_o", "_g"], out="_gp")
     chosen = ranked.select("_g", F.when(F.col("_gp") <= num_train, "train").otherwise("test").alias("split"))
     return g.join(chosen, "_g").select(*ids, "split")
@@ -139,7 +139,7 @@ def nested_subsets(df: DataFrame, ids: list[str] | str, label: str, fractions=(0
     ids = _ids(ids)
     if df.filter(F.col(label).isNull()).limit(1).count():
         raise ValueError(f"nested subsets need a label in every row; {label!r} has NULLs")
-    base = df.select(*ids, F.col(label).alias("_label"), seeded_hash(seed, *ids).alias("_o"))
+    base = df.select(*ids, F.col(label).alias("_label"), seeded_uint(seed, *ids).alias("_o"))
     ranked = positions(base, ["_label"], ["_o", *ids], out="_pos", size_col="_m")
     parts = [ranked.filter(F.col("_pos") <= ratio_count("_m", f)).select(*ids, F.lit(int(round(f * 100))).alias("pct"))
              for f in fractions]
@@ -165,7 +165,7 @@ def capped_stratified_sample(df: DataFrame, ids: list[str] | str, strata: list[s
     n = df.count()
     size = (cap / n * fraction) if n > cap else fraction
     key = F.concat_ws("_", *[F.col(s).cast("string") for s in strata])
-    base = df.select(*ids, key.alias("_s"), seeded_hash(seed, *ids).alias("_o"))
+    base = df.select(*ids, key.alias("_s"), seeded_uint(seed, *ids).alias("_o"))
     ranked = positions(base, ["_s"], ["_o", *ids], out="_pos", size_col="_m")
     return ranked.filter(F.col("_pos") <= ratio_count("_m", size)).select(*ids, F.col("_s").alias("stratum"))
 
