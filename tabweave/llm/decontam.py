@@ -327,3 +327,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     if "n_chars" in columns:
         columns["n_chars"] = F.when(dirty, F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
     return out.select([v.alias(c) for c, v in columns.items()])
+
+
+ORACLE = r"""WITH it AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
+      FROM (SELECT item, w, least(len(w), 13) AS n FROM it WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS rn, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+l AS (SELECT rn, n, list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')) AS grams
+      FROM d, (SELECT DISTINCT n FROM g) s WHERE len(w) >= n),
+m AS (SELECT p.rn, p.n, p.i, g.item FROM (SELECT rn, n, unnest(grams) AS gram, generate_subscripts(grams, 1) AS i FROM l) p JOIN g ON g.n = p.n AND g.gram = p.gram),
+h AS (SELECT rn, count(DISTINCT x) AS n_hit FROM (SELECT rn, unnest(range(i, i + n)) AS x FROM m) GROUP BY rn),
+k AS (SELECT rn, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM m GROUP BY rn)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(k.n_items, 0) AS n_items, sha256(coalesce(k.names, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h USING (rn) LEFT JOIN k USING (rn)"""

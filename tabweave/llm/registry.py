@@ -66,12 +66,12 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_suffix_dedup": (op1_suffix_dedup, None),
+    "op1_suffix_dedup": (op1_suffix_dedup, suffix_dedup.ORACLE),
     "op2_toxicity": (op2_toxicity, None),
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.ORACLE),
     "op4_secrets": (op4_secrets, None),
     "op5_html_text": (op5_html_text, None),
-    "op6_decontaminate": (op6_decontaminate, None),
+    "op6_decontaminate": (op6_decontaminate, decontam.ORACLE),
     "op7_pii": (op7_pii, None),
     "op8_token_counts": (op8_token_counts, None),
     "op9_mixing": (op9_mixing, mixing.ORACLE),

@@ -387,3 +387,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = map_batches(marked, make, f"id {marked.schema['id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, "
                                     "n_spans bigint, kept_sha256 string, spans array<array<bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
+
+
+ORACLE = """WITH d AS (SELECT row_number() OVER () AS rn, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT rn, i, md5(substr(h, 2 * i - 1, 400)) AS k FROM (SELECT rn, h, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200)),
+hit AS (SELECT rn, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+new AS (SELECT rn, i, CASE WHEN i > lag(i) OVER (PARTITION BY rn ORDER BY i) + 200 THEN 1 ELSE 0 END AS s FROM hit),
+run AS (SELECT rn, min(i) AS a, max(i) + 200 AS b FROM (SELECT rn, i, sum(s) OVER (PARTITION BY rn ORDER BY i) AS r FROM new) GROUP BY rn, r),
+cut AS (SELECT rn, a, b, coalesce(lag(b) OVER (PARTITION BY rn ORDER BY a), 1) AS since FROM run),
+per AS (SELECT d.rn, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(d.h, 2 * since - 1, 2 * (a - since)), '' ORDER BY a) AS before, max(b) AS last
+        FROM cut JOIN d USING (rn) GROUP BY d.rn)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(per.removed, 0) AS BIGINT) AS n_removed, coalesce(per.spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN per.rn IS NULL THEN d.h ELSE per.before || substr(d.h, 2 * per.last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN per USING (rn)"""
