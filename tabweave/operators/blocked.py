@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 4096
+HOT_COLUMNS = 1024  # columns of the dense part of the sparse kernel at once
+COLD_PAIRS = 1 << 21  # posting pairs at once
 
 
 def _block_counts(df: DataFrame, key: list[str], block_rows: int, name: str) -> DataFrame:
@@ -163,15 +165,16 @@ def sparse_dot_kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> np.ndarray:
         hot = (df1 * df2) * 64 >= max(n1 * n2, 1)
         hot &= (df1 > 0) & (df2 > 0)
         if hot.any():
-            hot_ix = -np.ones(len(vocab), np.int64)
-            hot_ix[hot] = np.arange(hot.sum())
-            a = np.zeros((n1, hot.sum()))
-            b = np.zeros((n2, hot.sum()))
-            lm = hot[li]
-            rm = hot[ri]
-            a[l_doc[lm], hot_ix[li[lm]]] = l_w[lm]
-            b[r_doc[rm], hot_ix[ri[rm]]] = r_w[rm]
-            sims += a @ b.T
+            hot_tokens = np.flatnonzero(hot)
+            for at in range(0, len(hot_tokens), HOT_COLUMNS):  # dense, some columns at a time
+                column = -np.ones(len(vocab), np.int64)
+                part = hot_tokens[at:at + HOT_COLUMNS]
+                column[part] = np.arange(len(part))
+                a, b = np.zeros((n1, len(part))), np.zeros((n2, len(part)))
+                lm, rm = column[li] >= 0, column[ri] >= 0
+                a[l_doc[lm], column[li[lm]]] = l_w[lm]
+                b[r_doc[rm], column[ri[rm]]] = r_w[rm]
+                sims += a @ b.T
         lm = ~hot[li]
         rm = ~hot[ri]
         lt, ld, lw = li[lm], l_doc[lm], l_w[lm]
@@ -181,10 +184,15 @@ def sparse_dot_kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> np.ndarray:
         lo = np.searchsorted(rt, lt, "left")
         hi = np.searchsorted(rt, lt, "right")
         cnt = hi - lo
-        if cnt.sum():
-            rep = np.repeat(np.arange(len(lt)), cnt)
-            starts = np.repeat(lo - np.concatenate([[0], np.cumsum(cnt)[:-1]]), cnt)
-            ridx = np.arange(cnt.sum()) + starts
-            flat = ld[rep] * n2 + rd[ridx]
-            sims += np.bincount(flat, weights=lw[rep] * rw[ridx], minlength=n1 * n2).reshape(n1, n2)
+        flat_sims = sims.reshape(-1)
+        upto = np.cumsum(cnt)
+        at = 0
+        while at < len(lt):  # posting pairs, some at a time (a token that is not hot has few)
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + COLD_PAIRS, "right")))
+            n = cnt[at:end]
+            if n.sum():
+                rep = np.repeat(np.arange(at, end), n)
+                ridx = np.arange(n.sum()) + np.repeat(lo[at:end] - (np.cumsum(n) - n), n)
+                np.add.at(flat_sims, ld[rep] * n2 + rd[ridx], lw[rep] * rw[ridx])
+            at = end
     return sims

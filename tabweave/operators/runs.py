@@ -136,4 +136,4 @@ def eligible(runs: DataFrame, methods: DataFrame, task: str = "task", num_train:
     ``methods`` has ``method, only_task`` (NULL = any) and ``max_train`` (NULL = any)."""
     ok = (F.col("only_task").isNull() | (F.col("only_task") == F.col(task))) & \
          (F.col("max_train").isNull() | (F.col(num_train) <= F.col("max_train")))
-    return runs.join(F.broadcast(methods), "method").filter(ok)
+    return runs.join(methods, "method").filter(ok)

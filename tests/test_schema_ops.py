@@ -233,3 +233,34 @@ def test_recipe(spark, name):
     assert got.count() == (3 if target else 4) and spec.target == target
     first = [r.asDict() for r in got.collect()]
     assert any({c: r.get(c) for c in want} == want for r in first), first
+
+
+STEP_CASES = [
+    ({"op": "clean_text"}, "a\nb®", "a b"), ({"op": "na_tokens"}, " n/a ", None), ({"op": "na_tokens", "tokens": ["?"]}, "n/a", "n/a"),
+    ({"op": "null_blank"}, "  ", None), ({"op": "null_value", "value": "x"}, "x", None), ({"op": "numeric"}, "1e2", 100.0),
+    ({"op": "currency"}, "$1,5", 15.0), ({"op": "percent"}, "5%", 5.0), ({"op": "suffix_number", "suffix": " km"}, "7 km", 7.0),
+    ({"op": "drop_first_char"}, "abc", "bc"), ({"op": "drop_last_char"}, "abc", "ab"), ({"op": "minutes"}, "1 hr 5 min", 65.0),
+    ({"op": "lower"}, "AB", "ab"), ({"op": "text"}, None, "nan"), ({"op": "text", "keep_null": True}, None, None),
+    ({"op": "split_part", "sep": "-", "index": -1}, "a-b", "b"), ({"op": "regex", "pattern": "(\\d+)"}, "a12", "12"),
+    ({"op": "regex_count", "pattern": "a"}, "aba", 2.0), ({"op": "first_chars", "n": 2}, "abc", "ab"), ({"op": "last_chars", "n": 2}, "abc", "bc"),
+    ({"op": "year"}, "2005.0", "2005"), ({"op": "trim_chars", "chars": ".0"}, "100.0", "1"), ({"op": "space_after"}, "a,b", "a, b"),
+    ({"op": "date", "patterns": ["MM/dd/yyyy"], "out": "yyyy"}, "01/02/2003", "2003"), ({"op": "map", "map": {"a": "b"}}, "a", "b"),
+    ({"op": "fill_from", "other": "o"}, None, "other"), ({"op": "names"}, "[{'name': 'n'}]", "n"), ({"op": "json_field", "path": "$.k"}, '{"k": "v"}', "v"),
+    ({"op": "binary"}, "Yes", 1), ({"op": "binarize_contains", "needle": "b"}, "abc", 1),
+]
+
+
+@pytest.mark.parametrize("step, cell, want", STEP_CASES)
+def test_recipe_step(spark, step, cell, want):
+    df = spark.createDataFrame([(cell, "other")], "c string, o string")
+    assert P.run_step(df, {**step, "col": "c"}).first()["c"] == want
+
+
+def test_recipe_number_and_table_steps(spark):
+    df = spark.createDataFrame([(4.0, "x", None), (1.0, "y", "z")], "n double, a string, b string")
+    steps = [{"op": "rescale", "col": "n", "factor": 25.0}, {"op": "log", "col": "n", "base": "10"}, {"op": "binarize", "col": "n", "threshold": 1.5},
+             {"op": "concat", "of": ["a", "b"], "out": "ab"}, {"op": "rename", "map": {"a": "A"}}, {"op": "exclude", "expr": "A = 'q'"},
+             {"op": "filter", "expr": "n >= 0"}, {"op": "dropna", "cols": ["ab"]}, {"op": "drop", "positions": [2]}, {"op": "select", "cols": ["n", "ab"]}]
+    assert [tuple(r) for r in P.prepare(df, steps).collect()] == [(0, "y z")]
+    with pytest.raises(ValueError):
+        P.run_step(df, {"op": "nope"})
