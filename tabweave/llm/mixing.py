@@ -2,17 +2,16 @@
 
 Documents fall into cells (source, language, topic). Starting from the tokens of
 each cell, the weights are raked: scaled to the target share of each source,
-then of each language, then of each topic, ``SWEEPS`` times; the
-three margins then hold closely. A cell's ratio of raked weight to tokens, divided by the largest
-ratio, is the probability with which each of its documents is kept: the
-expected tokens of a sample have the target margins, and no document is
-repeated. A document's draw is a hash of seed and id, so a sample can be
+then of each language, then of each topic, ``SWEEPS`` times; the three margins then
+hold closely. A cell's ratio of raked weight to tokens, divided by the largest ratio,
+is the probability with which each of its documents is kept: the expected tokens of
+a sample have the target margins, and no document is repeated. A document's draw is a hash of seed and id, so a sample can be
 repeated and does not depend on partitions.
 
 Raking works on the cell table (one row per cell, made by one aggregate with
-map-side combining); its sweeps are
-windows over that table. The
-ratios go back to the rows by a broadcast when the cell table has at most
+map-side combining; its size is counted). Its sweeps run in one task where it has
+at most ``ONE_TASK_CELLS`` rows, else they are windows over that table. The ratios go
+back to the rows by a broadcast when the cell table has at most
 ``BROADCAST_CELLS`` rows, else by a shuffled join.
 
 Defined results: null categories are the category ``NONE``; a null or empty text
@@ -25,8 +24,13 @@ an empty table gives an empty result; other columns are ignored by
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name, pinned
 
@@ -37,6 +41,7 @@ SWEEPS = 30  # over all three margins; each brings them closer by a factor
 AT_ONCE = 5  # sweeps between two checkpoints
 SEED = 7
 BROADCAST_CELLS = 100_000
+ONE_TASK_CELLS = 1_000_000  # some 50 MB
 BYTES_PER_TOKEN = 4
 
 
@@ -62,8 +67,9 @@ def default_targets(cells: DataFrame, power: float = POWER) -> dict[str, DataFra
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (the dimensions, tokens) with ``mass``, whose margins approach the target shares."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, one_task: int = ONE_TASK_CELLS) -> DataFrame:
+    """``cells`` (the dimensions, tokens) with ``mass``, whose margins approach the
+    target shares. Up to ``one_task`` cells are swept in one task, more by windows."""
     goal = {}
     for dim, share in targets.items():  # only categories that have tokens can be met
         have = cells.filter("tokens > 0").groupBy(dim).agg(F.sum("tokens").alias("t"))
@@ -74,6 +80,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     for dim, want in goal.items():
         now = now.join(want.withColumnRenamed("goal", f"goal_{dim}"), dim)
     now = pinned(now)
+    if now.count() <= one_task:
+        return now.coalesce(1).mapInPandas(_rake_in_task(list(goal), sweeps, cells.columns), _schema_of(now, [*cells.columns, "mass"]))
     for sweep in range(1, sweeps + 1):
         for dim in goal:  # a window over the cells of a category, not over its documents
             have = F.sum("mass").over(Window.partitionBy(dim))
@@ -83,6 +91,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     return now.select(*cells.columns, "mass")
 
 
+def _schema_of(df: DataFrame, columns: list[str]) -> T.StructType:
+    return T.StructType([df.schema[c] for c in columns])
+
+
+def _rake_in_task(dims: list[str], sweeps: int, columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The sweeps over a cell table that one task holds."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p for p in parts if len(p)]
+        if not held:
+            return
+        cells = pd.concat(held, ignore_index=True)
+        mass = cells["mass"].to_numpy(np.float64).copy()
+        margins = [(np.unique(cells[d], return_inverse=True)[1], cells[f"goal_{d}"].to_numpy(np.float64)) for d in dims]
+        for _ in range(sweeps):
+            for code, goal in margins:
+                have = np.bincount(code, mass)[code]
+                mass = np.where(have > 0, mass * goal / np.where(have > 0, have, 1.0), 0.0)
+        yield cells.assign(mass=mass)[[*columns, "mass"]]
+
+    return run
+
+
 def _keyed(docs: DataFrame, source_col: str, lang_col: str, text_col: str, topic: Column | None) -> list[Column]:
     text = F.col(text_col).cast("string")
     none = F.lit(NONE)

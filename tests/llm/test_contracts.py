@@ -368,6 +368,14 @@ def test_mixing_meets_its_targets(spark):
     assert got.agg(F.max("probability")).first()[0] == 1.0
 
 
+def test_mixing_by_windows_is_the_same(spark):
+    docs = table(spark, SF_SMALL, "documents")
+    cells = docs.groupBy("source", "lang", F.lit("t").alias("topic")).agg(F.sum("n_chars").alias("tokens"))
+    targets = mixing.default_targets(cells)
+    both = [{r[:3]: r["mass"] for r in mixing.rake(cells, targets, one_task=n).collect()} for n in (0, 1_000_000)]
+    assert both[0].keys() == both[1].keys() and all(math.isclose(both[0][k], both[1][k], rel_tol=1e-9) for k in both[0])
+
+
 def test_mixing_edges(spark):
     df, rows = odd(spark)
     got = mixing.mix_weights(df)
