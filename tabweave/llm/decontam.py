@@ -39,7 +39,7 @@ from .common import utf8
 WINDOW = 13
 COVERAGE = 20  # contaminated when COVERAGE * n_hit >= n_words
 WORDS_PER_AUTOMATON = 400_000
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
 
 _WORD_BYTES = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD_BYTES else 32 for b in range(256))

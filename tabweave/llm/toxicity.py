@@ -39,7 +39,8 @@ from .decontam import words_of
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
 SKIPS = (1, 2, 3)  # distance between the words of a pair; 1 is the plain bigram
-PER_CLASS = 6_000
+PER_CLASS = 4_000
+PIECE = 1 << 19  # bytes of text whose features are made at once
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
 THRESHOLD = 0.3
@@ -54,7 +55,7 @@ def held_out(doc_id: Column) -> Column:
 class Hasher:
     """Slots of the features of many texts at once."""
 
-    def __init__(self, bits: int = BITS, most: int = 200_000):
+    def __init__(self, bits: int = BITS, most: int = 100_000):
         self.shift, self.most = np.uint64(64 - bits), most
         self.row: dict[bytes, int] = {}  # word -> row of its table
         self._begin()
@@ -156,15 +157,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .withColumn("nth", order).repartition(1).sortWithinPartitions("nth", "id").drop("nth", "id"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, examples, model = Hasher(bits), [], Ftrl(1 << bits)
-        last = np.array([1 << bits])
+        hasher, parts, model = Hasher(bits), [], Ftrl(1 << bits)
         for batch in batches:
-            for label, text in zip(batch.column("label").to_pylist(), utf8(batch.column("text"))):
-                _, slots = hasher.features([text])
-                examples.append((label, np.append(np.unique(slots), last).astype(np.int32)))
+            labels, texts = batch.column("label").to_pylist(), utf8(batch.column("text"))
+            for a, b in pieces(texts):
+                # the slots of some texts as one array, each text with the intercept at its end
+                owner, slots = hasher.features(texts[a:b])
+                key = np.unique(np.concatenate([(owner << (bits + 1)) | slots, (np.arange(b - a) << (bits + 1)) | (1 << bits)]))
+                ends = np.cumsum(np.bincount(key >> (bits + 1), minlength=b - a))
+                parts.append((labels[a:b], (key & ((1 << (bits + 1)) - 1)).astype(np.int32), ends))
         for _ in range(epochs):
-            for label, at in examples:
-                model.learn(at, label)
+            for marks, flat, ends in parts:
+                for label, at in zip(marks, np.split(flat, ends[:-1])):
+                    model.learn(at, label)
+        del parts
         every = np.arange((1 << bits) + 1)
         w = model.weights(every)
         on = np.flatnonzero(w)
@@ -178,6 +184,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Weights(slots[~bias], w[~bias].astype(np.float32), intercept)
 
 
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``PIECE`` bytes."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= PIECE:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def score_batches(model: Weights, bits: int = BITS) -> Callable[[], Callable[[list[bytes]], np.ndarray]]:
     """A per-task set-up for scoring lists of texts."""
 
@@ -187,17 +205,11 @@ def score_batches(model: Weights, bits: int = BITS) -> Callable[[], Callable[[li
 
         def score(texts: list[bytes]) -> np.ndarray:
             out = np.full(len(texts), model.intercept)
-            at = 0
-            while at < len(texts):  # some MB of text at once
-                end, size = at, 0
-                while end < len(texts) and size < 2 << 20:
-                    size += len(texts[end])
-                    end += 1
+            for at, end in pieces(texts):
                 owner, slots = hasher.features(texts[at:end])
                 hit = on[slots]
                 key = np.unique((owner[hit] << bits) | slots[hit])
                 out[at:end] += np.bincount(key >> bits, table[key & ((1 << bits) - 1)].astype(np.float64), end - at)
-                at = end
             return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
         return score
