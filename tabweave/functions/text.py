@@ -40,10 +40,16 @@ def tokenize(c: Column | str) -> Column:
 
 
 def char_ngrams(c: Column | str, n: int = 3) -> Column:
-    """Character n-grams of ``' ' + lower(text) + ' '``; too short -> empty."""
+    """Character n-grams of ``' ' + lower(text) + ' '``; too short -> empty.
+
+    The characters are zipped with themselves shifted, which is linear in the text
+    (``substring`` at each position would walk the text from its start every time)."""
     p = F.concat(F.lit(" "), F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, n))
-    return F.when(F.length(p) >= n, grams).otherwise(F.array().cast("array<string>"))
+    chars = F.regexp_extract_all(p, F.lit("(?s)."), F.lit(0))
+    grams = chars
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.filter(grams, F.isnotnull)  # the last ones lack a character
 
 
 # ----------------------------------------------------------------- nulls

@@ -25,19 +25,23 @@ class HashingEncoder:
         self.dim = dim
 
     def apply(self, df: DataFrame, text: Column, out: str) -> DataFrame:
-        """Add ``out``. Each stage is its own projection so the per-gram hash
-        work runs once per row (an inlined expression would recompute the
-        gram list for every output slot)."""
+        """Add ``out``. Intermediate values are bound as lambda variables: the optimiser
+        merges projections, and a column named inside a lambda would then be computed
+        again for every element."""
         d = self.dim
-        df = df.withColumn("_hg", F.transform(char_ngrams(text, 3), lambda g: F.md5(g)))
-        df = df.withColumn("_hp", F.transform("_hg", lambda h: F.struct(
+        slots = F.transform(F.transform(char_ngrams(text, 3), lambda g: F.md5(g)), lambda h: F.struct(
             F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(d)).alias("b"),
-            F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("w"))))
-        df = df.withColumn("_hr", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.aggregate(
-            F.filter("_hp", lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["w"])))
-        df = df.withColumn("_hn", F.sqrt(F.aggregate("_hr", F.lit(0.0), lambda a, x: a + x * x)))
-        df = df.withColumn(out, F.transform("_hr", lambda x: F.when(F.col("_hn") > 0, x / F.col("_hn")).otherwise(F.lit(0.0))))
-        return df.drop("_hg", "_hp", "_hr", "_hn")
+            F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("w")))
+        raw = _bound(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.aggregate(
+            F.filter(s, lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["w"])))
+        unit = _bound(raw, lambda r: _bound(F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(
+            r, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
+        return df.withColumn(out, unit)
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 class BatchEncoder:
