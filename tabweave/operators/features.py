@@ -63,7 +63,7 @@ def one_hot_vector(train: DataFrame, df: DataFrame, col: str, out: str | None =
     n = codes.count()
     coded = label_encode_apply(named(df), "_cat", codes, out="_slot", unknown=n).withColumn("_slot", F.col("_slot").cast("double"))
     sizes = df.sparkSession.range(n).select(F.col("id").cast("double").alias("_slot"))
-    model = OneHotEncoder(inputCol="_slot", outputCol=out or f"{col}_vec", dropLast=False, handleInvalid="keep").fit(sizes)
+    model = OneHotEncoder(inputCol="_slot", outputCol=out or f"{col}_vec", dropLast=True, handleInvalid="keep").fit(sizes)
     return model.transform(coded).drop("_cat", "_slot")
 
 

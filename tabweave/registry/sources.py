@@ -58,12 +58,15 @@ def a5_null_token_scan(spark, sf):
            .otherwise(F.col("c_mktsegment")))
     path = S.scratch_path(spark, "cust-na")
     S.write_csv(c.select("c_custkey", seg.alias("segment")), path)
-    back = S.read_csv(spark, path, na_tokens=[])
-    return back.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "segment")
+    plain = S.read_csv(spark, path, na_tokens=[]).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "segment")
+    own = S.read_csv(spark, path, na_tokens=["N/A", "Unknown", "?"]).select(
+        F.col("c_custkey").cast("bigint").alias("c_custkey"), F.col("segment").alias("own"))
+    return plain.join(own, "c_custkey")  # the default tokens, and those of a table
 
 
-SQL_A5 = """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL
-  ELSE c_mktsegment END AS segment FROM customer"""
+SQL_A5 = """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'Unknown' WHEN c_custkey % 11 = 0 THEN '?' WHEN c_custkey % 13 = 0 THEN NULL
+  ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL
+  ELSE c_mktsegment END AS own FROM customer"""
 
 
 def a3_jsonl_roundtrip(spark, sf):
