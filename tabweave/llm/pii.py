@@ -4,15 +4,14 @@ The patterns (email, ip, card, phone) give the *base* spans, which always stay.
 A bidirectional LSTM over characters scores a BIO tag per character and kind; a
 linear-chain CRF holds the transitions. It is trained in numpy from labelled
 spans: windows around base spans of the corpus, their spellings varied by rule
-(other separators, no country code, ...), and windows with digits but no span.
-The sample is bounded (``TRAIN_WINDOWS``, least hashes of the id first) and
-training is one task.
+(other separators, ``(at)``, no country code, ...), and of texts without a span windows
+around the first digit or ``@`` and windows from anywhere. The sample is bounded
+(``TRAIN_WINDOWS`` of each, least hashes of the id first) and training is one task.
 
-Texts are cut into windows of ``WINDOW`` characters that overlap by half. Each
-character takes its tag from the window in which it lies furthest from an edge;
-spans are read from the joined tags of the whole text, so one span may cross
-windows, and added unless they overlap a base span. A span of any kind holds a
-digit or an ``@``; windows without either cannot add one and are not decoded.
+Every character of every text is tagged. Texts are cut into windows of up to ``LONGEST``
+characters that share ``STRIDE``; a character takes its tag from the window in which it
+lies further from an edge. Spans are read from the joined tags of the whole text, so one
+span may cross windows, and added unless they overlap a base span.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
 results; a corpus without base spans has nothing to learn from and adds no
@@ -24,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 96, 48
-TRAIN_WINDOWS = 1_200  # per label: windows with and without a base span
+WINDOW = 96  # characters of a training window
+LONGEST, STRIDE = 960, 48  # characters of a tagged window at most, and those that two of them share
+AT_ONCE = 1 << 19  # characters that one step of tagging holds
+TRAIN_WINDOWS = 1_200  # with a base span, around a digit or @, and from anywhere
 HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 12, 8, 64, 0.02
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 _LEAST = {"email": 6, "ip": 7, "card": 12, "phone": 9}  # shortest added span
@@ -144,17 +146,103 @@ class BiLstmCrf:
             keep |= {"x": x, "f": kf, "b": kb, "both": both}
         return both @ self.p["out"] + self.p["bias"]
 
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        """What ``emissions`` gives, as (time, tags, batch) and without what training keeps: the
+        windows stand side by side in memory, and a step is one product and one exponential."""
+        n, T = codes.shape
+        H, turned = self.hidden, np.ascontiguousarray(codes.T)
+        embed = self.p["emb"].shape[1]
+        e = np.empty((T, TAGS, n), np.float32)
+        e[:] = self.p["bias"][:, None]
+        sign = np.repeat(np.array([-1, -2], np.float32), [3 * H, H])  # tanh(z) = 2 sigmoid(2 z) - 1
+        for nth, d in enumerate("fb"):
+            weights = np.concatenate([self.p[f"h{d}"], self.p[f"x{d}"], self.p[f"c{d}"][None]]) * sign
+            weights = np.ascontiguousarray(weights.T)
+            out = np.ascontiguousarray(self.p["out"][nth * H:(nth + 1) * H].T)
+            emb = np.ascontiguousarray(self.p["emb"].T)
+            held = np.ones((H + embed + 1, n), np.float32)  # h, x, 1
+            held[:H] = 0
+            h, x, c = held[:H], held[H:H + embed], np.zeros((H, n), np.float32)
+            z, th = np.empty((4 * H, n), np.float32), np.empty((H, n), np.float32)
+            i, f, o, g = z[:H], z[H:2 * H], z[2 * H:3 * H], z[3 * H:]
+            for t in range(T) if d == "f" else range(T - 1, -1, -1):
+                np.take(emb, turned[t], axis=1, out=x, mode="clip")
+                np.matmul(weights, held, out=z)
+                np.clip(z, -80, 80, out=z)
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                g *= 2
+                g -= 1
+                c *= f
+                i *= g
+                c += i
+                np.multiply(c, -2, out=th)
+                np.clip(th, -80, 80, out=th)
+                np.exp(th, out=th)
+                th += 1
+                np.divide(2, th, out=th)
+                th -= 1
+                np.multiply(o, th, out=h)
+                e[t] += out @ h
+        return e
+
+    def _may_tag(self, e: np.ndarray) -> np.ndarray:
+        """Which characters (time, batch) the best path for scores (time, tags, batch) may tag.
+        What a tagged stretch gains over O is a sum over its characters, each at most its lead
+        over O in emission, plus the best transition into its tag, plus the best one back to O.
+        A stretch that loses is not on the best path, so the characters in no stretch of a
+        bound of zero or more are O."""
+        trans = self.p["trans"]
+        into = (trans[:, 1:].max(0) - trans[0, 0])[:, None]
+        back = max(0.0, float(trans[1:, 0].max() - trans[0, 0]))
+        lead = (e[:, 1:] + into).max(1) - e[:, 0] + back
+        lead[0] = np.maximum(lead[0], e[0, 1:].max(0) - e[0, 0] + back)  # nothing leads into the first
+        ends, starts = lead.copy(), lead.copy()  # the best bound of a stretch that ends, or starts, here
+        for t in range(1, len(lead)):
+            ends[t] += np.maximum(ends[t - 1], 0)
+        for t in range(len(lead) - 2, -1, -1):
+            starts[t] += np.maximum(starts[t + 1], 0)
+        return ends + starts - lead >= -1e-3  # sums of floats: in doubt Viterbi decides
+
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        """Best tags (batch, time) by Viterbi."""
-        e = self.emissions(codes)
+        """Best tags (batch, time) by Viterbi, run where a tag is possible: what lies between
+        characters that are O for certain does not depend on what is beyond them."""
+        e = self.scores(codes)
+        n, T = codes.shape
+        tags = np.zeros((n, T), np.int8)
+        may = np.zeros((n, T + 2), np.int8)
+        may[:, 1:-1] = self._may_tag(e).T
+        step = np.diff(may, axis=1)
+        row, first = np.nonzero(step == 1)
+        end = np.nonzero(step == -1)[1]
+        size = end - first
+        edge = (first == 0) + 2 * (end == T)
+        # between two O's a stretch may be filled up with further O's; at an edge of the window it has its own length
+        room = np.where(edge == 0, 1 << np.ceil(np.log2(np.maximum(size, 4))).astype(np.int64), size)
+        for kind, width in np.unique(np.stack([edge, room], 1), axis=0).tolist():
+            pick = np.flatnonzero((edge == kind) & (room == width))
+            steps = np.arange(0 if kind & 1 else -1, width if kind & 2 else width + 1)
+            for part in np.array_split(pick, 1 + (len(pick) * width >> 16)):
+                at = first[part, None] + steps
+                inside = (at >= first[part, None]) & (at < end[part, None])
+                some = e[at.clip(0, T - 1), :, row[part, None]]
+                some[~inside] = -1e9
+                some[~inside, 0] = 0
+                best = self._viterbi(np.ascontiguousarray(some.transpose(1, 0, 2)))
+                tags[np.repeat(row[part], inside.sum(1)), at[inside]] = best[inside]
+        return tags
+
+    def _viterbi(self, e: np.ndarray) -> np.ndarray:
+        """Best tags (batch, time) for scores (time, batch, tags)."""
         score, back = e[0], []
         for t in range(1, len(e)):
             step = score[:, :, None] + self.p["trans"]
-            back.append(step.argmax(1))
+            back.append(step.argmax(1).astype(np.int8))
             score = step.max(1) + e[t]
-        tags = np.empty(codes.shape, np.int64)
+        tags = np.empty((e.shape[1], len(e)), np.int8)
         tags[:, -1] = score.argmax(1)
-        rows = np.arange(len(codes))
+        rows = np.arange(e.shape[1])
         for t in range(len(e) - 2, -1, -1):
             tags[:, t] = back[t][rows, tags[:, t + 1]]
         return tags
@@ -263,29 +351,28 @@ def _window_of(text: str, span: tuple[int, int, int] | None, at: int, rng: np.ra
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = TRAIN_WINDOWS) -> dict | None:
-    """The parameters of a model fitted on at most ``2 * windows`` windows of
-    ``docs``, at most one per text and label; None where there is no base span."""
+    """The parameters of a model fitted on texts of ``docs``, at most ``windows`` per label:
+    one with a base span, and without: around its first digit or ``@``, and anywhere. None
+    where there is no base span."""
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order, label, texts, starts, kinds, ends = [], [], [], [], [], []
             for nth, text in zip(batch.column("nth").to_pylist(), batch.column("text").to_pylist()):
                 spans = base_spans(text)
-                pick = spans[nth % len(spans)] if spans else None
-                cut = 0
-                if pick:
-                    cut = max(0, pick[0] - WINDOW)
-                    texts.append(text[cut:pick[2] + WINDOW])
+                if spans:
+                    picks = [(1, *spans[nth % len(spans)])]
                 else:
                     m = _MAYBE.search(text)
-                    cut = max(0, m.start() - WINDOW) if m else 0
-                    texts.append(text[cut:cut + 3 * WINDOW])
-                    pick = (m.start() if m else 0, -1, 0)
-                order.append(nth)
-                label.append(int(pick[1] >= 0))
-                starts.append(pick[0] - cut)
-                kinds.append(pick[1])
-                ends.append(pick[2] - cut)
+                    picks = [(2, nth % len(text), -1, 0)] + ([(0, m.start(), -1, 0)] if m else [])
+                for kind_of, a, kind, b in picks:
+                    cut = max(0, a - WINDOW)
+                    order.append(nth)
+                    label.append(kind_of)
+                    texts.append(text[cut:max(a + 2 * WINDOW, b + WINDOW)])
+                    starts.append(a - cut)
+                    kinds.append(kind)
+                    ends.append(b - cut)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in ((order, pa.int64()), (label, pa.int32()), (texts, pa.string()),
                                              (starts, pa.int64()), (kinds, pa.int32()), (ends, pa.int64()))],
@@ -312,8 +399,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows
     thin = (docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("nth"), text.alias("text"))
             .filter(F.coalesce(F.octet_length("text"), F.lit(0)) > 0))
     cut = thin.mapInArrow(windows_of, "nth bigint, label int, text string, a bigint, kind int, b bigint")
-    sample = cut.filter("label = 1").orderBy("nth", "text").limit(windows).union(
-        cut.filter("label = 0").orderBy("nth", "text").limit(windows))
+    sample = reduce(DataFrame.union, [cut.filter(F.col("label") == k).orderBy("nth", "text").limit(windows) for k in (1, 0, 2)])
     rows = (sample.repartition(1).sortWithinPartitions("nth", "label", "text")
             .mapInArrow(train, "name string, shape array<bigint>, data array<float>").collect())  # one small model
     if not rows:
@@ -322,33 +408,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows
 
 
 # ------------------------------------------------------------------ tagging whole texts
-def tag_texts(model: BiLstmCrf, texts: list[str], most: int = 2048) -> list[list[tuple[int, int, int]]]:
-    """Spans (start, kind, end) that the model sees in each text."""
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    tags: dict[int, np.ndarray] = {}
-    depth: dict[int, np.ndarray] = {}
-    todo: list[tuple[int, int, np.ndarray]] = []
-    near = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.int8)  # distance from an edge
+def _pieces(n: int) -> Iterator[tuple[int, int, int]]:
+    """(start, first own character, end of the own ones) of the windows of a text of ``n`` characters."""
+    at, last = 0, max(1, -(-(n - STRIDE) // (LONGEST - STRIDE))) - 1
+    for j in range(last + 1):
+        yield at, at + STRIDE // 2 if j else 0, at + LONGEST - STRIDE // 2 if j < last else n
+        at += LONGEST - STRIDE
 
-    def run() -> None:
-        if not todo:
-            return
-        best = model.decode(np.stack([c for _, _, c in todo]))
-        for (k, at, _), got in zip(todo, best):
-            size = min(WINDOW, len(tags[k]) - at)
-            here = near.copy()
-            if at == 0:
-                here[:WINDOW // 2] = WINDOW  # the text's own edge cuts nothing off
-            if at + WINDOW >= len(tags[k]):
-                here[WINDOW // 2:] = WINDOW
-            deeper = here[:size] > depth[k][at:at + size]
-            tags[k][at:at + size][deeper] = got[:size][deeper]
-            depth[k][at:at + size][deeper] = here[:size][deeper]
-        todo.clear()
+
+def tag_texts(model: BiLstmCrf, texts: list[str], most: int = AT_ONCE) -> list[list[tuple[int, int, int]]]:
+    """Spans (start, kind, end) that the model sees in each text; every character of every
+    text goes through the network, about ``most`` of them at once."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    tags: dict[int, np.ndarray] = {}  # of texts with a tagged character
+    todo: dict[int, list[tuple[int, int, int, int, np.ndarray]]] = {}  # by padded length
+
+    def run(size: int) -> None:
+        batch = todo.pop(size)
+        codes = np.full((len(batch), size), 32, np.uint8)
+        for row, (*_, piece) in zip(codes, batch):
+            row[:len(piece)] = piece
+        best = model.decode(codes)
+        for n in np.flatnonzero(best.any(1)).tolist():
+            k, at, a, b, _ = batch[n]
+            if k not in tags:
+                tags[k] = np.zeros(len(texts[k]), np.int8)
+            tags[k][a:b] = best[n, a - at:b - at]
 
     def read(k: int) -> None:
-        seq, text = tags.pop(k), texts[k]
-        depth.pop(k)
+        seq, text = tags[k], texts[k]
         on = np.flatnonzero(seq)
         start, kind, last = -1, -1, -2
         for i in [*on.tolist(), len(text) + 1]:
@@ -357,7 +445,7 @@ def tag_texts(model: BiLstmCrf, texts: list[str], most: int = 2048) -> list[list
                 a, b = start, last + 1
                 while b > a and not text[b - 1].isalnum():
                     b -= 1
-                if b - a >= _LEAST[KINDS[kind]] and _MAYBE.search(text, a, b):
+                if b - a >= _LEAST[KINDS[kind]]:
                     out[k].append((a, kind, b))
                 start = -1
             if t and start < 0:
@@ -365,22 +453,16 @@ def tag_texts(model: BiLstmCrf, texts: list[str], most: int = 2048) -> list[list
             last = i
 
     for k, text in enumerate(texts):
-        marks = [m.start() for m in _MAYBE.finditer(text)]
-        if not marks:
-            continue
-        tags[k], depth[k] = np.zeros(len(text), np.int8), np.zeros(len(text), np.int8)
-        codes = _codes(text)
-        wanted = set()
-        for at in marks:  # the windows that hold this character
-            i = at // STRIDE
-            wanted.update(j for j in (i - 1, i) if j >= 0)
-        for j in sorted(wanted):
-            piece = codes[j * STRIDE:j * STRIDE + WINDOW]
-            todo.append((k, j * STRIDE, np.pad(piece, (0, WINDOW - len(piece)), constant_values=32)))
-            if len(todo) >= most:
-                run()
-    run()
-    for k in list(tags):
+        codes = _codes(text).astype(np.uint8)
+        for at, a, b in _pieces(len(text)) if text else ():
+            piece = codes[at:at + LONGEST]
+            size = -(-len(piece) // WINDOW) * WINDOW
+            todo.setdefault(size, []).append((k, at, a, b, piece))
+            if len(todo[size]) * size >= most:
+                run(size)
+    for size in list(todo):
+        run(size)
+    for k in tags:
         read(k)
     return out
 

@@ -288,6 +288,46 @@ def test_pii_learns_and_crosses_windows():
     assert any("555-123" in f for f in found)
 
 
+def test_pii_adds_spellings_without_a_mark(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    said = lambda n: " ".join(word(rng.randrange(2, 9)) for _ in range(n))
+    rows = [(i, f"{said(30)} {word(4)}.{word(6)}@{word(7)}.com {said(30)}" if i % 2 else said(60), "en", "s", None) for i in range(800)]
+    params = pii.fit(spark.createDataFrame(rows, SCHEMA))
+    hidden = [(f"{said(150)} ", "jane.doe(at)example.com", f" {said(150)}") for _ in range(20)]  # past the first window's half
+    plain = [(100 + i, said(300), "en", "s", None) for i in range(20)]
+    docs = spark.createDataFrame([(i, "".join(t), "en", "s", None) for i, t in enumerate(hidden)] + plain, SCHEMA)
+    assert not any(pii._MAYBE.search(r["text"]) for r in docs.collect())
+    got = {r["doc_id"]: r for r in pii.find_spans(docs, params).collect()}
+    spans = [[x.split(":") for x in got[i]["spans"].split(",") if x] for i in range(20)]
+    held = [any(k == "email" and int(x) <= len(a) and int(y) == len(a + b) for k, x, y in s) for s, (a, b, _) in zip(spans, hidden)]
+    exact = [["email", str(len(a)), str(len(a + b))] in s for s, (a, b, _) in zip(spans, hidden)]
+    assert sum(held) >= 18 and sum(exact) >= 10  # some take the short word before it along
+    assert sum(got[100 + i]["n_added"] for i in range(20)) <= 2
+
+
+def test_pii_decoding_is_viterbi():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for seed in range(6):
+        model = pii.BiLstmCrf(seed)
+        model.p["trans"] = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+        model.p["bias"][0] = seed  # from mostly tagged to mostly O
+        codes = rng.integers(0, 128, (40, 100))
+        e = model.emissions(codes)
+        assert np.allclose(model.scores(codes).transpose(0, 2, 1), e, atol=1e-4)
+        full = model._viterbi(np.ascontiguousarray(model.scores(codes).transpose(0, 2, 1)))
+        assert (model.decode(codes) == full).all()
+
+
+def test_pii_pieces_own_every_character_once():
+    for n in [1, 47, 48, 49, 959, 960, 961, 1871, 1872, 1873, 5000]:
+        pieces = list(pii._pieces(n))
+        assert [x for _, a, b in pieces for x in range(a, b)] == list(range(n))
+        assert all(at <= a and b <= min(n, at + pii.LONGEST) for at, a, b in pieces)
+
+
 # ------------------------------------------------------------------ html
 def test_html_pages(spark):
     got = query(spark, "op5_html_text").collect()
