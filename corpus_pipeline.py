@@ -43,7 +43,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected tokens have the target margins."""
+    """A sample of ``mixing.RATE`` of the tokens, weighted towards the target margins."""
     return mixing.mix_sample(docs).select(*COLUMNS)
 
 

@@ -3,10 +3,15 @@
 Documents fall into cells (source, language, topic). Starting from the tokens of
 each cell, the weights are raked: scaled to the target share of each source,
 then of each language, then of each topic, ``SWEEPS`` times; the three margins then
-hold closely. A cell's ratio of raked weight to tokens, divided by the largest ratio,
-is the probability with which each of its documents is kept: the expected tokens of
-a sample have the target margins, and no document is repeated. A document's draw is a hash of seed and id, so a sample can be
-repeated and does not depend on partitions.
+hold closely. A cell's ratio of raked weight to tokens, times a scale, is the
+probability with which each of its documents is kept; no document is repeated.
+``mix_sample`` scales to a ``rate``, the expected share of all tokens that is kept:
+a cell whose ratio asks for more than all of its documents (``wanted`` above 1 in
+``cell_ratios``) is kept whole and the others make up for it, so that a small cell does
+not set the size of the sample. Without a rate the scale is one over the largest ratio,
+as in the SQL of ``op9_mixing``: the expected tokens then have the target margins in full,
+and the smallest cell may decide how few they are. A document's draw is a hash of seed
+and id, so a sample can be repeated and does not depend on partitions.
 
 Raking works on the cell table (one row per cell, made by one aggregate with
 map-side combining; its size is counted). Its sweeps run in one task where it has
@@ -40,6 +45,7 @@ POWER = 0.8  # default targets: token shares to this power, scaled to 1
 SWEEPS = 30  # over all three margins; each brings them closer by a factor
 AT_ONCE = 5  # sweeps between two checkpoints
 SEED = 7
+RATE = 0.4  # of the tokens, in a sample
 BROADCAST_CELLS = 100_000
 ONE_TASK_CELLS = 1_000_000  # some 50 MB
 BYTES_PER_TOKEN = 4
@@ -124,14 +130,31 @@ def _keyed(docs: DataFrame, source_col: str, lang_col: str, text_col: str, topic
 
 
 def cell_ratios(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", text_col: str = "text",
-                topic: Column | None = None, targets: dict[str, DataFrame] | None = None, power: float = POWER) -> DataFrame:
-    """(source, lang, topic, weight, probability) of every cell with tokens."""
+                topic: Column | None = None, targets: dict[str, DataFrame] | None = None, power: float = POWER,
+                rate: float | None = None) -> DataFrame:
+    """(source, lang, topic, weight, wanted, probability) of every cell with tokens; ``wanted``
+    is the weight scaled to ``rate`` of all tokens, or else to 1 at most."""
     cells = pinned(docs.select(*_keyed(docs, source_col, lang_col, text_col, topic))
                    .groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")))
     raked = rake(cells, targets or default_targets(cells, power)).withColumn("weight", F.col("mass") / F.col("tokens"))
-    raked = pinned(raked.select(*DIMS, "weight"))
+    raked = pinned(raked.select(*DIMS, "tokens", "weight"))
     top = raked.agg(F.max("weight")).first()[0]
-    return raked.withColumn("probability", F.col("weight") / F.lit(top or 1.0))
+    wanted = F.col("weight") / F.lit(top or 1.0) if rate is None else F.col("weight") * F.lit(_scale(raked, rate))
+    return raked.withColumn("wanted", wanted).withColumn("probability", F.least("wanted", F.lit(1.0))).drop("tokens")
+
+
+def _scale(cells: DataFrame, rate: float) -> float:
+    """The factor c at which min(1, c * weight) keeps ``rate`` of the tokens: cells that would
+    pass 1 are taken whole and the rest is scaled up, until no more cells pass."""
+    scale, whole = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(scale) >= 1
+        n, kept, mass, tokens = cells.agg(
+            F.count(F.when(full, 1)), F.sum(F.when(full, F.col("tokens")).otherwise(0)),
+            F.sum(F.when(full, 0.0).otherwise(F.col("weight") * F.col("tokens"))), F.sum("tokens")).first()
+        if n == whole or not mass:  # with no mass left every cell with a weight is whole
+            return scale
+        scale, whole = (rate * tokens - kept) / mass, n
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -142,10 +165,10 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 
 def mix_weights(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang",
                 text_col: str = "text", topic: Column | None = None, targets: dict[str, DataFrame] | None = None,
-                power: float = POWER, seed: int = SEED, carry: str | None = None) -> DataFrame:
+                power: float = POWER, seed: int = SEED, carry: str | None = None, rate: float | None = None) -> DataFrame:
     """Per row: the id, its cell, ``n_tokens``, ``weight`` (raked tokens per token),
     ``probability`` and ``kept``; ``carry`` names a struct column that is passed on."""
-    cells = cell_ratios(docs, source_col, lang_col, text_col, topic, targets, power)
+    cells = cell_ratios(docs, source_col, lang_col, text_col, topic, targets, power, rate).drop("wanted")
     rows = docs.select(F.col(id_col).alias("id"), *_keyed(docs, source_col, lang_col, text_col, topic),
                        *([F.col(carry).alias("carried")] if carry else []))
     ratios = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
@@ -156,11 +179,11 @@ def mix_weights(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
                       *([F.col("carried")] if carry else []))
 
 
-def mix_sample(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The sampled rows of ``docs``, with their columns."""
+def mix_sample(docs: DataFrame, id_col: str = "doc_id", rate: float | None = RATE, **kw) -> DataFrame:
+    """The sampled rows of ``docs``, with their columns: ``rate`` of the tokens is expected."""
     whole = free_name("_row", docs)
     packed = docs.withColumn(whole, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = mix_weights(packed, id_col, carry=whole, **kw).filter("kept")
+    kept = mix_weights(packed, id_col, carry=whole, rate=rate, **kw).filter("kept")
     return kept.select([F.col("carried")[c].alias(c) for c in docs.columns])
 
 

@@ -425,6 +425,26 @@ def test_mixing_edges(spark):
     assert mixing.mix_weights(empty(spark)).count() == 0 and mixing.mix_sample(empty(spark)).count() == 0
 
 
+def test_mixing_rate_does_not_hang_on_one_row(spark):
+    docs = table(spark, SF_SMALL, "documents")
+    stray = spark.createDataFrame([(-1, "abc", "xx", None, 3)], SCHEMA).select(docs.columns)
+
+    def share(df, **kw):
+        w = mixing.mix_weights(df, **kw)
+        return w.agg(F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens")).first()[0]
+
+    assert share(docs.union(stray)) < 0.5 * share(docs)  # by the largest ratio, as in the SQL
+    for rate in (0.1, mixing.RATE, 0.9):
+        assert math.isclose(share(docs, rate=rate), rate, rel_tol=1e-6)
+        assert math.isclose(share(docs.union(stray), rate=rate), rate, rel_tol=1e-6)
+    assert math.isclose(share(docs, rate=1.0), 1.0, rel_tol=1e-6)
+    cells = mixing.cell_ratios(docs.union(stray), rate=mixing.RATE)
+    lone = cells.filter("lang = 'xx'").first()
+    assert lone["source"] == mixing.NONE and lone["wanted"] > 1 and lone["probability"] == 1.0
+    plain, more = (mixing.mix_sample(df).count() for df in (docs, docs.union(stray)))
+    assert abs(plain - more) <= 0.05 * docs.count() and plain > 0.25 * docs.count()
+
+
 # ------------------------------------------------------------------ suffix-array dedup
 def repeats(df):
     return ordered(df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
