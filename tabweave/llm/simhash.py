@@ -22,7 +22,7 @@ Defined results: null counts as empty; a text without words has fingerprint
 zero and is linked like any other; repeated rows get equal results; null ids are
 never the component id unless all ids of the component are null; an empty table
 gives an empty result; further columns are ignored by ``simhash_classes`` and
-carried by ``simhash_dedup``.
+carried by ``simhash_dedup``, which leaves one row per component whatever the ids.
 """
 
 from __future__ import annotations
@@ -33,11 +33,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, map_batches, pinned, utf8
 from .graph import components
+from .suffix_dedup import _stored
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -244,11 +245,15 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row whose id is the
-    component id (one of them, where rows repeat it)."""
-    nth, keep = free_name("_nth", docs), free_name("_keep", docs)
-    stay = simhash_classes(docs, id_col, text_col, **kw)
-    stay = stay.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(keep)).distinct()
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay[keep]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1)))
-    return out.withColumn(nth, first).filter(F.col(nth) == 1).drop(nth)
+    """The rows of ``docs`` that stay: of each component one row, with the smallest id that
+    is not null. Where ids are null or repeated, rows are told apart by a number."""
+    shared = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null")
+    if shared.isEmpty():
+        stay = simhash_classes(docs, id_col, text_col, **kw).filter(F.col(id_col) == F.col("component_id"))
+        return docs.join(stay.select(id_col), id_col, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+    row = free_name("_row", docs)
+    numbered = _stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    who = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    stay = simhash_classes(numbered.select(who.alias("who"), F.col(text_col).alias("text")), "who", "text", **kw)
+    stay = stay.filter("who = component_id").select(F.col("who.row").alias(row))
+    return numbered.join(stay, row, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])

@@ -163,6 +163,19 @@ def test_simhash_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(want)
 
 
+@pytest.mark.parametrize("ids", [[None] * 7, [5] * 7, [None, None, 3, 3, 1, None, 1], list(range(7))])
+def test_simhash_dedup_leaves_one_row_per_component(spark, ids):
+    one, two = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    texts = [one, one.upper(), two, two, "a lone text of its own", one, None]
+    df = spark.createDataFrame([(d, t, "en", "s", n) for n, (d, t) in enumerate(zip(ids, texts))], SCHEMA).repartition(3)
+    kept = simhash.simhash_dedup(df).collect()
+    groups = [r["text"].lower() if r["text"] else "" for r in kept]
+    assert sorted(groups) == sorted({one, two, "a lone text of its own", ""})
+    for group, r in zip(groups, kept):
+        least = [d for d, t in zip(ids, texts) if (t or "").lower() == group and d is not None]
+        assert r["doc_id"] == min(least, default=None)
+
+
 @pytest.mark.parametrize("leaf", [8, 64, 16_384])
 def test_trie_links(spark, leaf):
     rng = random.Random(leaf)
