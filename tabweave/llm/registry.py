@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin digests of their results."""
+"""The registered queries of the operators: thin digests of their results."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import table
-from . import decontam, exact_dedup, html_text, mixing, pii, secrets, simhash, suffix_dedup, token_count, toxicity
+from . import collocations, decontam, exact_dedup, html_text, mixing, pii, secrets, simhash, suffix_dedup, token_count, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": (op1_suffix_dedup, suffix_dedup.ORACLE),
     "op2_toxicity": (op2_toxicity, None),
@@ -76,4 +80,5 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_mixing": (op9_mixing, mixing.ORACLE),
     "op10_simhash": (op10_simhash, None),
+    "op11_collocations": (op11_collocations, collocations.ORACLE),
 }
