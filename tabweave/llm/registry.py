@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import table
-from . import collocations, decontam, exact_dedup, html_text, mixing, pii, secrets, simhash, suffix_dedup, token_count, toxicity
+from . import collocations, decontam, exact_dedup, html_text, mixing, pii, secrets, simhash, spelling, suffix_dedup, token_count, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -69,6 +69,10 @@ def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(table(spark, sf, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": (op1_suffix_dedup, suffix_dedup.ORACLE),
     "op2_toxicity": (op2_toxicity, None),
@@ -81,4 +85,5 @@ QUERIES = {
     "op9_mixing": (op9_mixing, mixing.ORACLE),
     "op10_simhash": (op10_simhash, None),
     "op11_collocations": (op11_collocations, collocations.ORACLE),
+    "op12_spelling": (op12_spelling, None),
 }

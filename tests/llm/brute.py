@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -130,3 +131,71 @@ def simhash_classes(rows, bits=2):
         if doc is not None:
             least[r] = min(least.get(r, doc), doc)
     return [(doc, f"{f:016x}", least.get(root(i))) for i, ((doc, _), f) in enumerate(zip(rows, fps))]
+
+
+def spelling_groups(rows, least_length=6, least_count=5, ratio=5, divisor=199):
+    """{word: (form, root, n, n_near, form_n)}"""
+    counts = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            at = h % len(run)
+            counts[run[:at] + run[at + 1:] if h % divisor == 0 else run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least_length and n >= least_count}
+    near = defaultdict(set)
+    shorter = defaultdict(set)  # a word without one letter -> (word, place)
+    for w in words:
+        for i in range(len(w)):
+            shorter[w[:i] + w[i + 1:]].add((w, i))
+    for cut, ws in shorter.items():
+        for w, i in ws:
+            if cut in words:
+                near[w].add(cut)
+                near[cut].add(w)
+            for v, j in ws:
+                if i == j and v != w:
+                    near[w].add(v)
+    out = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        form = best if best is not None and words[best] >= ratio * n else None
+        out[w] = [form, w, n, len(near[w]), words[form] if form else None]
+    for w in out:
+        while out[out[w][1]][0] is not None:
+            out[w][1] = out[out[w][1]][0]
+    return {w: tuple(v) for w, v in out.items()}
+
+
+def collocations(rows, most=5, least=100, top=2000):
+    """Rows (lang, rank, phrase, a, l, r, n, score) from (lang, text)."""
+    f, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            words = re.findall("[^ \t]+", piece)
+            total[lang] += len(words)
+            for k in range(1, most + 1):
+                for i in range(len(words) - k + 1):
+                    f[lang, tuple(words[i:i + k])] += 1
+    often = {p: a for p, a in f.items() if a >= least}
+    within = Counter()
+    for (lang, p), a in often.items():
+        for i in range(len(p)):
+            for j in range(i + 1, len(p) + 1):
+                if j - i < len(p):
+                    within[lang, p[i:j]] = max(within[lang, p[i:j]], a)
+    by_lang = defaultdict(list)
+    for (lang, p), a in often.items():
+        if len(p) > 1 and within[lang, p] < a:
+            cuts = []
+            for k in range(1, len(p)):
+                l, r = f[lang, p[:k]], f[lang, p[k:]]
+                cuts.append((1000 * a * total[lang] // (l * r), k, l, r))
+            score, _, l, r = min(cuts)
+            by_lang[lang].append((" ".join(p), a, l, r, total[lang], score))
+    out = []
+    for lang, found in by_lang.items():
+        found.sort(key=lambda x: (-x[5], -x[1], x[0].encode()))
+        out += [(lang, rank, *x) for rank, x in enumerate(found[:top], 1)]
+    return out
