@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import table
-from . import collocations, decontam, exact_dedup, html_text, mixing, pii, secrets, simhash, spelling, suffix_dedup, token_count, toxicity
+from . import collocations, decontam, exact_dedup, html_text, mixing, pii, quality, secrets, simhash, spelling, suffix_dedup, token_count, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -73,6 +73,14 @@ def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_suffix_dedup": (op1_suffix_dedup, suffix_dedup.ORACLE),
     "op2_toxicity": (op2_toxicity, None),
@@ -86,4 +94,5 @@ QUERIES = {
     "op10_simhash": (op10_simhash, None),
     "op11_collocations": (op11_collocations, collocations.ORACLE),
     "op12_spelling": (op12_spelling, None),
+    "op13_quality": (op13_quality, None),
 }
