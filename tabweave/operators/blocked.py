@@ -107,6 +107,16 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
     return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
+def blocked_apply(left: DataFrame, right: DataFrame, run, schema: str, block_rows: int, sizes: tuple[int, int]) -> DataFrame:
+    """``run(left block, right block)`` on every pair of hash blocks of about ``block_rows`` rows; both sides carry ``id``."""
+    n_l, n_r = (max(1, -(-n // block_rows)) for n in sizes)
+    lx = _fresh(left).withColumn("_lb", F.pmod(F.xxhash64("id"), F.lit(n_l))).withColumn(
+        "_rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
+    rx = _fresh(right).withColumn("_rb", F.pmod(F.xxhash64("id"), F.lit(n_r)).cast("int")).withColumn(
+        "_lb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_l - 1).cast("bigint"))))
+    return lx.groupBy("_lb", "_rb").cogroup(rx.groupBy("_lb", "_rb")).applyInPandas(run, schema)
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
 

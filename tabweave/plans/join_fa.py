@@ -14,6 +14,7 @@ from ..functions.vectors import cosine
 from ..operators import match as M
 from ..operators.aggregate import match_statistics, similarity_buckets
 from ..operators.encoder import encode_distinct
+from ..operators.ivf import VectorIndex, ivf_knn
 from ..session import ensure_checkpoint_dir
 
 
@@ -26,14 +27,21 @@ def join_fa_text(spark: SparkSession, sf_dir: str, threshold: float | None = Non
                    M.text_knn(t1, "doc_id", "text", t2, "item_id", "text", k=1), threshold, prefix)
 
 
-def join_fa_encoded(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str, t2_text: str, encoder,
-                    threshold: float | None = None, prefix: str = "t2_", **lsh) -> dict[str, DataFrame]:
-    """P1 by encoded text: vectors of each distinct text (K1, K2), approximate
-    nearest row with exact scores (C2), then the outputs of ``join_fa``."""
+def encoded_pair(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str, t2_text: str,
+                 encoder) -> tuple[DataFrame, DataFrame]:
+    """(id, _vec) of both tables: each distinct text is encoded once (K1, K2); pinned, since matching reads it more than once."""
     ensure_checkpoint_dir(t1.sparkSession)
-    left = encode_distinct(t1.select(t1_id, t1_text), t1_text, encoder, "_vec").select(t1_id, "_vec").checkpoint(eager=True)
-    right = encode_distinct(t2.select(t2_id, t2_text), t2_text, encoder, "_vec").select(t2_id, "_vec").checkpoint(eager=True)
-    matches = M.lsh_knn(left, t1_id, "_vec", right, t2_id, "_vec", encoder.dim, **lsh).checkpoint(eager=True)
+    return tuple(encode_distinct(t.select(i, c), c, encoder, "_vec").select(i, "_vec").checkpoint(eager=True)
+                 for t, i, c in ((t1, t1_id, t1_text), (t2, t2_id, t2_text)))
+
+
+def join_fa_encoded(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str, t2_text: str, encoder,
+                    threshold: float | None = None, prefix: str = "t2_", cells: int | None = None,
+                    nprobe: int = 8) -> dict[str, DataFrame]:
+    """P1 by encoded text: each row's match from the ``nprobe`` nearest lists of an inverted file with exact scores (C2),
+    then the outputs of ``join_fa``."""
+    left, right = encoded_pair(t1, t1_id, t1_text, t2, t2_id, t2_text, encoder)
+    matches = ivf_knn(left, t1_id, "_vec", VectorIndex(right, t2_id, "_vec", cells), nprobe).checkpoint(eager=True)
     return join_fa(t1, t1_id, t1_text, t2, t2_id, t2_text, matches, threshold, prefix)
 
 
