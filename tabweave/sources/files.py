@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..core import TableSpec
 from ..functions.text import NA_TOKENS, null_tokens
 from ..session import ensure_checkpoint_dir
+from .csv_records import parsed, records, splittable
 
 SPLIT_NAMES = ("train", "val", "test")
 
@@ -33,13 +34,16 @@ def read_csv(spark: SparkSession, path: str, text_col: str | None = None, encodi
              sep: str = ",", required: list[str] = (), na_tokens: list[str] | None = None,
              multi_line: bool = True) -> DataFrame:
     """A1/A4: header CSV with quoted multi-line cells; all columns strings.
-    A file with line breaks inside cells is one task; pass ``multi_line=False`` for
-    files without them, which Spark then splits.
+    A file with line breaks inside cells is read by many tasks (``csv_records``); ``multi_line=False`` leaves files
+    without them to Spark's own splitting reader. An encoding that does not write line breaks as ASCII does
+    (UTF-16) needs one task a file.
     A missing ``text_col``/``required`` column raises with the column list;
     ``text_col`` NULL becomes ``''``. ``na_tokens`` (A5) turn listed cell
     texts into NULL (Spark's own ``nullValue`` accepts a single token)."""
     df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
           .option("encoding", encoding).option("sep", sep).option("inferSchema", False).csv(path))
+    if multi_line and splittable(encoding) and df.columns:
+        df = parsed(records(spark, path, sep, encoding), df.columns, sep, encoding)
     first = df.columns[0] if df.columns else None
     if first is not None and first.startswith("﻿"):
         df = df.withColumnRenamed(first, first[1:])  # byte-order mark glued to the first header
