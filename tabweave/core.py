@@ -11,6 +11,7 @@ Determinism rules used everywhere:
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field, asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,6 +92,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """A small frame written below the checkpoint folder and read again: its size is then known to the planner, which
+    broadcasts it in a join if it is small and shuffles if not."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tabweave-io/measured-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ------------------------------------------------------------ skew-safe ranking
 def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos",
               size_col: str | None = None, num_partitions: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cuts import exact_quantiles
+
 
 def column_profile(df: DataFrame) -> DataFrame:
     """Null count and distinct count for every column in one pass.
@@ -23,17 +25,20 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def match_statistics(mapping: DataFrame, sim: str = "cosine_similarity") -> DataFrame:
-    """Rows, matched rows, distinct aux rows used, mean/median/min/max similarity."""
+    """Rows, matched rows, distinct aux rows used, mean/median/min/max similarity. The median is exact and
+    keeps no buffer of values (``cuts.exact_quantiles``)."""
     s = F.col(sim)
-    return mapping.agg(
+    out = mapping.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("t2_index").alias("n_matched"),
         F.count_distinct("t2_index").alias("n_distinct_t2"),
         F.round(F.avg(s), 6).alias("mean_similarity"),
-        F.round(F.median(s), 6).alias("median_similarity"),
         F.round(F.min(s), 6).alias("min_similarity"),
         F.round(F.max(s), 6).alias("max_similarity"),
     )
+    half = exact_quantiles(mapping, [], sim, [0.5]).agg(F.round(F.max(F.col("quantiles")[0]), 6)).first()[0]
+    return out.withColumn("median_similarity", F.lit(half).cast("double")).select(
+        "n_rows", "n_matched", "n_distinct_t2", "mean_similarity", "median_similarity", "min_similarity", "max_similarity")
 
 
 def similarity_buckets(mapping: DataFrame, sim: str = "cosine_similarity") -> DataFrame:

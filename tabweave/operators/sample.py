@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import positions, seeded_hash, seeded_uint
+from .cuts import sliced
 from .split import _ntile
 
 
@@ -62,7 +63,7 @@ def balanced_draw(df: DataFrame, ids, label: str, n: int, seed: int = 42) -> Dat
     ids = _ids(ids)
     half = n // 2
     keyed = df.filter(F.col(label).isin(0, 1)).select(*ids, label, seeded_uint(seed, *ids).alias("_o"))
-    return positions(keyed, [label], ["_o", *ids], out="_pos").filter(F.col("_pos") <= half).select(*ids, label)
+    return sliced(keyed, [label], "_o", ids, lambda m: [F.lit(half)], "_slice").filter("_slice = 0").select(*ids, label)
 
 
 def chunk_columns(columns: list[str], n_chunks: int, seed: int = 42) -> list[list[str]]:
@@ -91,7 +92,9 @@ def row_chunks(train: DataFrame, ids, n_chunks: int, columns: list[str], seed: i
     ids = _ids(ids)
     n = train.count()
     chunk = _ntile(F.col("_pos"), F.lit(n), n_chunks) - 1
-    ranked = positions(train.select(*ids, *columns), [], ids, out="_pos").withColumn("chunk", chunk)
+    # ids alone are ranked; the rows join their chunk
+    place = positions(train.select(*ids), [], ids, out="_pos").select(*ids, chunk.alias("chunk"))
+    ranked = train.select(*ids, *columns).join(place, ids)
     plan = chunk_columns(columns, n_chunks, seed)
     has = {c: [i for i, picked in enumerate(plan) if c in picked] for c in columns}
     return ranked.select(*ids, *[F.when(F.col("chunk").isin(has[c]), F.col(c)).alias(c) for c in columns], "chunk")

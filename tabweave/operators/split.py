@@ -2,9 +2,8 @@
 
 Every split is a ``(row_id..., split)`` table computed from a seeded order
 (the first 60 bits of ``md5(seed|row_id)``, a bigint, then the id) or a time order, with counts truncated as
-``int(m * ratio)``. Ranks within a class use ``core.positions`` — range
-partitioned, so a class holding a third of all rows is still spread over
-many tasks.
+``int(m * ratio)``. No class is sorted: ``cuts.sliced`` counts the rows by the leading bits of their key
+and ranks only those around a cut, so a class holding a third of all rows is no hot key.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import positions, ratio_count, seeded_uint
+from .cuts import double_bits, sliced
 
 SPLITS = ("train", "val", "test")
 
@@ -21,10 +21,24 @@ def _ids(ids: list[str] | str) -> list[str]:
     return [ids] if isinstance(ids, str) else list(ids)
 
 
-def _three_way(pos: Column, m: Column, train_ratio: float, val_ratio: float) -> Column:
-    n_train = ratio_count(m, train_ratio)
-    n_val = ratio_count(m, val_ratio)
-    return F.when(pos <= n_train, "train").when(pos <= n_train + n_val, "val").otherwise("test")
+def _named(slice_: Column, names: tuple[str, ...]) -> Column:
+    out = F.when(slice_ == 0, names[0])
+    for i, n in enumerate(names[1:], 1):
+        out = out.when(slice_ == i, n)
+    return out
+
+
+def _bounds(*ratios: float):
+    """Cuts after ``int(m * r)`` rows for each ratio, one after the other."""
+
+    def cuts(m: Column) -> list[Column]:
+        out, at = [], F.lit(0)
+        for r in ratios:
+            at = at + ratio_count(m, r)
+            out.append(at)
+        return out
+
+    return cuts
 
 
 def stratified_split(df: DataFrame, ids: list[str] | str, label: str, seed: int = 42,
@@ -39,21 +53,42 @@ def stratified_split(df: DataFrame, ids: list[str] | str, label: str, seed: int
     base = df.select(*ids, F.col(label).alias("_label"),
                      (F.col(time_col) if temporal else seeded_uint(seed, *ids)).alias("_o"))
     labelled = base.filter(F.col("_label").isNotNull())
-    ranked = positions(labelled, ["_label"], ["_o", *ids], out="_pos", size_col="_m")
-    out = ranked.select(*ids, _three_way(F.col("_pos"), F.col("_m"), train_ratio, val_ratio).alias("split"))
+    key, bits = _key_of(base.schema["_o"].dataType.simpleString()) if temporal else (F.col("_o"), 60)
+    if key is None:  # no bits in the order of the column, so it is sorted
+        ranked = positions(labelled, ["_label"], ["_o", *ids], out="_pos", size_col="_m")
+        behind = sum(((F.col("_pos") > c).cast("int") for c in _bounds(train_ratio, val_ratio)(F.col("_m"))), F.lit(0))
+        cut = ranked.withColumn("_slice", behind)
+    else:
+        keyed = labelled.withColumn("_key", key)
+        if temporal:  # nulls come last
+            keyed = keyed.withColumn("_key", F.coalesce("_key", F.lit(2 ** 63 - 1)))
+        cut = sliced(keyed, ["_label"], "_key", ids, _bounds(train_ratio, val_ratio), "_slice", bits)
+    out = cut.select(*ids, _named(F.col("_slice"), SPLITS).alias("split"))
     unlabelled = base.filter(F.col("_label").isNull()).select(*ids, F.lit(None).cast("string").alias("split"))
     return out.unionByName(unlabelled)
 
 
+def _key_of(kind: str) -> tuple[Column | None, int]:
+    """A bigint in the order of ``_o`` and its number of bits; None for kinds without one."""
+    c = F.col("_o")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return c.cast("bigint"), 64
+    if kind == "date":
+        return F.unix_date(c).cast("bigint"), 64
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(c.cast("timestamp")), 64
+    if kind in ("float", "double"):
+        return double_bits(c), 64
+    return None, 0
+
+
 def random_split(df: DataFrame, ids: list[str] | str, seed: int = 42, train_ratio: float = 0.8,
                  val_end_ratio: float = 0.9) -> DataFrame:
     """Unstratified; train = first ``int(n*0.8)``, val up to ``int(n*0.9)``."""
     ids = _ids(ids)
-    n = df.count()
-    ranked = positions(df.select(*ids, seeded_uint(seed, *ids).alias("_o")), [], ["_o", *ids], out="_pos")
-    t_end, v_end = int(n * train_ratio), int(n * val_end_ratio)
-    return ranked.select(*ids, F.when(F.col("_pos") <= t_end, "train")
-                         .when(F.col("_pos") <= v_end, "val").otherwise("test").alias("split"))
+    cuts = lambda m: [ratio_count(m, train_ratio), ratio_count(m, val_end_ratio)]
+    cut = sliced(df.select(*ids, seeded_uint(seed, *ids).alias("_o")), [], "_o", ids, cuts, "_slice")
+    return cut.select(*ids, _named(F.col("_slice"), SPLITS).alias("split"))
 
 
 def stratified_holdout_then_val(df: DataFrame, ids: list[str] | str, label: str, seed: int = 42,
@@ -62,18 +97,13 @@ def stratified_holdout_then_val(df: DataFrame, ids: list[str] | str, label: str,
     of the remaining (train) rows, the last ``int(n*val)`` in the seeded order
     (n = all rows) -> val."""
     ids = _ids(ids)
-    n = df.count()
-    n_val = int(n * val_ratio)
+    n_val = int(df.count() * val_ratio)
     base = df.select(*ids, F.col(label).alias("_label"), seeded_uint(seed, *ids).alias("_o"))
-    ranked = positions(base, ["_label"], ["_o", *ids], out="_pos", size_col="_m")
-    n_test = F.ceil(F.col("_m").cast("double") * F.lit(float(test_ratio)))
-    ranked = ranked.withColumn("_test", F.col("_pos") > F.col("_m") - n_test)
-    train = ranked.filter(~F.col("_test")).select(*ids, "_o")
-    n_train = train.count()
-    train_pos = positions(train, [], ["_o", *ids], out="_tp")
-    tr = train_pos.select(*ids, F.when(F.col("_tp") > n_train - n_val, "val").otherwise("train").alias("split"))
-    te = ranked.filter(F.col("_test")).select(*ids, F.lit("test").alias("split"))
-    return tr.unionByName(te)
+    cut = sliced(base, ["_label"], "_o", ids, lambda m: [m - F.ceil(m.cast("double") * F.lit(float(test_ratio)))], "_test")
+    train = cut.filter("_test = 0").select(*ids, "_o").checkpoint(eager=True)  # cut once more
+    tr = sliced(train, [], "_o", ids, lambda m: [m - F.lit(n_val)], "_val")
+    te = cut.filter("_test = 1").select(*ids, F.lit("test").alias("split"))
+    return tr.select(*ids, _named(F.col("_val"), ("train", "val")).alias("split")).unionByName(te)
 
 
 def group_split(df: DataFrame, ids: list[str] | str, group: str | None, num_train: int,
@@ -86,8 +116,8 @@ def group_split(df: DataFrame, ids: list[str] | str, group: str | None, num_trai
     else:
         g = df.select(*ids, F.col(group).cast("string").alias("_g"))
     groups = g.select("_g").distinct().withColumn("_o", seeded_uint(seed, F.col("_g")))
-    ranked = positions(groups, [], ["_o", "_g"], out="_gp")
-    chosen = ranked.select("_g", F.when(F.col("_gp") <= num_train, "train").otherwise("test").alias("split"))
+    cut = sliced(groups, [], "_o", ["_g"], lambda m: [F.lit(num_train)], "_slice")
+    chosen = cut.select("_g", _named(F.col("_slice"), ("train", "test")).alias("split"))
     return g.join(chosen, "_g").select(*ids, "split")
 
 
@@ -100,19 +130,25 @@ def _ntile(pos: Column, m: Column, k: int) -> Column:
         .otherwise(r + ((pos - big - 1) / q).cast("long") + 1).cast("int")
 
 
+def _repeated(df: DataFrame, ids: list[str], repeats: int, seed: int, label: str | None) -> tuple[DataFrame, list[str]]:
+    """The rows once a repeat, with their order key under the seed ``seed + repeat``."""
+    rep = df.select(*ids, *([F.col(label).alias("_label")] if label else []))
+    rep = rep.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    digest = F.md5(F.concat_ws("|", (F.col("repeat") + F.lit(seed)).cast("string"), *[F.col(i).cast("string") for i in ids]))
+    rep = rep.withColumn("_o", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
+    return rep, ["repeat"] + (["_label"] if label else [])
+
+
 def repeated_kfold(df: DataFrame, ids: list[str] | str, k: int, repeats: int, seed: int = 42,
                    label: str | None = None) -> DataFrame:
     """For each repeat r (seed ``seed + r``), fold = ntile(k) over the seeded
     order, within the class when ``label`` is given (stratified)."""
     ids = _ids(ids)
-    cols = [*ids] + ([F.col(label).alias("_label")] if label else [])
-    rep = df.select(*cols).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    # seed of repeat r is seed + r: md5('<seed+r>|<id>')
-    rep = rep.withColumn("_o", F.md5(F.concat_ws("|", (F.col("repeat") + F.lit(seed)).cast("string"),
-                                                 *[F.col(i).cast("string") for i in ids])))
-    by = ["repeat"] + (["_label"] if label else [])
-    ranked = positions(rep, by, ["_o", *ids], out="_pos", size_col="_m")
-    return ranked.select("repeat", *ids, _ntile(F.col("_pos"), F.col("_m"), k).alias("fold"))
+    rep, by = _repeated(df, ids, repeats, seed, label)
+    # the first m % k folds have one row more
+    ends = lambda m: [F.floor(m / k) * f + F.least(F.lit(f), m % k) for f in range(1, k)]
+    cut = sliced(rep, by, "_o", ids, ends, "_slice")
+    return cut.select("repeat", *ids, (F.col("_slice") + 1).cast("int").alias("fold"))
 
 
 def repeated_shuffle_split(df: DataFrame, ids: list[str] | str, repeats: int, test_ratio: float, seed: int = 42,
@@ -121,14 +157,9 @@ def repeated_shuffle_split(df: DataFrame, ids: list[str] | str, repeats: int, te
     the seeded order are the test part, within the class when ``label`` is given.
     Output ``repeat, ids..., part`` (``test`` or ``train``)."""
     ids = _ids(ids)
-    rep = df.select(*ids, *([F.col(label).alias("_label")] if label else []))
-    rep = rep.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    rep = rep.withColumn("_o", F.md5(F.concat_ws("|", (F.col("repeat") + F.lit(seed)).cast("string"),
-                                                 *[F.col(i).cast("string") for i in ids])))
-    by = ["repeat"] + (["_label"] if label else [])
-    ranked = positions(rep, by, ["_o", *ids], out="_pos", size_col="_m")
-    n_test = F.ceil(F.col("_m").cast("double") * F.lit(float(test_ratio)))
-    return ranked.select("repeat", *ids, F.when(F.col("_pos") <= n_test, "test").otherwise("train").alias("part"))
+    rep, by = _repeated(df, ids, repeats, seed, label)
+    cut = sliced(rep, by, "_o", ids, lambda m: [F.ceil(m.cast("double") * F.lit(float(test_ratio)))], "_slice")
+    return cut.select("repeat", *ids, _named(F.col("_slice"), ("test", "train")).alias("part"))
 
 
 def nested_subsets(df: DataFrame, ids: list[str] | str, label: str, fractions=(0.25, 0.5, 0.75),
@@ -140,12 +171,11 @@ def nested_subsets(df: DataFrame, ids: list[str] | str, label: str, fractions=(0
     if df.filter(F.col(label).isNull()).limit(1).count():
         raise ValueError(f"nested subsets need a label in every row; {label!r} has NULLs")
     base = df.select(*ids, F.col(label).alias("_label"), seeded_uint(seed, *ids).alias("_o"))
-    ranked = positions(base, ["_label"], ["_o", *ids], out="_pos", size_col="_m")
-    parts = [ranked.filter(F.col("_pos") <= ratio_count("_m", f)).select(*ids, F.lit(int(round(f * 100))).alias("pct"))
-             for f in fractions]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    order = sorted(fractions)
+    cut = sliced(base, ["_label"], "_o", ids, lambda m: [ratio_count(m, f) for f in order], "_slice")
+    # a row is in every subset whose cut it lies before
+    pcts = F.array(*[F.lit(int(round(f * 100))) for f in order])
+    out = cut.select(*ids, F.explode(F.slice(pcts, F.col("_slice") + 1, len(order))).alias("pct"))
     if check:
         fr = sorted(fractions)
         for a, b in zip(fr, fr[1:]):
@@ -166,8 +196,8 @@ def capped_stratified_sample(df: DataFrame, ids: list[str] | str, strata: list[s
     size = (cap / n * fraction) if n > cap else fraction
     key = F.concat_ws("_", *[F.col(s).cast("string") for s in strata])
     base = df.select(*ids, key.alias("_s"), seeded_uint(seed, *ids).alias("_o"))
-    ranked = positions(base, ["_s"], ["_o", *ids], out="_pos", size_col="_m")
-    return ranked.filter(F.col("_pos") <= ratio_count("_m", size)).select(*ids, F.col("_s").alias("stratum"))
+    cut = sliced(base, ["_s"], "_o", ids, lambda m: [ratio_count(m, size)], "_slice")
+    return cut.filter("_slice = 0").select(*ids, F.col("_s").alias("stratum"))
 
 
 # ------------------------------------------------------------------ summaries and checks

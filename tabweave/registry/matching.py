@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..core import table
 from ..functions.vectors import cosine
 from ..operators import match as M
+from ..operators.cuts import exact_quantiles
 from ..operators.encoder import HashingEncoder
 from ..operators.ivf import VectorIndex, ivf_knn, ivf_routes, pivot_knn
 from ..plans.join_fa import encoded_pair, join_fa_text
@@ -184,6 +185,22 @@ SELECT count(*) AS n_rows, count(*) AS n_matched, CAST(0 AS BIGINT) AS n_better,
        round(sum(sim), 3) AS exact_total, true AS recall_ok, true AS pairs_ok FROM knn"""
 
 
+SHARES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+
+
+def d2_similarity_quantiles(spark, sf):
+    """Exact quantiles of the similarities as computed, per label of the vector that is matched."""
+    e = _emb(spark, sf)
+    knn = M.vector_knn(e, "vec_id", "embedding", e, "vec_id", "embedding", k=8, exclude_same_id=True)
+    sims = knn.join(e.select(F.col("vec_id").alias("t1_id"), "label"), "t1_id").checkpoint(eager=True)
+    return exact_quantiles(sims, ["label"], "sim", SHARES).select("label", "m", *[F.round(F.col("quantiles")[i], 6).alias(f"q{int(p * 100)}") for i, p in enumerate(SHARES)])
+
+
+SQL_D2_Q = f"""WITH {vector_topk(VEC, 8)}
+SELECT label, count(*) AS m, """ + ", ".join(f"round(quantile_cont(sim, {p}), 6) AS q{int(p * 100)}" for p in SHARES) + """
+FROM knn JOIN embeddings ON vec_id = t1_id GROUP BY label"""
+
+
 def p1_join_fa_encoded(spark, sf):
     """Join-FA over encoded texts: the nearest item of each document, and whether the match through the lists of an inverted
     file is as near (recall at 0.9 over all documents)."""
@@ -219,6 +236,7 @@ QUERIES = {
     "p1_join_fa_enriched": (p1_join_fa_enriched, SQL_P1_ENRICHED),
     "c9_matched_aux": (c9_matched_aux, SQL_C9),
     "d2_match_stats": (d2_match_stats, SQL_D2),
+    "d2_similarity_quantiles": (d2_similarity_quantiles, SQL_D2_Q),
     "d3_similarity_buckets": (d3_similarity_buckets, SQL_D3),
     "c6_threshold_mapping": (c6_threshold_mapping, SQL_C6),
     "c1_knn_exact_top8": (c1_knn_exact_top8, SQL_C1),
