@@ -74,31 +74,49 @@ def one_hot_apply(df: DataFrame, col: str, categories: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ J4
-def target_encode(df: DataFrame, col: str, target: str, fold: str, is_train: Column, smoothing: float = 10.0,
+def target_encode(df: DataFrame, col: str, target: str, fold: str, is_train: Column, smoothing: float | str = "auto",
                   out: str | None = None) -> DataFrame:
-    """Smoothed category mean ``(sum_y + m * prior) / (n + m)``.
+    """Category means of the target, drawn towards the mean of all rows.
+
+    ``smoothing="auto"`` derives the weight of a category's own mean from the data (empirical Bayes): with ``n`` rows,
+    variance ``s2`` within it and variance ``t2`` of all rows it is ``n * t2 / (n * t2 + s2)``. A number ``m`` gives ``n / (n + m)``.
 
     Training rows are cross-fitted: a row of fold f is encoded with statistics
-    of the *other* training folds (prior = their mean). Other rows use all
-    training rows. Unseen categories get the prior."""
+    of the *other* training folds. Other rows use all training rows. Unseen categories get the mean of all rows; a null
+    category is one of its own; where the target does not vary the result is its mean."""
     out = out or f"{col}_te"
     tr = df.filter(is_train)
+    y = F.col(target).cast("double")
+    centre = tr.agg(F.avg(y)).first()[0] or 0.0  # sums about the mean lose no digits
+    d = y - F.lit(centre)
+
+    def sums(*by: str, mark: str) -> DataFrame:
+        return tr.groupBy(*[q(c).alias(f"_{mark}{i}") for i, c in enumerate(by)]).agg(
+            F.count(d).alias(f"_{mark}n"), F.sum(d).alias(f"_{mark}s"), F.sum(d * d).alias(f"_{mark}q"))
+
     # (Spark names are case-insensitive: keep every helper name distinct)
-    per_fold = tr.groupBy(fold, col).agg(F.sum(target).alias("_ks"), F.count(F.lit(1)).alias("_kn"))
-    per_cat = tr.groupBy(col).agg(F.sum(target).alias("_S"), F.count(F.lit(1)).alias("_N"))
-    fold_tot = tr.groupBy(fold).agg(F.sum(target).alias("_fs"), F.count(F.lit(1)).alias("_fn"))
-    g = tr.agg(F.sum(target).alias("_gs"), F.count(F.lit(1)).alias("_gn")).first()
-    gs, gn = float(g["_gs"] or 0.0), int(g["_gn"])
-    m = F.lit(float(smoothing))
-    # training rows: leave their own fold out
-    t = (df.filter(is_train).join(per_cat, col, "left").join(per_fold, [fold, col], "left").join(fold_tot, fold, "left")
-         .na.fill(0, ["_S", "_N", "_ks", "_kn"]))
-    prior_t = (F.lit(gs) - F.col("_fs")) / (F.lit(gn) - F.col("_fn"))
-    enc_t = (F.col("_S") - F.col("_ks") + m * prior_t) / (F.col("_N") - F.col("_kn") + m)
-    t = t.withColumn(out, enc_t).drop("_S", "_N", "_ks", "_kn", "_fs", "_fn")
-    prior = gs / gn if gn else 0.0
-    o = df.filter(~is_train).join(per_cat, col, "left").na.fill(0, ["_S", "_N"])
-    o = o.withColumn(out, (F.col("_S") + m * F.lit(prior)) / (F.col("_N") + m)).drop("_S", "_N")
+    cat, part, whole = sums(col, mark="c"), sums(fold, col, mark="k"), sums(fold, mark="f")
+    total = tr.agg(F.count(d).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q")).first()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+
+    def encoded(n: Column, s: Column, sq: Column, gn: Column, gs: Column, gq: Column) -> Column:
+        prior = F.try_divide(gs, gn)
+        mean = F.try_divide(s, n)
+        if smoothing == "auto":
+            t2 = F.greatest(F.try_divide(gq, gn) - prior * prior, F.lit(0.0))
+            s2 = F.greatest(F.try_divide(sq, n) - mean * mean, F.lit(0.0))
+            weight = F.coalesce(F.try_divide(n * t2, n * t2 + s2), F.lit(0.0))
+        else:
+            weight = n / (n + F.lit(float(smoothing)))
+        return F.lit(centre) + F.coalesce(weight * mean + (1 - weight) * prior, prior, F.lit(0.0))
+
+    t = (tr.join(cat, q(col).eqNullSafe(F.col("_c0")), "left")
+         .join(part, q(fold).eqNullSafe(F.col("_k0")) & q(col).eqNullSafe(F.col("_k1")), "left")
+         .join(whole, q(fold).eqNullSafe(F.col("_f0")), "left"))
+    t = t.withColumn(out, encoded(*[zero(f"_c{v}") - zero(f"_k{v}") for v in "nsq"],
+                                  *[F.lit(total[v] or 0) - zero(f"_f{v}") for v in "nsq"])).select(*df.columns, out)
+    o = df.filter(~F.coalesce(is_train, F.lit(False))).join(cat, q(col).eqNullSafe(F.col("_c0")), "left")
+    o = o.withColumn(out, encoded(*[zero(f"_c{v}") for v in "nsq"], *[F.lit(total[v] or 0) for v in "nsq"])).select(*df.columns, out)
     return t.unionByName(o)
 
 
@@ -151,49 +169,118 @@ def standard_apply(df: DataFrame, params: dict) -> DataFrame:
 
 
 # ------------------------------------------------------------------ J8 Yeo-Johnson
-def _yj(x: Column, lam: float) -> Column:
-    pos = x >= 0
-    if abs(lam) < 1e-12:
-        a = F.log1p(x)
-    else:
-        a = (F.pow(x + 1, F.lit(lam)) - 1) / lam
-    if abs(lam - 2) < 1e-12:
-        b = -F.log1p(-x)
-    else:
-        b = -(F.pow(1 - x, F.lit(2 - lam)) - 1) / (2 - lam)
-    return F.when(pos, a).otherwise(b)
-
-
-def power_fit(train: DataFrame, col: str, grid=None) -> float:
-    """Lambda maximising the Yeo-Johnson log-likelihood, searched on a grid
-    in ONE aggregate pass (all candidates evaluated together), then refined
-    once on a finer grid around the best."""
-    def best(lams):
+def _power_parts(x: Column, lam: float) -> tuple[Column, Column]:
+    """Yeo-Johnson of ``x`` and its derivative by ``lam``, both stable where the power tends to 0."""
+    up = x >= 0
+    log = F.log1p(F.abs(x))
+    t = F.when(up, F.lit(float(lam))).otherwise(F.lit(2.0 - float(lam)))
+    z = t * log
+    size = F.when(t == 0, log).otherwise(F.expm1(z) / t)
+    # d/dt of (exp(t * log) - 1) / t, by its series where the terms would cancel
+    slope = F.when(F.abs(z) < 1e-3, log * log * (F.lit(0.5) + z / 3 + z * z / 8)).otherwise((F.exp(z) * (z - 1) + 1) / (t * t))
+    return F.when(up, size).otherwise(-size), slope
+
+
+def power_fit(train: DataFrame, cols: list[str], width: float = 1e-9, most_passes: int = 60) -> dict[str, float]:
+    """Per column the lambda that maximises the Yeo-Johnson likelihood, without a bound on it.
+
+    The likelihood's slope falls from positive to negative at its maximum. All columns share each pass (one aggregate): it evaluates the
+    slope at a few lambdas a column, first until they enclose the zero, then at the secant's zero and close beside
+    it. Null and NaN are left out; a constant (or empty) column gets 1, which changes nothing;
+    where doubles overflow before the slope turns, the last power with finite numbers is taken."""
+    value = {c: F.when(~F.isnan(q(c).cast("double")), q(c).cast("double")) for c in cols}
+
+    def slopes(at: dict[str, list[float]]) -> dict[str, list[float | None]]:
         aggs = []
-        for i, lam in enumerate(lams):
-            y = _yj(q(col), lam)
-            aggs += [F.var_pop(y).alias(f"v{i}")]
-        aggs.append(F.sum(F.signum(q(col)) * F.log1p(F.abs(q(col)))).alias("sl"))
-        aggs.append(F.count(q(col)).alias("n"))
+        for i, c in enumerate(at):
+            x = value[c]
+            aggs += [F.count(x).alias(f"n{i}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"l{i}")]
+            for j, lam in enumerate(at[c]):
+                y, dy = _power_parts(x, lam)
+                aggs += [F.var_pop(y).alias(f"v{i}_{j}"), F.covar_pop(y, dy).alias(f"w{i}_{j}")]
         row = train.agg(*aggs).first()
-        n, sl = row["n"], row["sl"] or 0.0
-        ll = []
-        for i, lam in enumerate(lams):
-            v = row[f"v{i}"]
-            ll.append(-n / 2 * math.log(v) + (lam - 1) * sl if v and v > 0 else -math.inf)
-        k = max(range(len(lams)), key=lambda i: ll[i])
-        return lams[k]
-    grid = grid or [x / 4 for x in range(-8, 17)]
-    lam = best(grid)
-    step = grid[1] - grid[0]
-    return best([lam + step * (i / 10) for i in range(-10, 11)])
-
-
-def power_apply(df: DataFrame, col: str, lam: float, train: DataFrame | None = None) -> DataFrame:
-    """Yeo-Johnson with ``lam`` then standardise (statistics of ``train`` or ``df``)."""
-    t = df.withColumn(col, _yj(q(col), lam))
-    src = (train.withColumn(col, _yj(q(col), lam)) if train is not None else t)
-    return standard_apply(t, standard_fit(src, [col]))
+        out = {}
+        for i, c in enumerate(at):
+            each = []
+            for j in range(len(at[c])):
+                v, w = row[f"v{i}_{j}"], row[f"w{i}_{j}"]
+                ok = v is not None and v > 0 and math.isfinite(v) and math.isfinite(w)
+                each.append((row[f"l{i}"] or 0.0) - row[f"n{i}"] * w / v if ok else None)
+            out[c] = each
+        return out
+
+    done: dict[str, float] = {}
+    box: dict[str, list] = {}  # column -> [low, its slope, high, its slope]
+    walls: dict[str, float] = {}  # column -> the nearest power whose numbers overflow
+    grid = {c: [-2.0, 0.0, 1.0, 2.0, 4.0] for c in cols}
+    for _ in range(most_passes):
+        if not grid:
+            break
+        got = slopes(grid)
+        for c in list(grid):
+            seen = sorted((lam, g) for lam, g in zip(grid[c], got[c]) if g is not None)
+            seen += [(box[c][0], box[c][1]), (box[c][2], box[c][3])] if c in box else []
+            seen = sorted(p for p in seen if p[1] is not None)
+            if not seen or (len(seen) < 2 and c not in box):
+                done[c] = 1.0
+                del grid[c]
+                continue
+            up, down = [p for p in seen if p[1] > 0], [p for p in seen if p[1] <= 0]
+            if not up or not down:  # outwards, twice as far each time, but not to where numbers end
+                edge = seen[0] if not up else seen[-1]
+                beyond = [lam for lam, g in zip(grid[c], got[c]) if g is None and (lam < edge[0] if not up else lam > edge[0])]
+                if beyond:
+                    walls[c] = max(beyond) if not up else min(beyond)
+                wall = walls.get(c)
+                box[c] = [*edge, *edge]
+                far = abs(wall - edge[0]) if wall is not None else 1 + abs(edge[0])
+                if far <= 1e-6 * max(1.0, abs(edge[0])) or far > 1e9:
+                    done[c] = edge[0]
+                    del grid[c]
+                    continue
+                shares = (0.25, 0.5, 0.75) if wall is not None else (0.5, 1.0, 2.0)
+                grid[c] = [edge[0] + (far if not down else -far) * f for f in shares]
+                continue
+            low, high = max(up), min(down)
+            box[c] = [*low, *high]
+            if high[1] == 0 or high[0] - low[0] <= width * max(1.0, abs(low[0])):
+                done[c] = high[0] if high[1] == 0 else (low[0] + high[0]) / 2
+                del grid[c]
+                continue
+            span = high[0] - low[0]
+            root = low[0] + span * low[1] / (low[1] - high[1])
+            near = span * 0.02
+            points = {min(max(p, low[0] + span * 1e-3), high[0] - span * 1e-3) for p in (root - near, root, root + near, (low[0] + high[0]) / 2)}
+            grid[c] = sorted(points)
+    for c in grid:
+        done[c] = (box[c][0] + box[c][2]) / 2
+    return {c: done[c] for c in cols}
+
+
+class StandardTransformer:
+    """J7 as a transformer that is fitted once: zero mean, unit (population) variance."""
+
+    def fit(self, df: DataFrame, cols: list[str]) -> "StandardTransformer":
+        self.params = standard_fit(df, cols) if cols else {}
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return standard_apply(df, self.params)
+
+
+class PowerTransformer:
+    """J8 as a transformer that is fitted once: Yeo-Johnson by maximum likelihood, then J7. Null and NaN stay as they are."""
+
+    def fit(self, df: DataFrame, cols: list[str]) -> "PowerTransformer":
+        self.lambdas = power_fit(df, cols) if cols else {}
+        self.scale = StandardTransformer().fit(self._powered(df), cols)
+        return self
+
+    def _powered(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: _power_parts(q(c).cast("double"), lam)[0] for c, lam in self.lambdas.items()})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.scale.transform(self._powered(df))
 
 
 # ------------------------------------------------------------------ J9 / J10

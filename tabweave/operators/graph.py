@@ -23,11 +23,11 @@ def vocabulary(df: DataFrame, text_cols: list[str], num_cols: list[str]) -> Data
     """M3: column names and lower-cased distinct text values, indexed 0.. in sort order."""
     spark = df.sparkSession
     names = spark.createDataFrame([(c,) for c in text_cols + num_cols], "term string")
-    vals = None
-    for c in text_cols:
-        v = df.select(F.lower(F.col(c).cast("string")).alias("term")).filter(F.col("term").isNotNull())
-        vals = v if vals is None else vals.unionByName(v)
-    terms = names.unionByName(vals).distinct() if vals is not None else names
+    terms = names
+    if text_cols:  # one read for all columns
+        cells = F.array(*[F.lower(F.col(f"`{c}`").cast("string")) for c in text_cols])
+        terms = names.unionByName(df.select(F.explode(cells).alias("term")).filter("term is not null"))
+    terms = terms.distinct()
     return positions(terms, [], ["term"], out="_p").select("term", (F.col("_p") - 1).alias("idx"))
 
 
@@ -40,43 +40,45 @@ def _rounded(v, digits: int):
 
 
 def star_edges(df: DataFrame, row_id: str, text_cols: list[str], num_cols: list[str], encoder=None,
-               digits: int = 6) -> DataFrame:
+               digits: int = 6, num_transformer=None, fit_on: DataFrame | None = None) -> DataFrame:
     """M1: leaves of every row's star graph, and one self-loop per leaf (edge of
     ones); the centre has none.
 
     Vectors of the column names are literals (a few columns); vectors of text
-    values are encoded once per distinct value and joined on the value."""
+    values are encoded once per distinct value and joined on the value. The table is read once: each row is
+    unpivoted into its leaves.
+
+    ``num_transformer`` (K3) takes an object with ``fit(df, cols)`` and ``transform(df)``, such as ``features.PowerTransformer``;
+    it is fitted on ``fit_on`` (the training rows) or on ``df``, and numbers enter the graph as it leaves them."""
     encoder = encoder or HashingEncoder(8)
     spark = df.sparkSession
+    if num_transformer is not None and num_cols:
+        df = num_transformer.fit(df if fit_on is None else fit_on, num_cols).transform(df)
     names = spark.createDataFrame([(c,) for c in [*text_cols, *num_cols]], "term string")
     of_name = {r["term"]: r["v"] for r in encode(names, "term", encoder, "v").select("term", "v").collect()}
     name_vector = {c: F.array(*[F.lit(float(x)) for x in v]) for c, v in of_name.items()}
 
-    def leaf(c: str, kind: str, term, x):
-        return df.select(F.col(row_id).alias("row_id"), F.lit(c).alias("column"), F.lit(kind).alias("kind"),
-                         name_vector[c].alias("edge"), term.alias("term"), x.alias("x"))
-
-    none = F.lit(None).cast("array<double>")
-    texts = [leaf(c, "text", F.lower(F.col(f"`{c}`").cast("string")), none).filter("term is not null") for c in text_cols]
-    parts = []
-    for c in num_cols:
-        value = F.col(f"`{c}`").cast("double")
-        x = F.array(*[F.lit(float(v)) * value for v in of_name[c]])
-        parts.append(leaf(c, "num", F.lit(None).cast("string"), F.when(value.isNotNull(), x)).filter("x is not null"))
-    if texts:
-        text = texts[0]
-        for t in texts[1:]:
-            text = text.unionByName(t)
-        values = encode(text.select("term").distinct(), "term", encoder, "xv").select("term", "xv")
-        parts.append(text.drop("x").join(values, "term").withColumnRenamed("xv", "x"))
-    leaves = parts[0].drop("term")
-    for p in parts[1:]:
-        leaves = leaves.unionByName(p.drop("term"))
+    def leaf(c: str, kind: str):
+        text, value = F.lower(F.col(f"`{c}`").cast("string")), F.col(f"`{c}`").cast("double")
+        none = F.lit(None)
+        return F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), name_vector[c].alias("edge"),
+                        (text if kind == "text" else none).cast("string").alias("term"), (value if kind == "num" else none).cast("double").alias("value"))
+
+    wanted = [(c, "text") for c in text_cols] + [(c, "num") for c in num_cols]
+    leaves = (df.select(F.col(row_id).alias("row_id"), F.explode(F.array(*[leaf(c, k) for c, k in wanted])).alias("l"))
+              .select("row_id", "l.*").filter("term is not null or value is not null"))
+    x = F.transform("edge", lambda e: e * F.col("value"))
+    if text_cols:
+        values = encode(leaves.select("term").filter("term is not null").distinct(), "term", encoder, "xv").select("term", "xv")
+        leaves = leaves.join(values, "term", "left")
+        x = F.when(F.col("value").isNotNull(), x).otherwise(F.col("xv"))
+    leaves = leaves.withColumn("x", x)
     leaves = leaves.select("row_id", "column", "kind", _rounded(F.col("edge"), digits).alias("edge"),
                            _rounded(F.col("x"), digits).alias("x"))
     ones = F.array_repeat(F.lit(1.0), encoder.dim)
-    return leaves.unionByName(leaves.select("row_id", "column", F.lit("self").alias("kind"), ones.alias("edge"),
-                                            none.alias("x")))
+    loop = F.struct(F.lit("self").alias("kind"), ones.alias("edge"), F.lit(None).cast("array<double>").alias("x"))
+    both = F.explode(F.array(F.struct("kind", "edge", "x"), loop)).alias("l")
+    return leaves.select("row_id", "column", both).select("row_id", "column", "l.*")
 
 
 def centre_vectors(edges: DataFrame, digits: int = 6) -> DataFrame:
@@ -119,7 +121,11 @@ def corrupted_view(df: DataFrame, row_id: str, cols: list[str], seed: int = 42)
     across rows: the row at id-rank r takes the block of the row at seeded rank r."""
     n_c = int(len(cols) * 0.5)
     block, rest = cols[:n_c], cols[n_c:]
-    by_id = positions(df.select(row_id, *rest), [], [row_id], out="_r")
-    keyed = df.select(row_id, *block).withColumn("_o", seeded_hash(seed, row_id))
-    by_perm = positions(keyed, [], ["_o", row_id], out="_r").drop("_o", row_id)
-    return by_id.join(by_perm, "_r").drop("_r").select(row_id, *rest, *block)
+    # ids alone are ranked; the rows join their places
+    ids = df.select(row_id)
+    by_id = positions(ids, [], [row_id], out="_r")
+    keyed = ids.withColumn("_o", seeded_hash(seed, row_id))
+    by_perm = positions(keyed, [], ["_o", row_id], out="_r").select(F.col(row_id).alias("_from"), "_r")
+    give = df.select(F.col(row_id).alias("_from"), *block)
+    return (df.select(row_id, *rest).join(by_id, row_id).join(by_perm, "_r").join(give, "_from")
+            .select(row_id, *rest, *block))

@@ -62,18 +62,22 @@ SQL_J3 = "SELECT c_custkey, " + ", ".join(
     for s in ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]) + " FROM customer"
 
 
-def j4_target_encode(spark, sf):
+def j4_target_encode(spark, sf, smoothing="auto"):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority",
                                           (F.col("o_orderstatus") == "F").cast("int").alias("y"))
     split = X.stratified_split(o, "o_orderkey", "o_orderpriority", seed=42)
     o = o.join(split, "o_orderkey")
     folds = X.repeated_kfold(o.filter("split = 'train'"), "o_orderkey", k=5, repeats=1, seed=7).drop("repeat")
     o = o.join(folds, "o_orderkey", "left").fillna(-1, ["fold"])
-    te = J.target_encode(o, "o_orderpriority", "y", "fold", F.col("split") == "train", smoothing=10.0)
+    te = J.target_encode(o, "o_orderpriority", "y", "fold", F.col("split") == "train", smoothing)
     return _r6(te.select("o_orderkey", "split", "o_orderpriority_te"))
 
 
-SQL_J4 = f"""WITH o AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
+def j4_target_encode_fixed(spark, sf):
+    return j4_target_encode(spark, sf, smoothing=10.0)
+
+
+SQL_J4_ROWS = f"""WITH o AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders),
 s AS (SELECT o_orderkey, CASE WHEN pos <= {ratio('m', 0.7)} THEN 'train' WHEN pos <= {ratio('m', 0.7)} + {ratio('m', 0.1)} THEN 'val' ELSE 'test' END AS split
       FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {seeded_md5(42, 'o_orderkey')}, o_orderkey) AS pos,
                    count(*) OVER (PARTITION BY o_orderpriority) AS m FROM orders)),
@@ -81,7 +85,8 @@ os AS (SELECT o.*, s.split FROM o JOIN s USING (o_orderkey)),
 f AS (SELECT o_orderkey, ntile(5) OVER (ORDER BY md5(concat_ws('|', '8', CAST(o_orderkey AS VARCHAR))), o_orderkey) AS fold
       FROM os WHERE split = 'train'),
 t AS (SELECT os.*, f.fold FROM os JOIN f USING (o_orderkey)),
-g AS (SELECT sum(y)::DOUBLE AS gs, count(*) AS gn FROM t),
+"""
+SQL_J4_FIXED = SQL_J4_ROWS + """g AS (SELECT sum(y)::DOUBLE AS gs, count(*) AS gn FROM t),
 pc AS (SELECT o_orderpriority, sum(y) AS S, count(*) AS N FROM t GROUP BY 1),
 pf AS (SELECT fold, o_orderpriority, sum(y) AS s, count(*) AS n FROM t GROUP BY 1, 2),
 ft AS (SELECT fold, sum(y) AS fs, count(*) AS fn FROM t GROUP BY 1)
@@ -90,6 +95,15 @@ FROM t JOIN pc USING (o_orderpriority) LEFT JOIN pf USING (fold, o_orderpriority
 UNION ALL
 SELECT os.o_orderkey, os.split, round((coalesce(pc.S, 0) + 10.0 * (g.gs / g.gn)) / (coalesce(pc.N, 0) + 10.0), 6)
 FROM os LEFT JOIN pc USING (o_orderpriority) CROSS JOIN g WHERE os.split <> 'train'"""
+# variance of the target within a category against that of all rows, over the rows that the encoded row may learn from
+SQL_J4 = SQL_J4_ROWS + """src AS (SELECT o_orderkey, split, o_orderpriority, fold FROM t UNION ALL SELECT o_orderkey, split, o_orderpriority, -1 FROM os WHERE split <> 'train'),
+folds AS (SELECT DISTINCT fold FROM src),
+seen AS (SELECT folds.fold, t.o_orderpriority, t.y FROM folds JOIN t ON t.fold <> folds.fold),
+every AS (SELECT fold, avg(y) AS mean, var_pop(y) AS var FROM seen GROUP BY fold),
+cat AS (SELECT fold, o_orderpriority, count(*) AS n, avg(y) AS mean, var_pop(y) AS var FROM seen GROUP BY fold, o_orderpriority),
+w AS (SELECT cat.*, every.mean AS prior, CASE WHEN every.var = 0 THEN 0 ELSE n * every.var / (n * every.var + cat.var) END AS lam FROM cat JOIN every USING (fold))
+SELECT o_orderkey, split, round(coalesce(lam * w.mean + (1 - lam) * w.prior, every.mean), 6) AS o_orderpriority_te
+FROM src JOIN every USING (fold) LEFT JOIN w USING (fold, o_orderpriority)"""
 
 
 # ------------------------------------------------------------------ J5 - J7
@@ -130,28 +144,29 @@ SQL_J7 = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 
 def j8_power_transform(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lam = J.power_fit(li, "l_extendedprice")
-    out = J.power_apply(li, "l_extendedprice", lam)
-    return out.withColumn("l_extendedprice", F.round("l_extendedprice", 6)).withColumn("lambda", F.lit(float(lam)))
+    fitted = J.PowerTransformer().fit(li, ["l_extendedprice"])
+    out = fitted.transform(li)
+    return out.withColumn("l_extendedprice", F.round("l_extendedprice", 4)).withColumn(
+        "lambda", F.round(F.lit(float(fitted.lambdas["l_extendedprice"])), 6))
 
 
-def _yj_sql(x: str, lam: str) -> str:
-    return (f"CASE WHEN {x} >= 0 THEN (CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (pow({x} + 1, {lam}) - 1) / {lam} END) "
-            f"ELSE (CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END) END")
+def _slope_sql(lam: str) -> str:
+    """The slope of the log-likelihood (per row) for values that are not negative."""
+    return (f"sum(ln(1 + x)) / count(*) - covar_pop((pow(1 + x, {lam}) - 1) / {lam}, "
+            f"(pow(1 + x, {lam}) * ({lam} * ln(1 + x) - 1) + 1) / ({lam} * {lam})) / var_pop((pow(1 + x, {lam}) - 1) / {lam})")
 
 
-_GRID1 = ", ".join(f"({i}, {repr(x / 4)}::DOUBLE)" for i, x in enumerate(range(-8, 17)))
-SQL_J8 = f"""WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS x FROM lineitem),
-sl AS (SELECT sum(sign(x) * ln(1 + abs(x))) AS sl, count(x) AS n FROM li),
-g1 AS (SELECT * FROM (VALUES {_GRID1}) t(idx, lam)),
-ll1 AS (SELECT g1.idx, g1.lam, var_pop({_yj_sql('li.x', 'g1.lam')}) AS v FROM g1 CROSS JOIN li GROUP BY g1.idx, g1.lam),
-b1 AS (SELECT lam FROM ll1, sl ORDER BY -sl.n / 2 * ln(v) + (lam - 1) * sl.sl DESC, idx LIMIT 1),
-g2 AS (SELECT i + 10 AS idx, (SELECT lam FROM b1) + 0.25 * (i / 10.0) AS lam FROM range(-10, 11) t(i)),
-ll2 AS (SELECT g2.idx, g2.lam, var_pop({_yj_sql('li.x', 'g2.lam')}) AS v FROM g2 CROSS JOIN li GROUP BY g2.idx, g2.lam),
-b2 AS (SELECT lam FROM ll2, sl ORDER BY -sl.n / 2 * ln(v) + (lam - 1) * sl.sl DESC, idx LIMIT 1),
-y AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_yj_sql('x', '(SELECT lam FROM b2)')} AS y FROM li)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 6) AS l_extendedprice, (SELECT lam FROM b2) AS lambda FROM y"""
+# bisection of the slope between powers that enclose its zero
+_HALVES = ",\n".join(f"b{i + 1} AS MATERIALIZED (SELECT CASE WHEN g > 0 THEN mid ELSE lo END AS lo, CASE WHEN g > 0 THEN hi ELSE mid END AS hi "
+                     f"FROM (SELECT lo, hi, mid, {_slope_sql('mid')} AS g FROM li CROSS JOIN (SELECT lo, hi, (lo + hi) / 2 AS mid FROM b{i}) GROUP BY lo, hi, mid))"
+                     for i in range(40))
+SQL_J8 = f"""WITH li AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS x FROM lineitem),
+b0 AS (SELECT 0.01::DOUBLE AS lo, 5.0::DOUBLE AS hi),
+{_HALVES},
+lam AS MATERIALIZED (SELECT (lo + hi) / 2 AS lam FROM b40),
+y AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (pow(1 + x, lam) - 1) / lam AS y, lam FROM li CROSS JOIN lam)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 4) AS l_extendedprice,
+  round(lam, 6) AS lambda FROM y"""
 
 
 def j9_pca(spark, sf):
@@ -293,6 +308,7 @@ QUERIES = {
     "j2_ordinal_encode": (j2_ordinal_encode, SQL_J2),
     "j3_one_hot": (j3_one_hot, SQL_J3),
     "j4_target_encode": (j4_target_encode, SQL_J4),
+    "j4_target_encode_fixed": (j4_target_encode_fixed, SQL_J4_FIXED),
     "j5_imputers": (j5_imputers, SQL_J5),
     "j6_minmax_scale": (j6_minmax_scale, SQL_J6),
     "j7_standard_scale": (j7_standard_scale, SQL_J7),

@@ -143,8 +143,8 @@ SELECT s.entity, {", ".join(f"v.vec[{i + 1}] AS X{i}" for i in range(8))} FROM s
 
 def k3_graph_numeric_transform(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
-    c = J.standard_apply(c, J.standard_fit(c, ["c_acctbal", "c_nationkey"]))
-    return G.star_edges(c, "c_custkey", ["c_name", "c_mktsegment"], ["c_acctbal", "c_nationkey"], HashingEncoder(8))
+    return G.star_edges(c, "c_custkey", ["c_name", "c_mktsegment"], ["c_acctbal", "c_nationkey"], HashingEncoder(8),
+                        num_transformer=J.StandardTransformer())
 
 
 K3_EDGES = EDGES_SQL.replace(
