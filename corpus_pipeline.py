@@ -4,7 +4,8 @@
 the columns of ``documents`` (the last one adds its weights). ``run`` writes each
 stage's result as Parquet to the folder of ``spark.checkpoint.dir`` and reads it again
 as the next one's input. The first stage learns from labels, which SQL cannot express,
-so ``ORACLE_SQL`` is None; tests hold ``run`` against brute-force versions.
+so ``ORACLE_SQL`` is None; ``tests/llm/test_pipeline.py`` holds ``run`` and every stage
+against plain versions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabweave.core import table
 from tabweave.llm import decontam, exact_dedup, mixing, simhash, toxicity
+from tabweave.llm.common import free_name
 from tabweave.session import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,7 +26,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model scores below the threshold stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="toxic_score").filter(F.col("toxic_score") < toxicity.THRESHOLD).select(*COLUMNS)
+    score = free_name("toxic_score", docs)
+    return toxicity.score(docs, model, out=score).filter(F.col(score) < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

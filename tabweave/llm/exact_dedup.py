@@ -70,15 +70,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    sha, key, nth = free_name("_sha", docs), free_name("_key", docs), free_name("_nth", docs)
+    sha, key = free_name("_sha", docs), free_name("_key", docs)
     name = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("null"))  # noqa: E731  never null
     kept = (exact_groups(docs, id_col, text_col, salts).filter("kept")
             .select(name(F.col(id_col)).alias(key), F.col("text_sha256").alias(sha)))
     tagged = docs.withColumns({key: name(F.col(f"`{id_col}`")), sha: sha256_hex(_normalised(text_col))})
-    # plain keys: the window over repeated rows has the partitioning of the join, so texts move once
-    first = F.row_number().over(Window.partitionBy(key, sha).orderBy(F.lit(1)))
-    return (tagged.join(kept, [key, sha], "left_semi").withColumn(nth, first).filter(F.col(nth) == 1)
-            .select([F.col(f"`{c}`") for c in docs.columns]))
+    # rows that repeat an id and a text are combined before they are shuffled; the join keeps that partitioning, so texts move once
+    once = tagged.dropDuplicates([key, sha])
+    return once.join(kept, [key, sha], "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""

@@ -58,7 +58,7 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_weights(table(spark, sf, "documents")).withColumns(
-        {c: F.round(c, 6) for c in ("weight", "probability")})
+        {c: F.round(c, 6) for c in ("weight", "margin_gap", "probability")})
 
 
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,8 @@ at zero until its evidence outweighs it. What is broadcast are the slots that
 are not zero: at most ``2 ** BITS``, in practice a few thousand.
 
 The model is fitted on at most ``per_class`` labelled rows of either label,
-those with the least hashes of their id: a documented bound, within one task. The
+those with the least hashes of their id: a documented bound. Their texts become slots in a map
+over all tasks; only the slots (at most ``2 ** BITS`` numbers a text, whatever its length) reach the one task that trains. The
 intercept is corrected for the share of labels in all training rows. Scoring is
 one map over all rows and whole texts.
 
@@ -39,7 +40,7 @@ from .decontam import words_of
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
 SKIPS = (1, 2, 3)  # distance between the words of a pair; 1 is the plain bigram
-PER_CLASS = 4_000
+PER_CLASS = 6_000
 PIECE = 1 << 19  # bytes of text whose features are made at once
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
@@ -152,20 +153,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = known.filter("label = 0").orderBy(order, "id").limit(per_class).union(
         known.filter("label = 1").orderBy(order, "id").limit(per_class))
     sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-              .join(F.broadcast(picked), "id")  # at most 2 * per_class ids
-              .groupBy("id").agg(F.max("label").alias("label"), F.max("text").alias("text"))
-              .withColumn("nth", order).repartition(1).sortWithinPartitions("nth", "id").drop("nth", "id"))
+              .join(F.broadcast(picked), "id"))  # at most 2 * per_class ids
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, parts, model = Hasher(bits), [], Ftrl(1 << bits)
+    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(bits)
         for batch in batches:
-            labels, texts = batch.column("label").to_pylist(), utf8(batch.column("text"))
+            texts = utf8(batch.column("text"))
             for a, b in pieces(texts):
                 # the slots of some texts as one array, each text with the intercept at its end
                 owner, slots = hasher.features(texts[a:b])
                 key = np.unique(np.concatenate([(owner << (bits + 1)) | slots, (np.arange(b - a) << (bits + 1)) | (1 << bits)]))
                 ends = np.cumsum(np.bincount(key >> (bits + 1), minlength=b - a))
-                parts.append((labels[a:b], (key & ((1 << (bits + 1)) - 1)).astype(np.int32), ends))
+                flat = pa.array((key & ((1 << (bits + 1)) - 1)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("label").slice(a, b - a), lists],
+                                                 names=["id", "label", "slots"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    slotted = (sample.mapInArrow(slots_of, f"id {kind}, label int, slots array<int>")
+               .groupBy("id").agg(F.max("label").alias("label"), F.max("slots").alias("slots"))  # a repeated row once
+               .withColumn("nth", order).repartition(1).sortWithinPartitions("nth", "id").drop("nth", "id"))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, model = [], Ftrl(1 << bits)
+        for batch in batches:
+            lists = batch.column("slots")
+            ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+            parts.append((batch.column("label").to_pylist(), lists.flatten().to_numpy().copy(), ends.copy()))
         for _ in range(epochs):
             for marks, flat, ends in parts:
                 for label, at in zip(marks, np.split(flat, ends[:-1])):
@@ -176,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         on = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(w[on], pa.float64())], names=["slot", "w"])
 
-    got = sample.mapInArrow(train, "slot bigint, w double").toPandas()  # at most 2 ** bits + 1 rows
+    got = slotted.mapInArrow(train, "slot bigint, w double").toPandas()  # at most 2 ** bits + 1 rows
     slots, w = got["slot"].to_numpy(), got["w"].to_numpy()
     bias = slots == 1 << bits
     s0, s1 = min(n0, per_class), min(n1, per_class)

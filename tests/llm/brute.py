@@ -1,7 +1,9 @@
 """Plain versions of the operators, written from their contracts."""
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -199,3 +201,34 @@ def collocations(rows, most=5, least=100, top=2000):
         found.sort(key=lambda x: (-x[5], -x[1], x[0].encode()))
         out += [(lang, rank, *x) for rank, x in enumerate(found[:top], 1)]
     return out
+
+
+def ftrl_scores(rows, labels, held_out, bits=20, epochs=6, l1=5.0):
+    """{row number: score}: FTRL-proximal (alpha and beta 1) over dictionaries. ``labels``: {id: 0 or 1}."""
+    mask = (1 << 64) - 1
+    pair = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F, 3: 0x165667B19E3779F9}
+
+    def slots(text):
+        words = [w.encode() for w in WORD.findall((text or "").translate(LOWER))]
+        own = [xxhash.xxh64_intdigest(w, 1) for w in words]
+        out = own + [xxhash.xxh64_intdigest(w[:p], 2 + p) for w in words for p in range(3, 9)]
+        out += [(own[i] * 3 + own[i + d]) * pair[d] & mask for d in pair for i in range(len(own) - d)]
+        return {h >> (64 - bits) for h in out} | {1 << bits}
+
+    texts = {doc: max(t or "" for d, t in rows if d == doc) for doc, _ in rows if doc in labels and not held_out(doc)}
+    order = sorted(texts, key=lambda doc: (int.from_bytes(xxhash.xxh64_digest(struct.pack("<q", doc), 42), "big", signed=True), doc))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        limit = 0.0 if k == 1 << bits else l1
+        return 0.0 if abs(z[k]) <= limit else -(z[k] - math.copysign(limit, z[k])) / (1 + math.sqrt(n[k]))
+
+    features = {doc: slots(texts[doc]) for doc in order}
+    for _ in range(epochs):
+        for doc in order:
+            w = {k: weight(k) for k in features[doc]}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - labels[doc]
+            for k in w:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) * w[k]
+                n[k] += g * g
+    return {i: 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(weight(k) for k in slots(t)))))) for i, (_, t) in enumerate(rows)}

@@ -417,8 +417,27 @@ def test_mixing_meets_its_targets(spark):
     for dim, share in targets.items():
         sums = {r[0]: r[1] / total for r in got.groupBy(dim).agg(F.sum(F.col("n_tokens") * F.col("weight"))).collect()}
         for r in share.collect():
-            assert math.isclose(sums[r[0]], r[1], rel_tol=1e-3)
-    assert got.agg(F.max("probability")).first()[0] == 1.0
+            assert math.isclose(sums[r[0]], r[1], rel_tol=1e-9)
+    assert got.agg(F.max("margin_gap")).first()[0] < 1e-9
+    assert mixing.mix_weights(docs, targets=targets, rate=None).agg(F.max("probability")).first()[0] == 1.0
+
+
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_mixing_reports_targets_that_cannot_be_met(spark, monkeypatch, one_task):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens bigint")
+    targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double"),
+               "lang": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "lang string, share double")}
+    got = {r["source"]: r for r in mixing.rake(cells, targets, one_task=one_task).collect()}
+    assert math.isclose(got["a"]["mass"], 10) and math.isclose(got["a"]["margin_gap"], 1 - 10 / 18) and math.isclose(got["b"]["margin_gap"], 4)
+
+
+def test_mixing_sweeps_until_slow_margins_hold(spark):
+    """Source and language nearly determine each other, which takes many sweeps."""
+    rows = [(f"s{i}", f"l{j}", "t", 10_000 if i == j else 2) for i in range(4) for j in range(4)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    targets = {"source": spark.createDataFrame([(f"s{i}", (i + 1) / 10) for i in range(4)], "source string, share double"),
+               "lang": spark.createDataFrame([(f"l{i}", (i + 1.1) / 10.4) for i in range(4)], "lang string, share double")}
+    assert mixing.rake(cells, targets).agg(F.max("margin_gap")).first()[0] < 1e-6
 
 
 def test_mixing_by_windows_is_the_same(spark):
@@ -446,7 +465,8 @@ def test_mixing_rate_does_not_hang_on_one_row(spark):
         w = mixing.mix_weights(df, **kw)
         return w.agg(F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens")).first()[0]
 
-    assert share(docs.union(stray)) < 0.5 * share(docs)  # by the largest ratio, as in the SQL
+    assert share(docs.union(stray), rate=None) < 0.5 * share(docs, rate=None)  # one over the largest ratio
+    assert math.isclose(share(docs), mixing.RATE, rel_tol=1e-6) and math.isclose(share(docs.union(stray)), mixing.RATE, rel_tol=1e-6)
     for rate in (0.1, mixing.RATE, 0.9):
         assert math.isclose(share(docs, rate=rate), rate, rel_tol=1e-6)
         assert math.isclose(share(docs.union(stray), rate=rate), rate, rel_tol=1e-6)
