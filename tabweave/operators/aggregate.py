@@ -9,19 +9,31 @@ from .cuts import exact_quantiles
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Null count and distinct count for every column in one pass.
+    """Null count and distinct count for every column.
+
+    Two aggregates: one row of counts, and the distinct (column, 128-bit digest of the value) pairs, so that long texts and wide
+    rows are not carried once per column. Equal values have equal digests, -0.0 that of 0.0.
 
     Output (long form): ``column, n_rows, n_null, n_distinct``.
     """
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(df.columns):
-        col = F.col(f"`{c}`")
-        aggs.append(F.count_if(col.isNull()).alias(f"_z{i}"))
-        aggs.append(F.count_distinct(col).alias(f"_d{i}"))
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', _z{i}, _d{i}" for i, c in enumerate(df.columns))
-    return wide.selectExpr("_n as n_rows", f"stack({len(df.columns)}, {stack}) as (`column`, n_null, n_distinct)") \
-        .select("column", "n_rows", "n_null", "n_distinct")
+    names = df.columns
+    nulls = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"z{i}") for i, c in enumerate(names)])
+    nulls = nulls.select("n", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in names]).alias("column"),
+                                                     F.array(*[F.col(f"z{i}") for i in range(len(names))]).alias("n_null"))).alias("r"))
+
+    def digest(c: str, kind: str):
+        value = F.col(f"`{c}`")
+        if kind in ("float", "double"):
+            value = value + F.lit(0.0).cast(kind)  # one zero
+        return F.when(F.col(f"`{c}`").isNotNull(), F.md5(F.to_json(F.struct(value.alias("v"))).cast("binary")))
+
+    cells = F.array(*[digest(c, k) for c, k in df.dtypes])
+    kinds = (df.select(F.posexplode(cells).alias("nth", "d")).filter("d is not null").distinct()
+             .groupBy("nth").agg(F.count(F.lit(1)).alias("n_distinct")))
+    order = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("column")) - 1
+    flat = nulls.select(F.col("r.column").alias("column"), F.col("n").alias("n_rows"), F.col("r.n_null").alias("n_null"))
+    return (flat.withColumn("nth", order).join(kinds, "nth", "left")
+            .select("column", "n_rows", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
 
 
 def match_statistics(mapping: DataFrame, sim: str = "cosine_similarity") -> DataFrame:

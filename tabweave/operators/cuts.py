@@ -113,26 +113,45 @@ def sliced(df: DataFrame, by: list[str], key: str, ids: list[str], cuts: Callabl
     return plain.select(*kept, F.col("_passed").alias(out)).unionByName(edge.select(*kept, (F.col("_passed") + behind).alias(out)))
 
 
-def selected(df: DataFrame, by: list[str], value: str, places: Callable[[Column], list[Column]], edge_rows: int = EDGE_ROWS) -> DataFrame:
-    """(by..., m, values): the values (doubles) at the given 1-based places of each group, nulls left out. Places outside
-    ``1..m`` are null."""
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")).withColumn("_key", double_bits(F.col("_v")))
+def keys_at(df: DataFrame, by: list[str], key: str, places: Callable[[Column], list[Column]], key_bits: int = 60,
+            edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """(by..., m, keys): the keys at the given 1-based places of each group. Places outside ``1..m`` are null."""
+    rows = df.select(*by, F.col(key).alias("_key"))
     n_places = len(places(F.lit(0)))
-    found, shift, big = intervals(rows, by, "_key", lambda m: [*places(m), m], 64, edge_rows)
+    found, shift, big = intervals(rows, by, "_key", lambda m: [*places(m), m], key_bits, edge_rows)
     wide = _renamed(found.select(*by, F.col("_lo").alias("_at"), "_n").distinct(), by)
     inner = rows.join(wide, [*_same(rows, wide, by), F.shiftright(rows["_key"], shift) == wide["_at"]])
-    if shift == 0:  # one value an interval: of a hot value one row is enough
-        ranked = inner.groupBy(*by, "_at").agg(F.min("_v").alias("_v")).withColumn("_r", F.lit(None).cast("int"))
+    if shift == 0:  # one key an interval: of a hot key one row is enough
+        ranked = inner.groupBy(*by, "_at").agg(F.min("_key").alias("_k")).withColumn("_r", F.lit(None).cast("int"))
     elif big:
-        ranked = positions(inner, [*by, "_at"], ["_key"], out="_r")
+        ranked = positions(inner, [*by, "_at"], ["_key"], out="_r").withColumn("_k", F.col("_key"))
     else:
-        ranked = inner.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_at").orderBy("_key")))
-    ranked = _renamed(ranked.select(*by, "_at", "_r", "_v"), by)
+        ranked = inner.select("*", F.row_number().over(Window.partitionBy(*by, "_at").orderBy("_key")).alias("_r"), F.col("_key").alias("_k"))
+    ranked = _renamed(ranked.select(*by, "_at", "_r", "_k"), by)
     picked = found.join(ranked, [*_same(found, ranked, by), found["_lo"] == ranked["_at"],
                                  F.coalesce(ranked["_r"] == found["_c"] - found["_before"], F.lit(True))])
-    values = F.transform(F.sequence(F.lit(0), F.lit(n_places - 1)), lambda i: F.try_element_at(F.col("_got"), i))
-    return (picked.groupBy(*by).agg(F.max("_m").alias("m"), F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_got"))
-            .select(*by, "m", values.alias("values")))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(n_places - 1)), lambda i: F.try_element_at(F.col("_got"), i))
+    return (picked.groupBy(*by).agg(F.max("_m").alias("m"), F.map_from_entries(F.collect_list(F.struct("_i", "_k"))).alias("_got"))
+            .select(*by, "m", keys.alias("keys")))
+
+
+def bits_double(bits: Column) -> Column:
+    """The double that ``double_bits`` made a bigint of."""
+    b = F.abs(bits)
+    exp, part = F.shiftright(b, 52).cast("int"), b.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    normal = (F.lit(1.0) + part / F.lit(float(2 ** 52))) * F.pow(F.lit(2.0), exp - 1023)
+    tiny = part * F.lit(2.0 ** -537) * F.lit(2.0 ** -537)
+    size = (F.when(b == F.lit(0x7FF8000000000000), F.lit(float("nan"))).when(b == F.lit(0x7FF0000000000000), F.lit(float("inf")))
+            .when(exp == 0, tiny).otherwise(normal))
+    return F.when(bits < 0, -size).otherwise(size)
+
+
+def selected(df: DataFrame, by: list[str], value: str, places: Callable[[Column], list[Column]], edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """(by..., m, values): the values (doubles) at the given 1-based places of each group, nulls left out. Places outside
+    ``1..m`` are null."""
+    rows = df.filter(F.col(value).isNotNull()).select(*by, double_bits(F.col(value)).alias("_bits"))
+    got = keys_at(rows, by, "_bits", places, 64, edge_rows)
+    return got.select(*by, "m", F.transform("keys", bits_double).alias("values"))
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], edge_rows: int = EDGE_ROWS) -> DataFrame:

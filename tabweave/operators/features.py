@@ -7,8 +7,6 @@ the training rows (``fit_on='train'`` is the default in the plans).
 
 from __future__ import annotations
 
-import itertools
-
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -122,20 +120,25 @@ def target_encode(df: DataFrame, col: str, target: str, fold: str, is_train: Col
 
 # ------------------------------------------------------------------ J5 - J7
 def impute_fit(train: DataFrame, mean_cols=(), mode_cols=(), empty_mode=None) -> dict:
-    """One aggregate for all means; modes by count with ties -> smallest value.
+    """One aggregate for all means and one for all modes (by count, ties -> smallest value).
     A column with no values gets ``empty_mode`` (0 for numbers, 'Unknown' for text)."""
     out: dict = {}
     if mean_cols:
         row = train.agg(*[F.avg(q(c)).alias(c) for c in mean_cols]).first()
         out.update({c: row[c] for c in mean_cols})
-    for c in mode_cols:
-        best = (train.filter(q(c).isNotNull()).groupBy(q(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-                .agg(F.min(F.struct((-F.col("n")).alias("nn"), F.col("v"))).alias("b")).first()["b"])
-        if best is None:
+    if mode_cols:
+        # a cell becomes a struct with its value in the field of its column, so that values keep their types and order
+        cells = F.array(*[F.struct(F.lit(i).alias("nth"), *[(q(c) if j == i else F.lit(None).cast(train.schema[c].dataType)).alias(f"v{j}")
+                                                            for j, c in enumerate(mode_cols)]) for i in range(len(mode_cols))])
+        flat = train.select(F.explode(cells).alias("c")).select("c.*")
+        values = [f"v{j}" for j in range(len(mode_cols))]
+        best = (flat.filter(F.coalesce(*[F.when(F.col(v).isNotNull(), F.lit(1)) for v in values]).isNotNull())
+                .groupBy("nth", *values).agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("nth").agg(F.min(F.struct((-F.col("n")).alias("less"), *values)).alias("b")).collect())  # one row a column
+        found = {mode_cols[r["nth"]]: r["b"][f"v{r['nth']}"] for r in best}
+        for c in mode_cols:
             is_num = dict(train.dtypes)[c] != "string"
-            out[c] = empty_mode if empty_mode is not None else (0 if is_num else "Unknown")
-        else:
-            out[c] = best["v"]
+            out[c] = found.get(c, empty_mode if empty_mode is not None else (0 if is_num else "Unknown"))
     return out
 
 
@@ -292,20 +295,10 @@ def assemble(df: DataFrame, spec_cols: dict[str, list[str]], out: str = "feature
 
 
 def pca(df: DataFrame, col: str = "features", k: int | None = None, variance: float | None = None,
-        out: str = "pca"):
-    """The first ``k`` principal components, or the fewest that reach the share
-    ``variance``. One fit; a shorter result is a slice of it. (The benchmark's own
+        out: str = "pca", most: int | None = None) -> DataFrame:
+    """Coordinates along the first ``k`` principal components, or the fewest that reach the share
+    ``variance`` (``most`` at most), found without a width x width matrix (``pca.components``). (The benchmark's own
     choices: k = 100 for wider inputs, else the width; variance with k = 301 at most.)"""
-    from pyspark.ml.feature import PCA, VectorSlicer
-
-    if k is None and variance is None:
-        raise ValueError("pca needs k or variance")
-    width = len(df.select(col).first()[0])
-    model = PCA(k=min(width, k or width), inputCol=col, outputCol=out).fit(df)
-    made = model.transform(df)
-    if variance is None:
-        return made
-    shares = list(itertools.accumulate(model.explainedVariance.toArray()))
-    enough = next((i + 1 for i, s in enumerate(shares) if s >= variance), len(shares))
-    cut = VectorSlicer(inputCol="_all", outputCol=out, indices=list(range(enough)))
-    return cut.transform(made.withColumnRenamed(out, "_all")).drop("_all")
+    from .pca import components, project
+
+    return project(df, col, components(df, col, k, variance, most), out)

@@ -1,8 +1,9 @@
 """Learning baselines on Spark ML.
 
-Each fit is data-parallel inside Spark ML; the grid / repeat / bagging loops
+Each fit is data-parallel; the grid and repeat loops
 run on the driver over a handful of configurations (the loop handles
-parameters, never rows). The run log is a table appended per config.
+parameters, never rows). The run log is a table appended per config. Linear and logistic models that
+differ in a penalty or in their rows share every pass over the data (``stacked``).
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import positions, spread
+from ..core import spread
 from . import metrics as Q
+from .cuts import keys_at
 from .runs import best_by
+from .stacked import logistic_stack
 
 
 def make_estimator(kind: str, params: dict, seed: int):
@@ -80,6 +83,23 @@ def fit_eval(df: DataFrame, features: list[str], label: str, kind: str = "rf", p
     return evaluate(pred, task), model
 
 
+def fit_choose(df: DataFrame, features: list[str], label: str, kind: str, candidates: list[dict], seed: int = 0,
+               split: str = "split", task: str | None = None) -> tuple[DataFrame, object, dict]:
+    """N1 with its choice on validation: every candidate is fitted on the training rows, the one that does best on the validation
+    rows (accuracy, then macro F1; regression: RMSE; ties: the first) is returned with its metrics on all splits, its model
+    and its parameters."""
+    task = task or ("regression" if kind in REGRESSORS else "classification")
+    best = None
+    for nth, params in enumerate(candidates):
+        m, model = fit_eval(df, features, label, kind, params, seed, split, task)
+        rows = {r["split"]: r for r in m.collect()}  # one row a split
+        val = rows.get("val") or rows["train"]
+        rank = (-val["rmse"], 0.0) if task == "regression" else (val["accuracy"], val["macro_f1"])
+        if best is None or rank > best[0]:
+            best = rank, m, model, params
+    return best[1], best[2], best[3]
+
+
 def grid_search(df: DataFrame, features: list[str], label: str, kind: str, grid: DataFrame,
                 log: DataFrame | None = None, seed: int = 0, log_path: str | None = None) -> DataFrame:
     """One N1 fit per config of ``grid`` (``config_idx`` + parameter columns),
@@ -136,24 +156,34 @@ def bagging(df: DataFrame, ids: list[str], features: list[str], label: str, kind
     rows; class probabilities averaged per row (D20 with equal weights; ties go to
     the smaller class). Returns ``ids..., split, y, pred``.
 
-    All draws are ranked in one pass and become 0/1 weight columns of one training
-    frame (a zero weight takes a row out of the loss). The fitted models are chained
-    on one frame: each row is read once and its probabilities are averaged in place."""
+    A draw is the rows up to the key at its cut (``cuts.keys_at``): the keys are counted, not sorted, and each row tells by
+    its own keys which draws it is in. Logistic models share every pass (``stacked.logistic_stack``; ``regParam`` is
+    their penalty, ``maxIter`` their passes). Others are fitted one by one on 0/1 weight columns of one training frame
+    (a zero weight takes a row out of the loss) and chained on one frame: each row is read once and its probabilities are
+    averaged in place."""
+    params = params or {}
     train = df.filter(F.col("split") == "train")
     keep = int(train.count() * fraction)
+    digest = lambda b: F.md5(F.concat_ws("|", (b + F.lit(seed)).cast("string"), *[F.col(i).cast("string") for i in ids]))
+    order = lambda b: F.conv(F.substring(digest(b), 1, 15), 16, 10).cast("bigint")
+    drawn = train.select(*ids).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))))
+    ends = {r["_b"]: r["keys"][0] for r in keys_at(drawn.withColumn("_o", order(F.col("_b"))), ["_b"], "_o", lambda m: [F.lit(keep)]).collect()}
+    inside = [(order(F.lit(b)) <= F.lit(ends.get(b) if ends.get(b) is not None else -1)).cast("double") for b in range(n_models)]
+    if kind == "lr":
+        stack = logistic_stack(df.withColumn("_bags", F.array(*inside)), features, label, [params.get("regParam", 0.0)] * n_models,
+                               row_weights="_bags", most_passes=params.get("maxIter", 100))
+        classes = F.array(*[F.lit(c) for c in stack.classes])
+        scored = stack.probabilities(df.select(*ids, "split", label, *[c for c in features if c not in (*ids, "split", label)]), mean_over_models=True)
+        at = F.array_position(classes, F.col(label)) - 1
+        return scored.select(*ids, "split", F.when(at >= 0, at).otherwise(len(stack.classes)).cast("double").alias("y"),
+                             (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("double").alias("pred"))
     idx = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
     vec = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
     base = spread(vec.transform(idx.transform(df))).checkpoint(eager=True)
-    draws = train.select(*ids).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))))
-    draws = draws.withColumn("_o", F.md5(F.concat_ws("|", (F.col("_b") + seed).cast("string"),
-                                                     *[F.col(i).cast("string") for i in ids])))
-    draws = positions(draws, ["_b"], ["_o", *ids], out="_p").filter(F.col("_p") <= keep)
-    flags = draws.groupBy(*ids).agg(*[F.max((F.col("_b") == b).cast("double")).alias(f"_w{b}") for b in range(n_models)])
-    fit_rows = base.filter(F.col("split") == "train").join(flags, ids, "left") \
-        .na.fill(0.0, [f"_w{b}" for b in range(n_models)]).checkpoint(eager=True)
+    fit_rows = base.filter(F.col("split") == "train").withColumns({f"_w{b}": c for b, c in enumerate(inside)}).checkpoint(eager=True)
     scored = base
     for b in range(n_models):
-        est = make_estimator(kind, params or {}, seed + b).setFeaturesCol("_x").setLabelCol("_y")
+        est = make_estimator(kind, params, seed + b).setFeaturesCol("_x").setLabelCol("_y")
         est = est.setPredictionCol(f"_pred{b}").setProbabilityCol(f"_prob{b}").setRawPredictionCol(f"_raw{b}")
         if est.hasParam("weightCol"):
             model = est.setWeightCol(f"_w{b}").fit(fit_rows)

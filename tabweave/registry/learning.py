@@ -17,6 +17,7 @@ from ..operators import match as M
 from ..operators import split as X
 from ..operators.encoder import HashingEncoder
 from ..operators.runs import param_grid
+from ..operators.stacked import logistic_stack, ridge_path
 from ..plans.evaluation import build_features, entity_features, load_recipe, run_recipe
 from ..plans.join_fa import rank_ablation
 from ..plans.union_fa import union_fa
@@ -217,6 +218,57 @@ def n3_grid_search(spark, sf):
 SQL_N3 = "SELECT CAST(4 AS BIGINT) AS n_configs, CAST(4 AS BIGINT) AS n_distinct, count(*) > 0 AS best_is_max FROM orders"
 
 
+PENALTIES = [0.01, 0.1, 1.0, 10.0]
+
+
+def n1_ridge_path(spark, sf):
+    """Linear models of four penalties from one aggregate, the best of them chosen on the validation rows."""
+    df = _orders_ml(spark, sf)
+    got = ridge_path(df, ["year", "month"], "price", PENALTIES)
+    return got.select("penalty", F.round("intercept", 3).alias("intercept"), F.round(F.col("coefficients")[0], 6).alias("coef_year"),
+                      F.round(F.col("coefficients")[1], 6).alias("coef_month"), F.round("val_rmse", 6).alias("val_rmse"), "chosen")
+
+
+SQL_N1_RIDGE = f"""WITH s AS ({ORDERS_SPLIT_SQL}),
+d AS (SELECT split, o_totalprice AS p, year(o_orderdate)::DOUBLE AS a, month(o_orderdate)::DOUBLE AS b FROM orders JOIN s USING (o_orderkey)),
+m AS (SELECT avg(p) AS mp, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, p) AS sap,
+             covar_pop(b, p) AS sbp FROM d WHERE split = 'train'),
+k AS (SELECT unnest({PENALTIES}::DOUBLE[]) AS penalty),
+c AS (SELECT *, (sap * (sbb + penalty) - sbp * sab) / ((saa + penalty) * (sbb + penalty) - sab * sab) AS ca,
+             (sbp * (saa + penalty) - sap * sab) / ((saa + penalty) * (sbb + penalty) - sab * sab) AS cb FROM m CROSS JOIN k),
+f AS (SELECT penalty, ca, cb, mp - ca * ma - cb * mb AS i FROM c),
+v AS (SELECT penalty, sqrt(avg((p - i - ca * a - cb * b) ** 2)) AS rmse FROM d CROSS JOIN f WHERE split = 'val' GROUP BY penalty)
+SELECT penalty, round(i, 3) AS intercept, round(ca, 6) AS coef_year, round(cb, 6) AS coef_month, round(rmse, 6) AS val_rmse,
+  row_number() OVER (ORDER BY rmse, penalty) = 1 AS chosen FROM f JOIN v USING (penalty)"""
+
+
+def n3_stacked_logistic(spark, sf):
+    """Logistic models of four penalties in one loop of passes: the log-odds of status F by year."""
+    o = table(spark, sf, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), F.year("o_orderdate").cast("double").alias("year"),
+                                          F.lit("train").alias("split"))
+    got = logistic_stack(o, ["year"], "y", PENALTIES, most_passes=200, tolerance=1e-11)
+    odds = got.weights[:, :, 1] - got.weights[:, :, 0]
+    return spark.createDataFrame([(p, round(float(w[0]), 6), round(float(w[1]), 4)) for p, w in zip(PENALTIES, odds)],
+                                 "penalty double, coef_year double, intercept double")
+
+
+def _newton_sql(rounds: int) -> str:
+    """Newton's steps for the log-odds v * z + b, with penalty / 4 times v squared (half of it on either class)."""
+    step = """(SELECT penalty, v - (hbb * gv - hvb * gb) / (hvv * hbb - hvb * hvb) AS v, b - (hvv * gb - hvb * gv) / (hvv * hbb - hvb * hvb) AS b
+  FROM (SELECT penalty, v, b, avg((s - y) * z) + penalty / 2 * v AS gv, avg(s - y) AS gb, avg(s * (1 - s) * z * z) + penalty / 2 AS hvv,
+               avg(s * (1 - s) * z) AS hvb, avg(s * (1 - s)) AS hbb
+        FROM (SELECT *, 1 / (1 + exp(-(v * z + b))) AS s FROM z CROSS JOIN {before}) GROUP BY penalty, v, b))"""
+    return ",\n".join(f"t{i + 1} AS MATERIALIZED {step.format(before=f't{i}')}" for i in range(rounds))
+
+
+SQL_N3_STACK = f"""WITH o AS (SELECT (o_orderstatus = 'F')::INTEGER AS y, year(o_orderdate)::DOUBLE AS x FROM orders),
+m AS MATERIALIZED (SELECT avg(x) AS mx, stddev_pop(x) AS sx FROM o),
+z AS MATERIALIZED (SELECT y, (x - mx) / sx AS z FROM o CROSS JOIN m),
+t0 AS (SELECT unnest({PENALTIES}::DOUBLE[]) AS penalty, 0::DOUBLE AS v, 0::DOUBLE AS b),
+{_newton_sql(12)}
+SELECT penalty, round(v / sx, 6) AS coef_year, round(b - v * mx / sx, 4) AS intercept FROM t12 CROSS JOIN m"""
+
+
 def n4_repeated_runs(spark, sf):
     from ..operators.runs import run_statistics
     log = L.repeated_runs(_orders_ml(spark, sf).checkpoint(eager=True), FEATS, "o_orderstatus", "rf", {"numTrees": 10, "maxDepth": 4}, [1, 2, 3])
@@ -263,7 +315,9 @@ QUERIES = {
     "k3_graph_numeric_transform": (k3_graph_numeric_transform, SQL_K3),
     "n1_fit_eval": (n1_fit_eval, SQL_FACTS),
     "n1_regression": (n1_regression, SQL_FACTS),
+    "n1_ridge_path": (n1_ridge_path, SQL_N1_RIDGE),
     "n3_grid_search": (n3_grid_search, SQL_N3),
+    "n3_stacked_logistic": (n3_stacked_logistic, SQL_N3_STACK),
     "n4_repeated_runs": (n4_repeated_runs, SQL_N4),
     "n5_bagging": (n5_bagging, SQL_N5),
     "n7_source_target": (n7_source_target, SQL_N7),
