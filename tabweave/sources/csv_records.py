@@ -15,11 +15,11 @@ next separator: as in Spark's own reader. Only record boundaries are found here;
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +113,7 @@ def _starts_inside(lines: DataFrame, sep: bytes) -> set[int]:
 
 
 def _key(file: str, block: int) -> int:
-    return xxhash.xxh64_intdigest(f"{file}\0{block}")
+    return int.from_bytes(hashlib.blake2b(f"{file}\0{block}".encode(), digest_size=8).digest(), "big")
 
 
 def records(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
