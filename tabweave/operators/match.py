@@ -100,10 +100,16 @@ def vector_knn(t1: DataFrame, t1_id: str, t1_vec: str, t2: DataFrame, t2_id: str
                k: int = 1, exclude_same_id: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
                cells: int | None = None, nprobe: int = 2) -> DataFrame:
     """Exact cosine top-k by pivots: the rows of the nearest cells first, then those of every cell that the
-    triangle inequality does not rule out (``ivf.pivot_knn``). Null vectors match nothing; zero ones have similarity 0.
+    triangle inequality does not rule out (``ivf.pivot_knn``). Where T2 is a single block every row meets it once anyway, and
+    no cell is worth its bound. Null vectors match nothing; zero ones have similarity 0.
 
     ``exclude_same_id`` drops the row itself when T1 and T2 are the same table.
     """
+    n2 = t2.count()
+    if n2 <= block_rows:
+        left, right = (t.select(F.col(i).cast("bigint").alias("id"), F.col(v).alias("vec")).filter("vec is not null")
+                       for t, i, v in ((t1, t1_id, t1_vec), (t2, t2_id, t2_vec)))
+        return blocked_pairs_topk(left, right, [], k, dense_cosine_kernel, "vec array<double>", block_rows, exclude_same_id, sizes=(t1.count(), n2))
     index = VectorIndex(t2, t2_id, t2_vec, cells, block_rows=block_rows)
     return pivot_knn(t1, t1_id, t1_vec, index, nprobe, k, exclude_same_id)
 
