@@ -87,29 +87,36 @@ def sliced(df: DataFrame, by: list[str], key: str, ids: list[str], cuts: Callabl
     # the last row is a place too, so that every group is found
     found, shift, big = intervals(df, by, key, lambda m: [*cuts(m), m], key_bits, edge_rows)
     n_cuts = len(cuts(F.lit(0)))
-    one = F.sort_array(F.collect_list(F.when(F.col("_i") < n_cuts, F.struct("_i", "_c", "_lo", "_before", "_n")))).alias("_cuts")
+    # a column a cut, not a list with lambdas: Spark may push a lambda over the rows' key below the join, where there is no key
+    kind = "struct<_c:bigint,_lo:bigint,_before:bigint,_n:bigint>"
+    each_cut = [F.max(F.when(F.col("_i") == i, F.struct("_c", "_lo", "_before", "_n"))).alias(f"_cut{i}") for i in range(n_cuts)]
     if by:
-        each = measured(_renamed(found.groupBy(*by).agg(one, F.max("_m").alias("_m")), by))
+        each = measured(_renamed(found.groupBy(*by).agg(*each_cut, F.max("_m").alias("_m")), by))
         rows = df.join(each, _same(df, each, by)).drop(*[f"_by_{b}" for b in by])
     else:  # a few numbers
-        got = found.agg(one, F.max("_m").alias("_m")).first()
-        kind = "array<struct<_i:int,_c:bigint,_lo:bigint,_before:bigint,_n:bigint>>"
-        given = [F.struct(*[F.lit(v).alias(k) for k, v in c.asDict().items()]) for c in got["_cuts"]]
-        rows = df.withColumns({"_cuts": F.array(*given).cast(kind), "_m": F.lit(got["_m"] or 0).cast("bigint")})
+        got = found.agg(*each_cut, F.max("_m").alias("_m")).first()
+        given = [got[f"_cut{i}"] for i in range(n_cuts)]
+        rows = df.withColumns({**{f"_cut{i}": (F.struct(*[F.lit(v).alias(k) for k, v in c.asDict().items()]) if c else F.lit(None)).cast(kind)
+                                  for i, c in enumerate(given)}, "_m": F.lit(got["_m"] or 0).cast("bigint")})
     here = F.shiftright(F.col(key), shift)
-    # a cut before the first row has no interval and lies before every row
-    none = F.lit(n_cuts) - F.size("_cuts") - F.size(F.filter(F.array(*cuts(F.col("_m"))), lambda c: c > F.col("_m")))
-    passed = none + F.aggregate("_cuts", F.lit(0), lambda s, c: s + F.when(here > c["_lo"], 1).otherwise(0))
-    inside = F.filter("_cuts", lambda c: (here == c["_lo"]) & (c["_c"] < c["_before"] + c["_n"]))
+    passed, inside = F.lit(0), {}
+    for i, limit in enumerate(cuts(F.col("_m"))):
+        cut = F.col(f"_cut{i}")
+        # a cut before the first row has no interval and lies before every row
+        none = F.when(limit > F.col("_m"), 0).otherwise(1)
+        passed = passed + F.when(cut.isNull(), none).when(here > cut["_lo"], 1).otherwise(0)
+        inside[f"_in{i}"] = F.coalesce((here == cut["_lo"]) & (cut["_c"] < cut["_before"] + cut["_n"]), F.lit(False))
     kept = [*df.columns, *([F.col("_m").alias(size_col)] if size_col else [])]
-    rows = rows.withColumns({"_passed": passed, "_inside": inside})
-    edge = rows.filter(F.size("_inside") > 0).withColumn("_lo", here)
+    rows = rows.withColumns({"_passed": passed, **inside})
+    some = F.greatest(F.lit(False), F.lit(False), *[F.col(c) for c in inside])
+    edge = rows.filter(some).withColumn("_lo", here)
     if big:
         edge = positions(edge, [*by, "_lo"], [key, *ids], out="_r")
     else:
         edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_lo").orderBy(key, *ids)))
-    behind = F.aggregate("_inside", F.lit(0), lambda s, c: s + F.when(F.col("_r") + c["_before"] > c["_c"], 1).otherwise(0))
-    plain = rows.filter(F.size("_inside") == 0)
+    behind = sum((F.when(F.col(f"_in{i}") & (F.col("_r") + F.col(f"_cut{i}")["_before"] > F.col(f"_cut{i}")["_c"]), 1).otherwise(0)
+                  for i in range(n_cuts)), F.lit(0))
+    plain = rows.filter(~some)
     return plain.select(*kept, F.col("_passed").alias(out)).unionByName(edge.select(*kept, (F.col("_passed") + behind).alias(out)))
 
 

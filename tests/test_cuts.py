@@ -101,3 +101,11 @@ def test_temporal_split_of_each_kind(spark):
         for y in (0, 1):
             order = sorted((r for r in rows if r["y"] == y), key=lambda r: (r[col] is None, r[col] if r[col] is not None else 0, r["id"]))
             assert [got[r["id"]] for r in order] == ["train"] * 70 + ["val"] * 10 + ["test"] * 20
+
+
+def test_sliced_has_no_lambda_over_the_key(spark):
+    """Spark may push a lambda over the rows' key below the join with the cuts, where there is no key."""
+    df, _ = made(spark)
+    got = cuts.sliced(df, ["g"], "k", ["id"], lambda m: [F.lit(2), m], "s").filter("s = 0").select("id")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "!Filter" not in plan
