@@ -10,6 +10,7 @@ from ..operators import features as J
 from ..operators import graph as G
 from ..operators import split as X
 from ..operators.encoder import HashingEncoder, encode, encode_distinct
+from ..session import ensure_checkpoint_dir
 from .prepare import MESSY_SQL, messy
 from .sqlparts import ratio, seeded_md5
 
@@ -63,12 +64,14 @@ SQL_J3 = "SELECT c_custkey, " + ", ".join(
 
 
 def j4_target_encode(spark, sf, smoothing="auto"):
+    ensure_checkpoint_dir(spark)
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority",
                                           (F.col("o_orderstatus") == "F").cast("int").alias("y"))
     split = X.stratified_split(o, "o_orderkey", "o_orderpriority", seed=42)
-    o = o.join(split, "o_orderkey")
+    # the folds and every table of means read these rows: each step is computed once
+    o = o.join(split, "o_orderkey").checkpoint(eager=True)
     folds = X.repeated_kfold(o.filter("split = 'train'"), "o_orderkey", k=5, repeats=1, seed=7).drop("repeat")
-    o = o.join(folds, "o_orderkey", "left").fillna(-1, ["fold"])
+    o = o.join(folds, "o_orderkey", "left").fillna(-1, ["fold"]).checkpoint(eager=True)
     te = J.target_encode(o, "o_orderpriority", "y", "fold", F.col("split") == "train", smoothing)
     return _r6(te.select("o_orderkey", "split", "o_orderpriority_te"))
 

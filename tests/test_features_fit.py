@@ -82,3 +82,15 @@ def test_graph_takes_a_transformer(spark):
     assert len(x) == 30
     for r in fitted[:30]:
         assert np.allclose(x[r["id"]], [v * r["n"] for v in unit], atol=1e-6)
+
+
+def test_target_encode_query_computes_its_rows_once(spark, tmp_path):
+    """The split and the folds are pinned: the encoding reads neither the orders nor the cuts again."""
+    from tabweave.registry.features import j4_target_encode, j4_target_encode_fixed
+
+    rows = [(i, f"p{i % 3}", "F" if i % 2 else "O") for i in range(60)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    for query in (j4_target_encode, j4_target_encode_fixed):
+        got = query(spark, str(tmp_path))
+        assert "parquet" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert got.count() == 60
