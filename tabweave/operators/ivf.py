@@ -36,7 +36,9 @@ MAX_CELLS = 65_536
 MAX_CENTRE_BYTES = 64 << 20  # of the broadcast centres
 SAMPLE_ROWS = 65_536  # rows the quantiser is trained on
 SLACK = 1e-7  # of a similarity bound; arccos is that coarse near 1
-SLICE = 4096  # rows compared with the centres at once
+SLICE = 4096  # rows compared with the centres at once, fewer where there are many centres:
+SLICE_CELLS = 1 << 21  # numbers of a slice's matrix of rows and centres
+FOLD = 1 << 20  # matches of a block's rows that are held before only the best of each row stay
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -47,6 +49,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _slice_rows(cells: int) -> int:
+    return max(1, min(SLICE, SLICE_CELLS // max(1, cells)))
+
+
 def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
 
@@ -55,8 +61,9 @@ def kmeans(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 42) -> np.nd
     """Unit centres of spherical k-means over unit rows (Lloyd); a centre without rows stays where it is."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    step = _slice_rows(len(centres))
     for _ in range(rounds):
-        own = np.concatenate([(x[a:a + SLICE] @ centres.T).argmax(1) for a in range(0, len(x), SLICE)])
+        own = np.concatenate([(x[a:a + step] @ centres.T).argmax(1) for a in range(0, len(x), step)])
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
         moved = _l2(total)
@@ -136,11 +143,12 @@ class VectorIndex:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centres, group = sent.value
+            step = _slice_rows(len(centres))
             for batch in batches:
                 x = _l2(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, 1))
                 cell, cos = np.full(len(x), len(centres), np.int32), np.ones(len(x))
-                for a in range(0, len(x), SLICE):
-                    part = x[a:a + SLICE]
+                for a in range(0, len(x), step):
+                    part = x[a:a + step]
                     some = np.abs(part).sum(1) > 0
                     if some.any():
                         sims = part[some] @ centres.T
@@ -168,9 +176,10 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = sent.value
+            step = _slice_rows(len(cells.size))
             for whole in batches:
-                for a in range(0, whole.num_rows, SLICE):
-                    batch = whole.slice(a, SLICE)
+                for a in range(0, whole.num_rows, step):
+                    batch = whole.slice(a, step)
                     x = _l2(_matrix(batch.column(1)))
                     live = np.abs(x).sum(1) > 0
                     row, cell = np.nonzero(choose(cells, x, batch) & live[:, None])
@@ -189,8 +198,13 @@ class VectorIndex:
 
     def pairs(self, routed: DataFrame) -> int:
         """How many pairs of rows the routed rows are scored with."""
-        sizes = routed.sparkSession.createDataFrame([(c, int(n)) for c, n in enumerate(self.cells.size)], "cell int, n bigint")
-        return int(routed.select(F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell").agg(F.sum("n")).first()[0] or 0)
+        sent = self.sent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = sum(int(sent.value.size[b.column(0).flatten().to_numpy()].sum()) for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        return int(routed.select("cells").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0)
 
     def scored(self, routed: DataFrame, k: int, exclude_same_id: bool) -> DataFrame:
         """The best ``k`` of each routed row within each group: ``t1_id, t2_id, sim``."""
@@ -230,24 +244,37 @@ def _score_lists(lp: pd.DataFrame, rp: pd.DataFrame, k: int, exclude_same_id: bo
     probed = np.concatenate(lp["cells"].to_numpy())
     order = np.argsort(probed, kind="stable")
     row, probed = row[order], probed[order]
-    found = []
+    found, held = [], 0
     for c, lo, hi in zip(cell, first, ends):
         some = row[np.searchsorted(probed, c):np.searchsorted(probed, c, "right")]
-        for at in range(0, len(some), SLICE):
-            part = some[at:at + SLICE]
+        step = _slice_rows(hi - lo)
+        for at in range(0, len(some), step):
+            part = some[at:at + step]
             sims = a[part] @ b[lo:hi].T
             if exclude_same_id:
                 sims[t1[part][:, None] == t2[lo:hi][None, :]] = -np.inf
             kk = min(k, hi - lo)
             best = sims.argmax(1)[:, None] if kk == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :kk]  # ids ascend
             found.append((np.repeat(part, kk), (best + lo).ravel(), np.take_along_axis(sims, best, 1).ravel()))
+            held += len(part) * kk
+            if held > FOLD:
+                found = [_best_of(found, t2, k)]
+                held = len(found[0][0])  # at most k a row
     if not found:
         return none
+    row, col, sim = _best_of(found, t2, k)
+    return pd.DataFrame({"t1_id": t1[row], "t2_id": t2[col], "sim": sim})
+
+
+def _best_of(found: list[tuple], t2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (row, column, similarity) the ``k`` best of each row; ties go to the smaller id of the column."""
     row, col, sim = (np.concatenate(x) for x in zip(*found))
     live = np.isfinite(sim)
-    out = pd.DataFrame({"row": row[live], "t1_id": t1[row[live]], "t2_id": t2[col[live]], "sim": sim[live]})
-    out = out.sort_values(["row", "sim", "t2_id"], ascending=[True, False, True])
-    return out[out.groupby("row").cumcount() < k][["t1_id", "t2_id", "sim"]]
+    row, col, sim = row[live], col[live], sim[live]
+    order = np.lexsort((t2[col], -sim, row))
+    row, col, sim = row[order], col[order], sim[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < k], col[nth < k], sim[nth < k]
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:

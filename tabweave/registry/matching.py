@@ -9,7 +9,7 @@ from ..functions.vectors import cosine
 from ..operators import match as M
 from ..operators.cuts import exact_quantiles
 from ..operators.encoder import HashingEncoder
-from ..operators.ivf import VectorIndex, ivf_knn, ivf_routes, pivot_knn
+from ..operators.ivf import MAX_CELLS, VectorIndex, ivf_knn, ivf_routes, pivot_knn
 from ..plans.join_fa import encoded_pair, join_fa_text
 from .sqlparts import seeded_uint, tfidf_top1, vector_topk
 
@@ -162,7 +162,7 @@ def c2_ivf_recall(spark, sf):
     better than the exact one or differs from the cosine of its pair, a recall of 0.9, and less than a fifth of all pairs scored."""
     e = _emb(spark, sf)
     n = e.count()
-    cells = -(-n // IVF_CELL_ROWS)
+    cells = min(MAX_CELLS, max(1, -(-n // IVF_CELL_ROWS)))
     index = VectorIndex(e, "vec_id", "embedding", cells)
     nprobe = int(cells * IVF_SHARE)
     approx = ivf_knn(e, "vec_id", "embedding", index, nprobe, exclude_same_id=True)
