@@ -19,6 +19,8 @@ Ties break on the smaller right id, so results are deterministic.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -96,17 +98,39 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
 
     local = (lx.groupBy(*gk).cogroup(rx.groupBy(*gk))
              .applyInPandas(run if bucket is None else run_buckets, "t1_id bigint, t2_id bigint, sim double"))
+    # duplicates (the same pair found in two buckets) collapse before ranking
+    return _merged_topk(local, k, bucket is not None)
+
+
+def _merged_topk(local: DataFrame, k: int, once: bool = False) -> DataFrame:
+    """The best ``k`` of each row of the blocks' results; ``once``: a pair may have been found twice."""
     if k == 1:
         # Partial aggregation: max of (sim, -t2_id) picks the best, smaller id on ties.
         best = local.groupBy("t1_id").agg(F.max(F.struct(F.col("sim"), (-F.col("t2_id")).alias("neg"))).alias("b"))
         return best.select("t1_id", (-F.col("b.neg")).alias("t2_id"), F.col("b.sim").alias("sim"),
                            F.lit(1).alias("rank"))
-    # duplicates (the same pair found in two buckets) collapse before ranking
-    local = local.groupBy("t1_id", "t2_id").agg(F.max("sim").alias("sim")) if bucket is not None else local
+    local = local.groupBy("t1_id", "t2_id").agg(F.max("sim").alias("sim")) if once else local
     w = Window.partitionBy("t1_id").orderBy(F.col("sim").desc(), F.col("t2_id").asc())
     return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
+def one_block_topk(left: DataFrame, right: DataFrame, k: int, kernel, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """As ``blocked_pairs_topk`` where ``right`` is one block that may go to every task: the left rows meet it where they
+    are, none is shuffled. The caller bounds the rows and bytes of ``right``."""
+    rp = right.toPandas().sort_values("id", kind="stable").reset_index(drop=True)
+    sent = left.sparkSession.sparkContext.broadcast(rp)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rp = sent.value
+        t2 = rp["id"].to_numpy(np.int64)
+        for part in parts:
+            for at in range(0, len(part) if len(rp) else 0, block_rows):
+                lp = part.iloc[at:at + block_rows].reset_index(drop=True)
+                yield _topk_rows(kernel(lp, rp), lp["id"].to_numpy(np.int64), t2, k)
+
+    return _merged_topk(left.mapInPandas(run, "t1_id bigint, t2_id bigint, sim double"), k)
+
+
 def blocked_apply(left: DataFrame, right: DataFrame, run, schema: str, block_rows: int, sizes: tuple[int, int]) -> DataFrame:
     """``run(left block, right block)`` on every pair of hash blocks of about ``block_rows`` rows; both sides carry ``id``."""
     n_l, n_r = (max(1, -(-n // block_rows)) for n in sizes)

@@ -14,35 +14,100 @@ All matchers return ``t1_id, t2_id, sim, rank``; ties go to the smaller t2 id.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import seeded_uint, spread
+from ..core import measured, seeded_uint, spread
 from ..session import ensure_checkpoint_dir
 from ..functions.text import TOKEN_SPLIT, char_ngrams
 from .blocked import (DEFAULT_BLOCK_ROWS, blocked_pairs_topk, dense_cosine_kernel,
-                      sparse_dot_kernel)
+                      one_block_topk, sparse_dot_kernel)
 from .ivf import VectorIndex, pivot_knn
 from .textbounds import bounded_topk
 
 SPARSE_BLOCK_ROWS = 1024
 TILE_ROWS = 4  # searched rows that share a bound
+SENT_TERMS = 1 << 20  # terms that go to every task
+GROUPS, MOST_BLOCK_ROWS = 32, 32_768  # groups of cells of a vector index, and rows of one
 
 
 # ------------------------------------------------------------------ TF-IDF
-def term_frequencies(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
-    """``side, id, text`` -> ``side, id, tok, tf`` over the whole text.
-    ``analyzer``: ``word`` (letter/digit runs) or ``char3`` (padded trigrams)."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct term hashes, ascending, and how often each occurs."""
+    for batch in batches:
+        lists = batch.column(2)
+        n = len(lists)
+        row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        tok = lists.flatten().to_numpy()
+        order = np.lexsort((tok, row))
+        row, tok = row[order], tok[order]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (tok[1:] != tok[:-1]))) if len(row) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(row[first], minlength=n))), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(tok[first], pa.int64())),
+             pa.ListArray.from_arrays(ends, pa.array(np.diff(np.append(first, len(row))), pa.int32()))], names=["side", "id", "tok", "tf"])
+
+
+def term_rows(corpus: DataFrame, analyzer: str = "word") -> tuple[DataFrame, DataFrame]:
+    """``side, id, text`` -> (``side, id, tok, tf`` of every row, ``tok, df``): 64-bit hashes of the distinct terms of the whole
+    text, how often each occurs, and in how many texts. Rows with the same id are one text; a row without an id has no terms.
+    ``analyzer``: ``word`` (letter/digit runs) or ``char3`` (padded trigrams). Terms are counted where the text is
+    read: no shuffle takes one row a term."""
     if analyzer == "word":
         terms = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), TOKEN_SPLIT)
     else:
         terms = char_ngrams("text", 3)
-    return (corpus.select("side", "id", F.explode(terms).alias("tok")).filter(F.col("tok") != "")
-            .groupBy("side", "id", "tok").agg(F.count(F.lit(1)).alias("tf")))
+    hashed = F.transform(F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: t != ""), lambda t: F.xxhash64(t))
+    ids = corpus.groupBy("side", "id").agg(F.count(F.lit(1)).alias("n"))
+    unique = ids.filter("n > 1 or id is null").isEmpty()
+    rows = spread(corpus).select("side", "id", hashed.alias("tok"))
+    if not unique:
+        rows = rows.groupBy("side", "id").agg(F.flatten(F.collect_list("tok")).alias("tok"))
+    texts = measured(rows.mapInArrow(_counted, "side int, id bigint, tok array<bigint>, tf array<int>"))
+    df_ = measured(texts.select(F.explode("tok").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
+    if not unique:
+        texts = corpus.select("side", "id").join(texts, ["side", "id"], "left").select(
+            "side", "id", F.coalesce("tok", F.array().cast("array<bigint>")).alias("tok"), F.coalesce("tf", F.array().cast("array<int>")).alias("tf"))
+    return texts, df_
+
+
+def weighted(texts: DataFrame, idf: DataFrame, sent_terms: int = SENT_TERMS) -> DataFrame:
+    """``side, id, tok, tf`` and ``tok, idf`` -> ``side, id, tok, w, nrm``. Up to ``sent_terms`` terms go to every task (16 bytes each);
+    more are joined."""
+    spark = texts.sparkSession
+    if idf.count() <= sent_terms:
+        got = idf.orderBy("tok").toArrow()  # at most sent_terms rows
+        sent = spark.sparkContext.broadcast((got.column("tok").to_numpy(), got.column("idf").to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, idf = sent.value
+            for batch in batches:
+                tok = batch.column(2)
+                ends = np.append(0, np.cumsum(np.diff(tok.offsets.to_numpy())))
+                flat = tok.flatten().to_numpy()
+                w = batch.column(3).flatten().to_numpy() * idf[np.searchsorted(known, flat)] if len(flat) else np.zeros(0)
+                row = np.repeat(np.arange(len(tok)), np.diff(ends))
+                nrm = np.sqrt(np.bincount(row, w * w, minlength=len(tok)))
+                at = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(flat, pa.int64())),
+                                                  pa.ListArray.from_arrays(at, pa.array(w, pa.float64())), pa.array(nrm, pa.float64())],
+                                                 names=["side", "id", "tok", "w", "nrm"])
+
+        return texts.mapInArrow(run, "side int, id bigint, tok array<bigint>, w array<double>, nrm double")
+    each = texts.distinct().select("side", "id", F.explode(F.arrays_zip("tok", "tf")).alias("x"))
+    each = (each.select("side", "id", F.col("x.tok").alias("tok"), F.col("x.tf").alias("tf")).join(idf, "tok")
+            .select("side", "id", F.struct("tok", (F.col("tf").cast("double") * F.col("idf")).alias("w")).alias("x")))
+    # one list filled by one aggregate keeps terms and weights together
+    vec = each.groupBy("side", "id").agg(F.sort_array(F.collect_list("x")).alias("x"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("nrm"))
+    return (texts.select("side", "id").join(vec, ["side", "id"], "left")
+            .select("side", "id", F.coalesce(F.col("x.tok"), F.array().cast("array<bigint>")).alias("tok"),
+                    F.coalesce(F.col("x.w"), F.array().cast("array<double>")).alias("w"), F.coalesce("nrm", F.lit(0.0)).alias("nrm")))
 
 
 def tfidf_vectors(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
@@ -52,26 +117,14 @@ def tfidf_vectors(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
     array<double>`` (raw weights) and ``nrm`` (their L2 norm; the kernel
     divides). A text with no token gets empty arrays (a zero vector).
     """
+    texts, idf = _texts_and_idf(corpus, analyzer)
+    return weighted(texts, idf)
+
+
+def _texts_and_idf(corpus: DataFrame, analyzer: str) -> tuple[DataFrame, DataFrame]:
     n_docs = corpus.count()
-    tf = term_frequencies(spread(corpus), analyzer).checkpoint(eager=True)  # read by both join branches
-    # document frequency: partial aggregation, a hot token is pre-counted map-side.
-    # The join below is planned as a shuffle join; AQE turns it into a broadcast
-    # when the measured vocabulary is small and splits hot-token partitions otherwise.
-    # df is summed from tf (tf >= 1, so least(tf, 1) = 1 per document): reading the
-    # tf value keeps the tf aggregate identical in both join branches, so its
-    # shuffle is reused and the texts are tokenised once
-    df_ = tf.groupBy("tok").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
-    w = (tf.join(df_, "tok")
-         .withColumn("w", F.col("tf").cast("double")
-                     * (F.ln((F.lit(n_docs) + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1)))
-    # two lists filled by the same aggregate keep the same element order
-    vec = w.groupBy("side", "id").agg(F.collect_list(F.xxhash64("tok")).alias("tok"), F.collect_list("w").alias("w"),
-                                      F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return (corpus.select("side", "id").join(vec, ["side", "id"], "left")
-            .select("side", "id",
-                    F.coalesce("tok", F.array().cast("array<bigint>")).alias("tok"),
-                    F.coalesce("w", F.array().cast("array<double>")).alias("w"),
-                    F.coalesce("nrm", F.lit(0.0)).alias("nrm")))
+    texts, df_ = term_rows(corpus, analyzer)
+    return texts, df_.select("tok", (F.ln((F.lit(n_docs) + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1).alias("idf"))
 
 
 def text_knn(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str, t2_text: str,
@@ -83,14 +136,16 @@ def text_knn(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str,
     corpus = (t1.select(F.lit(1).alias("side"), F.col(t1_id).cast("bigint").alias("id"), F.col(t1_text).alias("text"))
               .unionByName(t2.select(F.lit(2).alias("side"), F.col(t2_id).cast("bigint").alias("id"),
                                      F.col(t2_text).alias("text"))))
-    # both sides and the block counts read the vectors: compute them once
-    vec = tfidf_vectors(corpus, analyzer).checkpoint(eager=True)
-    left = vec.filter("side = 1").drop("side")
-    right = vec.filter("side = 2").drop("side")
     # one vector per input row: the block counts come from the (cheap) input counts
     sizes = t1.count(), t2.count()
+    texts, idf = _texts_and_idf(corpus, analyzer)
     if sizes[1] > block_rows:
-        return bounded_topk(left, right, k, block_rows, tile_rows, sizes, counted)
+        # both sides and the bounds read the vectors: compute them once
+        vec = weighted(texts, idf).checkpoint(eager=True)
+        return bounded_topk(vec.filter("side = 1").drop("side"), vec.filter("side = 2").drop("side"), k, block_rows, tile_rows, sizes, counted)
+    left, right = (weighted(texts.filter(F.col("side") == side), idf).drop("side") for side in (1, 2))
+    if (texts.filter("side = 2").agg(F.sum(F.size("tok"))).first()[0] or 0) <= SENT_TERMS:
+        return one_block_topk(left, right, k, sparse_dot_kernel, block_rows)
     return blocked_pairs_topk(left, right, [], k, sparse_dot_kernel, "tok array<bigint>, w array<double>",
                               block_rows, sizes=sizes)
 
@@ -110,7 +165,8 @@ def vector_knn(t1: DataFrame, t1_id: str, t1_vec: str, t2: DataFrame, t2_id: str
         left, right = (t.select(F.col(i).cast("bigint").alias("id"), F.col(v).alias("vec")).filter("vec is not null")
                        for t, i, v in ((t1, t1_id, t1_vec), (t2, t2_id, t2_vec)))
         return blocked_pairs_topk(left, right, [], k, dense_cosine_kernel, "vec array<double>", block_rows, exclude_same_id, sizes=(t1.count(), n2))
-    index = VectorIndex(t2, t2_id, t2_vec, cells, block_rows=block_rows)
+    # every row goes to most groups where the vectors have no clusters: their number has a limit, or the shuffle grows by the square
+    index = VectorIndex(t2, t2_id, t2_vec, cells, block_rows=max(block_rows, min(MOST_BLOCK_ROWS, n2 // GROUPS)))
     return pivot_knn(t1, t1_id, t1_vec, index, nprobe, k, exclude_same_id)
 
 

@@ -23,8 +23,8 @@ def join_fa_text(spark: SparkSession, sf_dir: str, threshold: float | None = Non
     """Task = ``documents`` (text), aux = ``benchmark`` (text); TF-IDF 1-NN."""
     t1 = table(spark, sf_dir, "documents")
     t2 = table(spark, sf_dir, "benchmark")
-    return join_fa(t1, "doc_id", "text", t2, "item_id", "text",
-                   M.text_knn(t1, "doc_id", "text", t2, "item_id", "text", k=1), threshold, prefix)
+    matches = M.text_knn(t1, "doc_id", "text", t2, "item_id", "text", k=1).checkpoint(eager=True)  # every output reads it
+    return join_fa(t1, "doc_id", "text", t2, "item_id", "text", matches, threshold, prefix)
 
 
 def encoded_pair(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str, t2_text: str,

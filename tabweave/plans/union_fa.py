@@ -23,7 +23,8 @@ def union_fa(task: DataFrame, task_id: str, aux: DataFrame, aux_id: str, include
     a_cols = resolve_text_columns(aux.columns, include_aux, [aux_id, *[c for c in exclude if c in aux.columns]])
     t = task.withColumn("_text", row_text(t_cols))
     a = aux.withColumn("_text", row_text(a_cols))
-    m = M.apply_threshold(M.text_knn(t, task_id, "_text", a, aux_id, "_text", k=1), threshold)
+    # every output reads the matches
+    m = M.apply_threshold(M.text_knn(t, task_id, "_text", a, aux_id, "_text", k=1).checkpoint(eager=True), threshold)
     ti = t.select(F.col(task_id).cast("bigint").alias("task_index"), F.col("_text").alias("task_text"))
     ai = a.select(F.col(aux_id).cast("bigint").alias("_a"), F.col("_text").alias("aux_text"))
     mapping = (ti.join(m.select(F.col("t1_id").alias("task_index"), F.col("t2_id").alias("_a"), "sim"), "task_index", "left")
