@@ -54,7 +54,8 @@ def _slice_rows(cells: int) -> int:
 
 
 def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = dict(df.dtypes)[vec_col]  # floats stay floats on their way; tasks reckon with doubles
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>").alias("vec"))
 
 
 def kmeans(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 42) -> np.ndarray:
@@ -159,7 +160,7 @@ class VectorIndex:
                     names=["id", "vec", "cell", "cos", "grp"])
 
         rows = _vectors(t2, id_col, vec_col).filter("vec is not null")
-        placed = spread(rows).mapInArrow(place, "id bigint, vec array<double>, cell int, cos double, grp int").checkpoint(eager=True)
+        placed = spread(rows).mapInArrow(place, f"id bigint, vec {dict(rows.dtypes)['vec']}, cell int, cos double, grp int").checkpoint(eager=True)
         size, least = np.zeros(len(centres) + 1, np.int64), np.ones(len(centres) + 1)
         for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("cos")).collect():  # one row a cell
             size[r["cell"]], least[r["cell"]] = r["n"], r["cos"]
@@ -170,9 +171,10 @@ class VectorIndex:
 
     # ------------------------------------------------------------------ probing
     def routed(self, rows: DataFrame, choose) -> DataFrame:
-        """(id, vec, grp, cells): each row once for every group with one of its cells; ``choose(cells, unit rows, batch)``
-        gives a mask. Zero vectors are left out."""
+        """(id, vec, kth, grp, cells): each row once for every group with one of its cells; ``choose(cells, unit rows, batch)``
+        gives a mask. ``kth``, where the rows have it: nothing less similar is wanted. Zero vectors are left out."""
         sent = self.sent
+        rows = rows if "kth" in rows.columns else rows.withColumn("kth", F.lit(-2.0))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = sent.value
@@ -192,9 +194,10 @@ class VectorIndex:
                     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(cell))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(row[first])), batch.column(1).take(pa.array(row[first])),
-                         pa.array(grp[first], pa.int32()), lists], names=["id", "vec", "grp", "cells"])
+                         batch.column(2).take(pa.array(row[first])), pa.array(grp[first], pa.int32()), lists],
+                        names=["id", "vec", "kth", "grp", "cells"])
 
-        return rows.mapInArrow(run, "id bigint, vec array<double>, grp int, cells array<int>")
+        return rows.mapInArrow(run, f"id bigint, vec {dict(rows.dtypes)['vec']}, kth double, grp int, cells array<int>")
 
     def pairs(self, routed: DataFrame) -> int:
         """How many pairs of rows the routed rows are scored with."""
@@ -236,7 +239,8 @@ def _score_lists(lp: pd.DataFrame, rp: pd.DataFrame, k: int, exclude_same_id: bo
     if not len(lp) or not len(rp):
         return none
     rp = rp.sort_values(["cell", "id"])
-    a, b = _l2(np.vstack(lp["vec"].to_numpy())), _l2(np.vstack(rp["vec"].to_numpy()))
+    a, b = (_l2(np.vstack(p["vec"].to_numpy()).astype(np.float64)) for p in (lp, rp))
+    kth = lp["kth"].to_numpy() - SLACK if "kth" in lp else np.full(len(lp), -np.inf)
     t1, t2 = lp["id"].to_numpy(np.int64), rp["id"].to_numpy(np.int64)
     cell, first = np.unique(rp["cell"].to_numpy(), return_index=True)
     ends = np.append(first[1:], len(rp))
@@ -254,6 +258,14 @@ def _score_lists(lp: pd.DataFrame, rp: pd.DataFrame, k: int, exclude_same_id: bo
             if exclude_same_id:
                 sims[t1[part][:, None] == t2[lo:hi][None, :]] = -np.inf
             kk = min(k, hi - lo)
+            if kk > 1 and kth[part].min() > -1 - 2 * SLACK:  # a list of k is known: few are as good as its last one
+                at_row, at_col = np.nonzero(sims >= kth[part][:, None])
+                found.append((part[at_row], at_col + lo, sims[at_row, at_col]))
+                held += len(at_row)
+                if held > FOLD:
+                    found = [_best_of(found, t2, k)]
+                    held = len(found[0][0])
+                continue
             best = sims.argmax(1)[:, None] if kk == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :kk]  # ids ascend
             found.append((np.repeat(part, kk), (best + lo).ravel(), np.take_along_axis(sims, best, 1).ravel()))
             held += len(part) * kk
