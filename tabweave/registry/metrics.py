@@ -15,6 +15,7 @@ from ..core import table
 from ..operators import match as M
 from ..operators import metrics as Q
 from ..operators import split as X
+from ..session import ensure_checkpoint_dir
 from .sqlparts import ratio, seeded_md5, vector_topk
 
 VEC = "SELECT vec_id AS id, embedding AS e FROM embeddings"
@@ -137,7 +138,9 @@ FROM cs GROUP BY source"""
 
 def d11_ovr_auc(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), F.col("label").alias("y"))
-    return _r6(Q.ovr_auc(_votes(spark, sf), e))
+    votes = _votes(spark, sf)
+    ensure_checkpoint_dir(spark)
+    return _r6(Q.ovr_auc(votes.checkpoint(eager=True), e))  # read for the classes, the scores and what they leave at zero
 
 
 SQL_D11 = VOTES_SQL() + """,
