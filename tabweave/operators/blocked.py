@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK_ROWS = 4096
 HOT_COLUMNS = 1024  # columns of the dense part of the sparse kernel at once
 COLD_PAIRS = 1 << 21  # posting pairs at once
+MATRIX = 1 << 24  # similarities of a block pair at once
 
 
 def _block_counts(df: DataFrame, key: list[str], block_rows: int, name: str) -> DataFrame:
@@ -84,12 +85,16 @@ def blocked_pairs_topk(left: DataFrame, right: DataFrame, key: list[str], k: int
                                  "sim": pd.Series(dtype="float64")})
         lp = lp.reset_index(drop=True)
         rp = rp.sort_values("id", kind="stable").reset_index(drop=True)
-        sims = kernel(lp, rp)
         t1 = lp["id"].to_numpy(np.int64)
         t2 = rp["id"].to_numpy(np.int64)
-        if exclude_same_id:
-            sims[t1[:, None] == t2[None, :]] = -np.inf
-        return _topk_rows(sims, t1, t2, k)
+        step, best = max(1, MATRIX // len(rp)), []
+        for at in range(0, len(lp), step):
+            part = slice(at, at + step)
+            sims = kernel(lp[part].reset_index(drop=True), rp)
+            if exclude_same_id:
+                sims[t1[part][:, None] == t2[None, :]] = -np.inf
+            best.append(_topk_rows(sims, t1[part], t2, k))
+        return pd.concat(best)
 
     def run_buckets(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         right = dict(list(rp.groupby(bucket)))

@@ -217,6 +217,8 @@ def lsh_knn(t1: DataFrame, t1_id: str, t1_vec: str, t2: DataFrame, t2_id: str, t
     ensure_checkpoint_dir(spark)
     todo = t1.select(F.col(t1_id).cast("bigint").alias("id"), F.col(t1_vec).alias("vec"))
     there = t2.select(F.col(t2_id).cast("bigint").alias("id"), F.col(t2_vec).alias("vec"))
+    # a hot bucket's rows go to each of its blocks: larger blocks, or the shuffle grows by the square
+    block_rows = max(block_rows, min(MOST_BLOCK_ROWS, there.count() // GROUPS))
     found = None
     while True:
         if bits:

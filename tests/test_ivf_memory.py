@@ -31,3 +31,32 @@ def test_folded_matches_are_the_best(spark, monkeypatch):
     index = ivf.VectorIndex(df, "id", "vec", cells=10)
     routed = ivf.ivf_routes(index, df, "id", "vec", 10)
     assert index.pairs(routed) == 200 * 200
+
+
+def test_block_pair_in_slices(spark, monkeypatch):
+    """A block pair's similarities are computed some rows at a time."""
+    from tabweave.operators import blocked
+
+    seen = []
+
+    def kernel(lp, rp):
+        seen.append(len(lp) * len(rp))
+        assert len(lp) * len(rp) <= 60
+        return blocked.dense_cosine_kernel(lp, rp)
+
+    monkeypatch.setattr(blocked, "MATRIX", 60)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    real = {}  # the block function runs on the driver, where the limit is set
+
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    apply = PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda self, f, schema: (real.update(run=f), apply(self, f, schema))[1])
+    blocked.blocked_pairs_topk(df, df, [], 2, kernel, "vec array<double>", exclude_same_id=True)
+    rows = blocked.pd.DataFrame({"id": range(30), "vec": list(x)})
+    got = real["run"](rows, rows)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -np.inf)
+    assert len(seen) == 15 and np.allclose(got["sim"].to_numpy().reshape(30, 2), np.sort(sims, axis=1)[:, ::-1][:, :2])
