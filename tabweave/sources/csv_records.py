@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from ..session import ensure_checkpoint_dir
 
 QUOTE = b'"'
 BOM = b"\xef\xbb\xbf"
+CHUNK = 1 << 22  # bytes of lines that are Python objects at once
 
 
 def splittable(encoding: str) -> bool:
@@ -63,10 +65,20 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in slices of about ``CHUNK`` bytes of the column: a batch has a number of rows, whatever their length."""
+    for batch in batches:
+        before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(before // CHUNK)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool, list[bytes]]]:
     """(file, block, whether it is new, lines): the lines of a task in order, block after block."""
     last = None
-    for batch in batches:
+    for batch in _slices(batches, 2):
         file, block = batch.column(0), batch.column(1).to_numpy()
         lines = batch.column(2).to_pylist()
         starts = file.dictionary_encode().indices.to_numpy() if not isinstance(file, pa.DictionaryArray) else file.indices.to_numpy()
@@ -179,7 +191,7 @@ def parsed(found: DataFrame, columns: list[str], sep: str = ",", encoding: str =
     body = found.filter(~F.col("first")).select("record")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 0):
             text = [b.removesuffix(b"\r").decode(encoding, "replace") for b in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([t for t in text if t], pa.string())], names=["record"])
 
