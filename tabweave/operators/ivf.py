@@ -38,7 +38,9 @@ SAMPLE_ROWS = 65_536  # rows the quantiser is trained on
 SLACK = 1e-7  # of a similarity bound; arccos is that coarse near 1
 SLICE = 4096  # rows compared with the centres at once, fewer where there are many centres:
 SLICE_CELLS = 1 << 21  # numbers of a slice's matrix of rows and centres
-FOLD = 1 << 20  # matches of a block's rows that are held before only the best of each row stay
+TILE_ROWS, TILE = 2048, 4096  # rows and columns of the similarities held at once
+FOLD = 1 << 23  # numbers of the pairs reckoned as doubles at once
+SMALL = 64  # rows of a list that is not worth a product of its own
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -234,59 +236,117 @@ class VectorIndex:
 
 
 def _score_lists(lp: pd.DataFrame, rp: pd.DataFrame, k: int, exclude_same_id: bool) -> pd.DataFrame:
-    """Each left row against the lists of its cells in this block."""
+    """Each left row against the lists of its cells in this block. Tiles of lists are multiplied as floats; only pairs that their
+    error leaves open are reckoned as doubles, and each tile raises the bound of the next ones."""
     none = pd.DataFrame({"t1_id": pd.Series(dtype="int64"), "t2_id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
     if not len(lp) or not len(rp):
         return none
     rp = rp.sort_values(["cell", "id"])
-    a, b = (_l2(np.vstack(p["vec"].to_numpy()).astype(np.float64)) for p in (lp, rp))
-    kth = lp["kth"].to_numpy() - SLACK if "kth" in lp else np.full(len(lp), -np.inf)
+    b = np.vstack(rp["vec"].to_numpy())
+    some = _few_copies(b, rp["cell"].to_numpy(), rp["id"].to_numpy(np.int64), k + int(exclude_same_id)) & np.isfinite(b).all(1)
+    if not some.any():
+        return none
+    rp, b = rp[some], _l2(b[some].astype(np.float64))
+    a = _l2(np.vstack(lp["vec"].to_numpy()).astype(np.float64))
+    a32, b32 = a.astype(np.float32), b.astype(np.float32)
+    slack = (a.shape[1] + 8) * 2.0 ** -23 + SLACK  # of a float product of unit vectors, and of the bound itself
+    bound = lp["kth"].to_numpy(np.float64) if "kth" in lp else np.full(len(lp), -2.0)
     t1, t2 = lp["id"].to_numpy(np.int64), rp["id"].to_numpy(np.int64)
-    cell, first = np.unique(rp["cell"].to_numpy(), return_index=True)
+    cell, first, own = np.unique(rp["cell"].to_numpy(), return_index=True, return_inverse=True)
     ends = np.append(first[1:], len(rp))
     row = np.repeat(np.arange(len(lp)), lp["cells"].map(len))
     probed = np.concatenate(lp["cells"].to_numpy())
-    order = np.argsort(probed, kind="stable")
-    row, probed = row[order], probed[order]
-    found, held = [], 0
-    for c, lo, hi in zip(cell, first, ends):
-        some = row[np.searchsorted(probed, c):np.searchsorted(probed, c, "right")]
-        step = _slice_rows(hi - lo)
-        for at in range(0, len(some), step):
-            part = some[at:at + step]
-            sims = a[part] @ b[lo:hi].T
-            if exclude_same_id:
-                sims[t1[part][:, None] == t2[lo:hi][None, :]] = -np.inf
-            kk = min(k, hi - lo)
-            if kk > 1 and kth[part].min() > -1 - 2 * SLACK:  # a list of k is known: few are as good as its last one
-                at_row, at_col = np.nonzero(sims >= kth[part][:, None])
-                found.append((part[at_row], at_col + lo, sims[at_row, at_col]))
-                held += len(at_row)
-                if held > FOLD:
-                    found = [_best_of(found, t2, k)]
-                    held = len(found[0][0])
+    at = np.minimum(np.searchsorted(cell, probed), len(cell) - 1)
+    there = cell[at] == probed
+    wanted = np.zeros((len(lp), len(cell)), bool)
+    wanted[row[there], at[there]] = True
+    out = []
+    for lo in range(0, len(lp), TILE_ROWS):
+        want = wanted[lo:lo + TILE_ROWS]
+        best = _Best(len(want), k, bound[lo:lo + TILE_ROWS])
+        for c0, c1 in _tiles(want, ends - first):
+            rows = np.flatnonzero(want[:, c0:c1].any(1))
+            if not len(rows):
                 continue
-            best = sims.argmax(1)[:, None] if kk == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :kk]  # ids ascend
-            found.append((np.repeat(part, kk), (best + lo).ravel(), np.take_along_axis(sims, best, 1).ravel()))
-            held += len(part) * kk
-            if held > FOLD:
-                found = [_best_of(found, t2, k)]
-                held = len(found[0][0])  # at most k a row
-    if not found:
-        return none
-    row, col, sim = _best_of(found, t2, k)
-    return pd.DataFrame({"t1_id": t1[row], "t2_id": t2[col], "sim": sim})
-
-
-def _best_of(found: list[tuple], t2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (row, column, similarity) the ``k`` best of each row; ties go to the smaller id of the column."""
-    row, col, sim = (np.concatenate(x) for x in zip(*found))
-    live = np.isfinite(sim)
-    row, col, sim = row[live], col[live], sim[live]
-    order = np.lexsort((t2[col], -sim, row))
-    row, col, sim = row[order], col[order], sim[order]
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[nth < k], col[nth < k], sim[nth < k]
+            step = max(1, TILE_ROWS * TILE // (ends[c1 - 1] - first[c0]))
+            for p in range(0, len(rows), step):
+                part = rows[p:p + step]
+                cols = slice(first[c0], ends[c1 - 1])
+                sims = a32[lo + part] @ b32[cols].T
+                least = best.least(part)
+                fresh = np.flatnonzero(least <= -1.5)  # nothing is known of these rows
+                if len(fresh) and sims.shape[1] > k:
+                    those = sims[fresh]
+                    those[~want[part[fresh]][:, own[cols]]] = -np.inf
+                    if exclude_same_id:
+                        those[t1[lo + part[fresh]][:, None] == t2[cols][None, :]] = -np.inf
+                    least[fresh] = np.partition(those, those.shape[1] - k, axis=1)[:, -k]
+                good = np.flatnonzero(sims >= np.maximum(least - 2 * slack, -1.5).astype(np.float32)[:, None])  # much faster than nonzero
+                y, x = part[good // sims.shape[1]], good % sims.shape[1] + first[c0]
+                keep = want[y, own[x]] & ~(exclude_same_id & (t1[lo + y] == t2[x]))
+                best.add(y[keep], x[keep], a[lo:lo + TILE_ROWS], b, t2)
+        y, x, sim = best.rows()
+        out.append(pd.DataFrame({"t1_id": t1[lo + y], "t2_id": t2[x], "sim": sim}))
+    return pd.concat(out)
+
+
+def _few_copies(vec: np.ndarray, cell: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """False for copies of a vector in a list beyond those with its ``k`` smallest ids: equal similarities go to the smaller id."""
+    raw = np.ascontiguousarray(vec).view(np.dtype((np.void, vec.dtype.itemsize * vec.shape[1]))).ravel()
+    kind = np.unique(raw, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, cell, kind))
+    new = np.append(True, (np.diff(kind[order]) != 0) | (np.diff(cell[order]) != 0))
+    nth = np.cumsum(new | np.append(True, np.diff(ids[order]) != 0))
+    nth -= nth[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.zeros(len(vec), bool)
+    out[order[nth < k]] = True
+    return out
+
+
+def _tiles(want: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of lists of about ``TILE`` rows; a large list that few of the rows ask for stays by itself, so little
+    is multiplied in vain."""
+    much = (want.mean(0) >= 0.5) | (size < SMALL)
+    out, at = [], 0
+    for c in range(len(size)):
+        if c + 1 == len(size) or not much[c] or not much[c + 1] or size[at:c + 2].sum() > TILE:
+            out.append((at, c + 1))
+            at = c + 1
+    return out
+
+
+class _Best:
+    """The ``k`` best so far of some rows, by similarity and smaller id."""
+
+    def __init__(self, n: int, k: int, known: np.ndarray):
+        self.k, self.known = k, known
+        self.col, self.sim = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
+
+    def least(self, rows: np.ndarray) -> np.ndarray:
+        """Nothing less similar is wanted of these rows."""
+        return np.maximum(self.known[rows], self.sim[rows, -1])
+
+    def add(self, row: np.ndarray, col: np.ndarray, a: np.ndarray, b: np.ndarray, t2: np.ndarray) -> None:
+        """Candidates, rows ascending."""
+        step = max(1, FOLD // a.shape[1])
+        for lo in range(0, len(row), step):
+            r, c = row[lo:lo + step], col[lo:lo + step]
+            sim = np.einsum("ij,ij->i", a[r], b[c])
+            touched = np.unique(r)
+            old, nth = np.nonzero(self.col[touched] >= 0)
+            r = np.concatenate([touched[old], r])
+            c = np.concatenate([self.col[touched][old, nth], c])
+            sim = np.concatenate([self.sim[touched][old, nth], sim])
+            order = np.lexsort((t2[c], -sim, r))
+            r, c, sim = r[order], c[order], sim[order]
+            nth = np.arange(len(r)) - np.searchsorted(r, r)
+            keep = nth < self.k
+            self.col[touched], self.sim[touched] = -1, -np.inf
+            self.col[r[keep], nth[keep]], self.sim[r[keep], nth[keep]] = c[keep], sim[keep]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        y, nth = np.nonzero(self.col >= 0)
+        return y, self.col[y, nth], self.sim[y, nth]
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:

@@ -34,7 +34,8 @@ from .textbounds import bounded_topk
 SPARSE_BLOCK_ROWS = 1024
 TILE_ROWS = 4  # searched rows that share a bound
 SENT_TERMS = 1 << 20  # terms that go to every task
-GROUPS, MOST_BLOCK_ROWS = 32, 32_768  # groups of cells of a vector index, and rows of one
+GROUPS, MOST_BLOCK_ROWS = 32, 32_768  # blocks of a hot bucket, and rows of one
+INDEX_GROUPS, MOST_BLOCK_NUMBERS = 8, 1 << 23  # groups of cells of a vector index, and numbers of the vectors of one
 
 
 # ------------------------------------------------------------------ TF-IDF
@@ -166,7 +167,8 @@ def vector_knn(t1: DataFrame, t1_id: str, t1_vec: str, t2: DataFrame, t2_id: str
                        for t, i, v in ((t1, t1_id, t1_vec), (t2, t2_id, t2_vec)))
         return blocked_pairs_topk(left, right, [], k, dense_cosine_kernel, "vec array<double>", block_rows, exclude_same_id, sizes=(t1.count(), n2))
     # every row goes to most groups where the vectors have no clusters: their number has a limit, or the shuffle grows by the square
-    index = VectorIndex(t2, t2_id, t2_vec, cells, block_rows=max(block_rows, min(MOST_BLOCK_ROWS, n2 // GROUPS)))
+    dim = t2.agg(F.max(F.size(t2_vec))).first()[0] or 1
+    index = VectorIndex(t2, t2_id, t2_vec, cells, block_rows=max(block_rows, min(MOST_BLOCK_NUMBERS // max(1, dim), -(-n2 // INDEX_GROUPS))))
     return pivot_knn(t1, t1_id, t1_vec, index, nprobe, k, exclude_same_id)
 
 
