@@ -79,36 +79,63 @@ def term_rows(corpus: DataFrame, analyzer: str = "word") -> tuple[DataFrame, Dat
 
 
 def weighted(texts: DataFrame, idf: DataFrame, sent_terms: int = SENT_TERMS) -> DataFrame:
-    """``side, id, tok, tf`` and ``tok, idf`` -> ``side, id, tok, w, nrm``. Up to ``sent_terms`` terms go to every task (16 bytes each);
-    more are joined."""
+    """``side, id, tok, tf`` and ``tok, df, idf`` -> ``side, id, tok, w, nrm``. The terms of the most texts, at most ``sent_terms``, go to
+    every task (16 bytes each). Where the others all occur in one text, they share one number; else only they are joined, one row
+    each time a text has one, and the vectors once."""
     spark = texts.sparkSession
-    if idf.count() <= sent_terms:
-        got = idf.orderBy("tok").toArrow()  # at most sent_terms rows
-        sent = spark.sparkContext.broadcast((got.column("tok").to_numpy(), got.column("idf").to_numpy()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, idf = sent.value
-            for batch in batches:
-                tok = batch.column(2)
-                ends = np.append(0, np.cumsum(np.diff(tok.offsets.to_numpy())))
-                flat = tok.flatten().to_numpy()
-                w = batch.column(3).flatten().to_numpy() * idf[np.searchsorted(known, flat)] if len(flat) else np.zeros(0)
-                row = np.repeat(np.arange(len(tok)), np.diff(ends))
-                nrm = np.sqrt(np.bincount(row, w * w, minlength=len(tok)))
-                at = pa.array(ends, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(flat, pa.int64())),
-                                                  pa.ListArray.from_arrays(at, pa.array(w, pa.float64())), pa.array(nrm, pa.float64())],
-                                                 names=["side", "id", "tok", "w", "nrm"])
-
-        return texts.mapInArrow(run, "side int, id bigint, tok array<bigint>, w array<double>, nrm double")
-    each = texts.distinct().select("side", "id", F.explode(F.arrays_zip("tok", "tf")).alias("x"))
-    each = (each.select("side", "id", F.col("x.tok").alias("tok"), F.col("x.tf").alias("tf")).join(idf, "tok")
-            .select("side", "id", F.struct("tok", (F.col("tf").cast("double") * F.col("idf")).alias("w")).alias("x")))
-    # one list filled by one aggregate keeps terms and weights together
-    vec = each.groupBy("side", "id").agg(F.sort_array(F.collect_list("x")).alias("x"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("nrm"))
-    return (texts.select("side", "id").join(vec, ["side", "id"], "left")
-            .select("side", "id", F.coalesce(F.col("x.tok"), F.array().cast("array<bigint>")).alias("tok"),
-                    F.coalesce(F.col("x.w"), F.array().cast("array<double>")).alias("w"), F.coalesce("nrm", F.lit(0.0)).alias("nrm")))
+    size = F.floor(F.log2("df")).cast("int")
+    sizes = {r["b"]: r["n"] for r in idf.groupBy(size.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a power of two
+    least, held = max(sizes, default=-1) + 1, 0
+    while least and held + sizes.get(least - 1, 0) <= sent_terms:
+        least, held = least - 1, held + sizes.get(least - 1, 0)
+    got = idf.filter(size >= least).orderBy("tok").toArrow()  # at most sent_terms rows
+    rest = idf.filter(size < least)
+    alone = rest.first()["idf"] if least == 1 else None  # of a term that only one text has
+    sent = spark.sparkContext.broadcast((got.column("tok").to_numpy(), got.column("idf").to_numpy()))
+
+    def found(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which terms were sent, and the idf of these."""
+        known, idf = sent.value
+        if not len(known):
+            return np.zeros(len(flat), bool), np.ones(len(flat))
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        return known[at] == flat, idf[at]
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tok = batch.column(2)
+            flat = tok.flatten().to_numpy()
+            row = np.repeat(np.arange(len(tok)), np.diff(tok.offsets.to_numpy()))
+            at = np.flatnonzero(~found(flat)[0])
+            of = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(flat[at])], names=["side", "id", "tok"])
+
+    if least > 1:
+        each = texts.mapInArrow(others, "side int, id bigint, tok bigint").join(rest.select("tok", "idf"), "tok")
+        # one set filled by one aggregate keeps terms and numbers together, and takes a text that comes twice once
+        each = each.groupBy("side", "id").agg(F.sort_array(F.collect_set(F.struct("tok", "idf")))["idf"].alias("idf"))
+        texts = texts.join(each, ["side", "id"], "left").select("side", "id", "tok", "tf", "idf")  # ascending terms, as in tok
+    else:
+        texts = texts.withColumn("idf", F.lit(None).cast("array<double>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tok = batch.column(2)
+            ends = np.append(0, np.cumsum(np.diff(tok.offsets.to_numpy())))
+            flat = tok.flatten().to_numpy()
+            there, idf = found(flat)
+            idf = np.where(there, idf, alone if alone is not None else 0.0)
+            if least > 1:
+                idf[~there] = batch.column(4).flatten().to_numpy()
+            w = batch.column(3).flatten().to_numpy() * idf if len(flat) else np.zeros(0)
+            row = np.repeat(np.arange(len(tok)), np.diff(ends))
+            nrm = np.sqrt(np.bincount(row, w * w, minlength=len(tok)))
+            at = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(flat, pa.int64())),
+                                              pa.ListArray.from_arrays(at, pa.array(w, pa.float64())), pa.array(nrm, pa.float64())],
+                                             names=["side", "id", "tok", "w", "nrm"])
+
+    return texts.mapInArrow(run, "side int, id bigint, tok array<bigint>, w array<double>, nrm double")
 
 
 def tfidf_vectors(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
@@ -125,7 +152,7 @@ def tfidf_vectors(corpus: DataFrame, analyzer: str = "word") -> DataFrame:
 def _texts_and_idf(corpus: DataFrame, analyzer: str) -> tuple[DataFrame, DataFrame]:
     n_docs = corpus.count()
     texts, df_ = term_rows(corpus, analyzer)
-    return texts, df_.select("tok", (F.ln((F.lit(n_docs) + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1).alias("idf"))
+    return texts, df_.select("tok", "df", (F.ln((F.lit(n_docs) + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1).alias("idf"))
 
 
 def text_knn(t1: DataFrame, t1_id: str, t1_text: str, t2: DataFrame, t2_id: str, t2_text: str,
