@@ -166,7 +166,7 @@ def c2_ivf_recall(spark, sf):
     index = VectorIndex(e, "vec_id", "embedding", cells)
     nprobe = int(cells * IVF_SHARE)
     approx = ivf_knn(e, "vec_id", "embedding", index, nprobe, exclude_same_id=True)
-    pairs = index.pairs(ivf_routes(index, e, "vec_id", "embedding", nprobe, exclude_same_id=True))
+    pairs = index.pairs(ivf_routes(index, e, "vec_id", "embedding", nprobe, exclude_same_id=True, packed=True))
     exact = pivot_knn(e, "vec_id", "embedding", index, exclude_same_id=True)
     a = e.select(F.col("vec_id").alias("t1_id"), F.col("embedding").alias("a"))
     b = e.select(F.col("vec_id").alias("ivf_t2"), F.col("embedding").alias("b"))
